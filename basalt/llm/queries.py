@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import subword
+from basalt.llm import language, media, subword
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_media": media.query,
+    "op10_language": language.query,
     "op7_sentencepiece": subword.query,
 }
 
