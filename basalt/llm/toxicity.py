@@ -34,6 +34,8 @@ PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.25
+#: Least share of label 1 among the examples that hold a term.
+PURE = 0.75
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 VECTOR = "terms array<int>, counts array<int>, n_words bigint"
@@ -86,7 +88,7 @@ def select_terms(examples: DataFrame, most: int) -> list[str]:
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     rate = a / (a + b)
     gain = 2 * (F.when(a > 0, a * F.log(rate / base)).otherwise(0.0) + F.when(b > 0, b * F.log((1 - rate) / (1 - base))).otherwise(0.0))
-    best = counted.withColumn("gain", gain).where((rate > 0.5) & (rate > 2 * base / (1 + base)) & (F.col("gain") >= 2 * math.log(max(2, tried)))).orderBy(F.desc("gain"), "term").limit(most)
+    best = counted.withColumn("gain", gain).where((rate >= PURE) & (F.col("gain") >= 2 * math.log(max(2, tried)))).orderBy(F.desc("gain"), "term").limit(most)
     out = sorted(r["term"] for r in best.select("term").collect())
     shared.drop_cut(counted)
     return out
@@ -168,7 +170,7 @@ class Index:
         if not terms:
             return self.none_score, []
         who, cos = self.nearest(*self.unit(terms, counts), NEIGHBOURS)
-        w = cos * self.weight[self.labels[who]]
+        w = cos**2 * self.weight[self.labels[who]]
         s = (float(w @ self.labels[who]) + PRIOR_WEIGHT * self.none_score) / (float(w.sum()) + PRIOR_WEIGHT)
         return min(1.0, max(0.0, s)), [(int(self.ids[i]), float(c), int(self.labels[i])) for i, c in zip(who, cos, strict=True)]
 
