@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import language, maintext, media, subword, toxicity
+from basalt.llm import language, maintext, media, subword, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": media.query,
     "op10_language": language.query,
     "op2_main_text": maintext.query,
+    "op5_vectors": vectors.query,
     "op6_toxicity": toxicity.query,
     "op7_sentencepiece": subword.query,
 }
