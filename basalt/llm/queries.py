@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import language, maintext, media, subword, toxicity, vectors, warc
+from basalt.llm import language, maintext, media, packing, subword, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": media.query,
     "op10_language": language.query,
     "op2_main_text": maintext.query,
     "op3_warc": warc.query,
+    "op4_packing": packing.query,
     "op5_vectors": vectors.query,
     "op6_toxicity": toxicity.query,
     "op7_sentencepiece": subword.query,
