@@ -15,11 +15,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.runtime import ship
+
 _OWN: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the rows and bytes of an Arrow batch, so that Python workers hold few long texts at once."""
+    """Send the package to the executors, and bound an Arrow batch so that Python workers hold few long texts at once."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
