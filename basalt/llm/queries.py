@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import language, maintext, media, packing, subword, toxicity, vectors, warc
+from basalt.llm import language, maintext, media, neardup, packing, subword, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": media.query,
     "op10_language": language.query,
+    "op1_near_duplicates": neardup.query,
     "op2_main_text": maintext.query,
     "op3_warc": warc.query,
     "op4_packing": packing.query,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_near_duplicates": neardup.ORACLE,
     "op3_warc": warc.ORACLE,
 }
