@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import language, maintext, media, neardup, packing, subword, toxicity, vectors, warc
+from basalt.llm import language, lmscore, maintext, media, neardup, packing, subword, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_lm_score": lmscore.query,
     "op9_media": media.query,
     "op10_language": language.query,
     "op1_near_duplicates": neardup.query,
