@@ -9,8 +9,8 @@ cosine is passed over and the k best are exact.  Votes are weighted by cosine an
 sample thinned each label, which calibrates them; a document without any term gets the share of
 label 1 among examples without any.
 
-Bounds: at most MAX_EXAMPLES labelled rows of each label (lowest hash of the id first) are used
-for fitting, and at most MAX_TERMS terms; both are parameters.  All documents are scored, whole.
+Bounds: about MAX_EXAMPLES labelled rows of each label (by a hash of the id; never twice as many)
+are used for fitting, and at most MAX_TERMS terms; both are parameters.  All documents are scored, whole.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from basalt.llm import shared
 
@@ -38,7 +39,7 @@ PRIOR_WEIGHT = 0.25
 PURE = 0.75
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
-VECTOR = "terms array<int>, counts array<int>, n_words bigint"
+VECTOR = "terms array<int>, counts array<int>"
 
 
 def words_of(text: str) -> Counter:
@@ -63,7 +64,7 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[DataFrame, dict[int, float]]:
-    """At most `most` rows of each label, lowest id hash first, as (id, label); and for each label, rows that one stands for.
+    """About `most` rows of each label, chosen by a hash of the id, as (id, label); and for each label, rows that one stands for.
 
     Ids with two different labels and null labels are left out; repeated rows count once."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("hi"))
@@ -71,7 +72,7 @@ def sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[D
     total = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = None
     for label in (0, 1):
-        part = rows.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most)
+        part = shared.thinned(rows.where(F.col("label") == label), total.get(label, 0), most, "id")
         picked = part if picked is None else picked.unionByName(part)
     return shared.cut(picked, "toxic-sample"), {x: max(1.0, n / most) for x, n in total.items()}
 
@@ -94,33 +95,37 @@ def select_terms(examples: DataFrame, most: int) -> list[str]:
     return out
 
 
+class Vectors:
+    """Texts to the chosen terms they hold, with a bounded cache of words."""
+
+    def __init__(self, terms: list[str]):
+        self.index = {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, list[int]] = {}
+
+    def of(self, text: str) -> tuple[list[int], list[int]]:
+        found: Counter = Counter()
+        for w, c in words_of(text).items():
+            hits = self.known.get(w)
+            if hits is None:
+                hits = [self.index[t] for t in terms_of(w) if t in self.index]
+                if len(self.known) >= CACHE_WORDS:
+                    self.known.clear()
+                self.known[w] = hits
+            for t in hits:
+                found[t] += c
+        items = sorted(found.items())
+        return [t for t, _ in items], [c for _, c in items]
+
+
 def vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, terms, counts, n_words): the chosen terms of every whole text."""
+    """(id, terms, counts): the chosen terms of every whole text."""
     shared.tune(docs.sparkSession)
-    index = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        made = Vectors(terms)
         for b in batches:
-            ids, counts, total = [], [], []
-            for text in shared.strings(b.column(1)):
-                found: Counter = Counter()
-                n = 0
-                for w, c in words_of(text).items():
-                    n += c
-                    hits = known.get(w)
-                    if hits is None:
-                        hits = [index[t] for t in terms_of(w) if t in index]
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        known[w] = hits
-                    for t in hits:
-                        found[t] += c
-                items = sorted(found.items())
-                ids.append([t for t, _ in items])
-                counts.append([c for _, c in items])
-                total.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(total, pa.int64())], ["id", "terms", "counts", "n_words"])
+            got = [made.of(text) for text in shared.strings(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in got], pa.list_(pa.int32())), pa.array([c for _, c in got], pa.list_(pa.int32()))], ["id", "terms", "counts"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id bigint, {VECTOR}")
 
@@ -243,6 +248,22 @@ def score(model: Model, id_col: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, "id bigint, score double, predicted int, evidence array<struct<id: bigint, cosine: double, label: int>>").withColumnRenamed("id", id_col)
 
 
+def judge(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
+    """docs with toxic_score appended (in place of a column so named); a null text counts as empty."""
+    shared.tune(docs.sparkSession)
+    docs = docs.drop("toxic_score")
+    fields = docs.schema.fieldNames()
+    at = fields.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Vectors(index.terms)
+        for b in batches:
+            scores = [index.score(*made.of(text))[0] for text in shared.strings(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*fields, "toxic_score"])
+
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("toxic_score", DoubleType()))
+
+
 def learnable(labels: DataFrame) -> DataFrame:
     """The labelled rows that the contract allows to learn from."""
     return labels.where(shared.remainder("doc_id", 5) != 0)

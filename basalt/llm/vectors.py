@@ -178,7 +178,7 @@ def near_duplicates(table: DataFrame, least: float = 0.98, id_col: str = "vec_id
     for dim, n in sizes.items():
         part = classes.where(F.col("dim") == dim)
         most = max(1, SAMPLE * n // max(1, total))
-        picked = part.orderBy(F.xxhash64("rep")).limit(most) if n > most else part
+        picked = shared.thinned(part, n, most, "rep")
         x = unit(np.array([r["v"] for r in picked.select("v").collect()], np.float64))
         margin = SPILL * float(np.sqrt(2 - 2 * least)) / np.sqrt(dim)
         levels = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
