@@ -29,8 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language."""
+    """Rows whose text has a language; all rows with a letter if no row tells one that could be learned."""
     model = language.fit(language.train_rows(docs))
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language.predict(docs, model).where("lang_pred <> 'und'").select(docs.columns)
 
 
