@@ -163,20 +163,19 @@ def fill(ids: list, docs: list[np.ndarray], left: list, idf: np.ndarray, mean: f
     order = sorted((k for k in range(len(docs)) if start[k] < len(docs[k])), key=lambda k: (start[k] - len(docs[k]), k))
     room = window - sum(len(p[2]) for p in left)
     for seed in order:
-        if start[seed] >= len(docs[seed]):
-            continue
-        for k in (seed, *shard.neighbours(seed).tolist()):
-            rest = len(docs[k]) - start[k]
-            if rest <= 0:
-                continue
-            take = min(rest, room)
-            left = [*left, (ids[k], start[k], docs[k][start[k] : start[k] + take], len(docs[k]))]
-            start[k] += take
-            room -= take
-            if not room:
-                done.append(left)
-                left, room = [], window
-                break
+        while start[seed] < len(docs[seed]):
+            for k in (seed, *shard.neighbours(seed).tolist()):
+                rest = len(docs[k]) - start[k]
+                if rest <= 0:
+                    continue
+                take = min(rest, room)
+                left = [*left, (ids[k], start[k], docs[k][start[k] : start[k] + take], len(docs[k]))]
+                start[k] += take
+                room -= take
+                if not room:
+                    done.append(left)
+                    left, room = [], window
+                    break
     return done, left
 
 

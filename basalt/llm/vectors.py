@@ -116,9 +116,11 @@ def leaf_links(units: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         block = np.array([r[2] for r in kept])
         n = np.array([r[3] for r in kept], np.int64)
         x = unit(np.stack([r[5] for r in kept]))
-        two = block.min() != block.max()
-        left = np.flatnonzero(block == block.min())
-        right = np.flatnonzero(block == block.max())
+        one, other = map(int, kept[0][0][2].split("-"))
+        two = one != other
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == other)
+        if not len(left) or not len(right):
+            return None
         cos = x[left] @ x[right].T
         i, j = np.nonzero(cos >= least) if two else np.nonzero(np.triu(cos >= least, 1))
         if not len(i):
