@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.plans import answers, assets, graph, retrieval, text
+from basalt.plans import answers, assets, graph, retrieval, streams, text
 
 FLAGSHIP = "bm25_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (text, retrieval, graph, assets, answers):
+for part in (text, retrieval, graph, assets, answers, streams):
     QUERIES |= part.Q
     ORACLES |= part.O
