@@ -97,7 +97,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     fields, body = front_matter(F.col("value"))
     rows = raw.select("file", fields.alias("f"), F.posexplode(F.split(body, r"\n(?=## )")).alias("pos", "part"))
     section = F.when(F.col("part").startswith("## "), F.regexp_replace(F.substring_index("part", "\n", 1), "^#+ ", "")).otherwise("Preamble")
-    content = F.trim(F.when(F.col("part").startswith("## "), F.regexp_replace("part", r"^## [^\n]*\n?", "")).otherwise(F.col("part")))
+    content = F.regexp_replace(F.when(F.col("part").startswith("## "), F.regexp_replace("part", r"^## [^\n]*\n?", "")).otherwise(F.col("part")), r"^\s+|\s+$", "")
     out = rows.select(F.coalesce(F.element_at("f", "doc_no"), _name(F.col("file"))).alias("doc_no"), F.coalesce(F.element_at("f", "title"), _name(F.col("file"))).alias("title"), section.alias("section"), "pos", content.alias("text"))
     return out.where("text <> ''")
 
