@@ -10,10 +10,12 @@ from basalt.operators import index as I
 from basalt.operators import memory as C
 from basalt.operators import understand as U
 from basalt.operators import verify as V
-from basalt.plans.common import INDEX_SQL, RANK_SQL, longs, table, wc_sql, words_sql
+from basalt.plans.common import INDEX_SQL, RANK_SQL, longs, query_terms_sql, table, wc_sql, words_sql
+from basalt.plans.text import O as TEXT_SQL
 from basalt.plans.text import concepts
 
 Q, O = {}, {}
+CONCEPTS_SQL = TEXT_SQL["concept_df"]
 
 #: Questions made from the conversations' turns by templates, so that each rule meets some of them.
 TEMPLATES = ["What is {}?", "Compare {} and memory", "Why is {} needed because of load", "How do I fix the error in {}?", "Steps to change {} and then test", "Summarize {} in short", "Who proposed {}?", "difference between {} and vectors?", "calculate {} for the table", "{} vs graphs"]
@@ -79,17 +81,25 @@ def ambiguity(spark, d):
 
 Q["ambiguity"] = ambiguity
 
+O["ambiguity"] = f"""WITH names AS (SELECT DISTINCT concept FROM ({CONCEPTS_SQL})), w AS (SELECT concept, unnest(list_distinct(string_split(lower(concept), ' '))) AS token FROM names WHERE contains(concept, ' ')),
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY concept) AS i FROM w), m AS (SELECT token, string_agg(concept, '|' ORDER BY concept) FILTER (i <= 6) AS options FROM r GROUP BY token HAVING count(*) >= 3),
+asked AS (SELECT DISTINCT unnest(string_split(lower(concept), ' ')) AS qid FROM names), t AS (SELECT qid, unnest({query_terms_sql('qid')}) AS token FROM asked WHERE len({query_terms_sql('qid')}) <= 3) SELECT qid, token, options FROM t JOIN m USING (token)"""
+
 Q["spell_candidates"] = lambda spark, d: U.spell_candidates(*spell_tables(spark, d))
 
 
 def spell_tables(spark, d):
-    """Misspelled words (the last two letters of each tenth vocabulary word swapped) and a vocabulary with frequencies."""
+    """Misspelled words (the last two letters of each vocabulary word swapped) and a vocabulary with frequencies."""
     vocab = table(spark, d, "conversations").select(F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
     n = F.length("term")
     wrong = F.concat(F.substring(F.col("term"), F.lit(1), n - 2), F.substring(F.col("term"), n, F.lit(1)), F.substring(F.col("term"), n - 1, F.lit(1)))
-    return vocab.where(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(10)) == 0).select(wrong.alias("word")), vocab
+    return vocab.select(wrong.alias("word")), vocab
 
 
+_forms = lambda w: f"unnest(list_distinct(list_concat([{w}], list_transform(range(1, length({w}) + 1), lambda i: left({w}, CAST(i - 1 AS BIGINT)) || substr({w}, CAST(i + 1 AS BIGINT))))))"
+O["spell_candidates"] = f"""WITH v AS (SELECT term, count(*) AS freq FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) AS term FROM conversations) GROUP BY term),
+w AS (SELECT DISTINCT left(term, length(term) - 2) || right(term, 1) || substr(term, length(term) - 1, 1) AS word FROM v),
+a AS (SELECT word, {_forms('word')} AS form FROM w), k AS (SELECT term, freq, {_forms('term')} AS form FROM v) SELECT DISTINCT word, term, freq FROM a JOIN k USING (form)"""
 Q["spell_correct"] = lambda spark, d: U.corrections(*spell_tables(spark, d))
 
 Q["meta_query"] = lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", C.is_meta(F.concat(F.expr("CASE WHEN turn % 3 = 0 THEN 'What did I just ask about ' ELSE '' END"), F.coalesce("text", F.lit("")))).alias("meta"))

@@ -59,12 +59,12 @@ O["temperature_mean"] = "SELECT user_id, round(avg(value), 6) AS temp_mean, roun
 
 def event_overlay(spark, d):
     base = work_orders(spark, d).select("wo", "asset", "kind", F.lit("csv").alias("origin"))
-    events = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 5 = 0").select((F.col("l_orderkey") + F.when(F.pmod("l_orderkey", F.lit(2)) == 0, 0).otherwise(10_000_000)).alias("wo"), F.col("l_suppkey").alias("asset"), F.lit("inspection").alias("kind"), F.lit("event").alias("origin"))
+    events = table(spark, d, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'").select((F.col("l_orderkey") + F.when(F.col("l_linestatus") == "F", 0).otherwise(10_000_000)).alias("wo"), F.col("l_suppkey").alias("asset"), F.lit("inspection").alias("kind"), F.lit("event").alias("origin"))
     return A.overlay(base, events, "wo")
 
 
 Q["event_overlay"] = event_overlay
-O["event_overlay"] = f"WITH {WO_SQL}, v AS (SELECT l_orderkey + CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE 10000000 END AS wo, l_suppkey AS asset, 'inspection' AS kind, 'event' AS origin FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0) SELECT wo, asset, kind, 'csv' AS origin FROM wo WHERE wo NOT IN (SELECT wo FROM v) UNION ALL SELECT * FROM v"
+O["event_overlay"] = f"WITH {WO_SQL}, v AS (SELECT l_orderkey + CASE WHEN l_linestatus = 'F' THEN 0 ELSE 10000000 END AS wo, l_suppkey AS asset, 'inspection' AS kind, 'event' AS origin FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R') SELECT wo, asset, kind, 'csv' AS origin FROM wo WHERE wo NOT IN (SELECT wo FROM v) UNION ALL SELECT * FROM v"
 
 
 def event_dedupe(spark, d):
@@ -112,8 +112,8 @@ SELECT doc, CASE WHEN top > 0 THEN k ELSE 'general' END AS type, round(CASE WHEN
 Q["asset_detect"] = lambda spark, d: longs(A.detect_assets(table(spark, d, "documents"), "doc_id", "text", "[A-Z]{2,4}[0-9]{2,4}|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"))
 O["asset_detect"] = "WITH f AS (SELECT doc_id AS doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z]{2,4}[0-9]{2,4}|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')) AS asset FROM documents) SELECT doc, asset, count(*) AS n, round(CAST(least(0.98, 0.78 + 0.04 * least(count(*), 4)) AS DOUBLE), 2) AS confidence FROM f GROUP BY doc, asset"
 
-Q["asset_timeline"] = lambda spark, d: A.timeline(work_orders(spark, d).where("asset % 10 = 0").select("asset", "date", F.col("kind").alias("label")), table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("asset"), F.lit("1992-01-01").alias("date"), F.lit("installed").alias("label")))
-O["asset_timeline"] = f"WITH {WO_SQL}, x AS (SELECT asset, date, kind AS label FROM wo WHERE asset % 10 = 0 UNION ALL SELECT c_custkey, '1992-01-01', 'installed' FROM customer WHERE c_custkey % 10 = 0) SELECT asset, string_agg(date || ' ' || label, '; ' ORDER BY date, label) AS entries FROM x GROUP BY asset"
+Q["asset_timeline"] = lambda spark, d: A.timeline(work_orders(spark, d).select("asset", "date", F.col("kind").alias("label")), table(spark, d, "customer").select(F.col("c_custkey").alias("asset"), F.lit("1992-01-01").alias("date"), F.lit("installed").alias("label")))
+O["asset_timeline"] = f"WITH {WO_SQL}, x AS (SELECT asset, date, kind AS label FROM wo UNION ALL SELECT c_custkey, '1992-01-01', 'installed' FROM customer) SELECT asset, string_agg(date || ' ' || label, '; ' ORDER BY date, label) AS entries FROM x GROUP BY asset"
 
 
 def draft(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basalt.functions import text as T
 from basalt.operators import index as I
 from basalt.operators import rank as R
-from basalt.plans.common import INDEX_SQL, RANK_SQL, longs, query_terms_sql, table, tokens_sql
+from basalt.plans.common import INDEX_SQL, RANK_SQL, longs, query_terms_sql, table, tokens_sql, wc_sql
 from basalt.plans.text import PROSE_SQL
 
 Q, O = {}, {}
@@ -186,12 +186,12 @@ def line_chunks(spark, d):
 
 
 _CHUNKS = "c AS (SELECT doc_id AS doc, CAST(i - 1 AS BIGINT) AS pos, (i - 1) // 5 AS section, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM ls))"
-_CHOSEN = "(pos * 7 + doc) % 4 = 0"
+_CHOSEN = f"{wc_sql('text')} >= 12"
 
 
 def neighbour_expand(spark, d):
     c = line_chunks(spark, d)
-    out = R.expand_neighbours(c, c.where(_CHOSEN).select("doc", "pos"))
+    out = R.expand_neighbours(c, c.where(T.word_count(F.col("text")) >= 12).select("doc", "pos"))
     return out.select("doc", "pos", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -201,8 +201,8 @@ O["neighbor_expand"] = f"""WITH {PROSE_SQL}, {_CHUNKS}, w AS (SELECT *, {_CHOSEN
 e AS (SELECT doc, pos, left(CASE WHEN length(text) <= 1200 THEN concat_ws(chr(10), b, text, f) ELSE text END, 2600) AS t FROM w WHERE chosen)
 SELECT doc, pos, length(t) AS n_chars, md5(t) AS text_md5 FROM e"""
 
-Q["adjacent_merge"] = lambda spark, d: longs(R.merge_adjacent(line_chunks(spark, d).where("(pos * 7 + doc) % 3 <> 0").withColumn("score", (F.pmod(F.col("pos") * 31 + F.col("doc"), F.lit(100)) / 100.0))))
-O["adjacent_merge"] = f"""WITH {PROSE_SQL}, {_CHUNKS}, s AS (SELECT doc, pos, section, ((pos * 31 + doc) % 100) / 100.0 AS score, pos - row_number() OVER (PARTITION BY doc, section ORDER BY pos) AS island FROM c WHERE (pos * 7 + doc) % 3 <> 0)
+Q["adjacent_merge"] = lambda spark, d: longs(R.merge_adjacent(line_chunks(spark, d).where(T.word_count(F.col("text")) >= 5).withColumn("score", (F.pmod(F.col("pos") * 31 + F.col("doc"), F.lit(100)) / 100.0))))
+O["adjacent_merge"] = f"""WITH {PROSE_SQL}, {_CHUNKS}, s AS (SELECT doc, pos, section, ((pos * 31 + doc) % 100) / 100.0 AS score, pos - row_number() OVER (PARTITION BY doc, section ORDER BY pos) AS island FROM c WHERE {wc_sql('text')} >= 5)
 SELECT doc, section, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n, CAST(max(score) AS DOUBLE) AS score FROM s GROUP BY doc, section, island"""
 
 
@@ -249,21 +249,24 @@ def boosted(spark, d):
     docs, asked, index, dense, bm25, graph, fused = legs(spark, d)
     top = I.ranked(fused, 10)
     ent = graph.withColumnRenamed("score", "entities")
-    kw = index.postings.join(asked.select(F.col("item_id").alias("qid"), F.explode(F.slice(T.query_terms(F.col("text")), 1, 3)).alias("term")), "term").groupBy("qid", "doc").agg(F.count("*").alias("kw"))
+    kw = index.postings.join(asked.select(F.col("item_id").alias("qid"), F.explode(F.slice(F.array_sort(T.query_terms(F.col("text"))), 1, 3)).alias("term")), "term").groupBy("qid", "doc").agg(F.count("*").alias("kw"))
     rows = top.join(ent, ["qid", "doc"], "left").join(kw, ["qid", "doc"], "left")
     meta = R.metadata_boost(F.pmod("doc", F.lit(3)) == 0, F.coalesce("entities", F.lit(0.0)), F.coalesce("kw", F.lit(0)), F.lit(False))
     return rows.select("qid", "doc", F.round(meta, 4).alias("boost"), F.round(F.col("score") * meta, 7).alias("score"))
 
 
 Q["metadata_boost"] = boosted
-# No SQL: the order of the first three keywords is not kept by DuckDB's distinct.
+O["metadata_boost"] = f"""WITH {ALL_SQL}, t AS (SELECT qid, doc, score FROM (SELECT qid, doc, score, {RANK_SQL} AS rank FROM rrf) WHERE rank < 10),
+qk AS (SELECT item_id AS qid, unnest(list_sort({query_terms_sql('text')})[1:3]) AS term FROM benchmark), kw AS (SELECT qid, doc, count(*) AS kw FROM postings JOIN qk USING (term) GROUP BY qid, doc),
+b AS (SELECT qid, doc, t.score, 1 + least(0.5, CASE WHEN doc % 3 = 0 THEN 0.20 ELSE 0.0 END + least(0.20, 0.10 * coalesce(graph.score, 0.0)) + least(0.16, 0.08 * coalesce(kw, 0))) AS m FROM t LEFT JOIN graph USING (qid, doc) LEFT JOIN kw USING (qid, doc))
+SELECT qid, doc, round(CAST(m AS DOUBLE), 4) AS boost, round(CAST(score * m AS DOUBLE), 7) AS score FROM b"""
 
 
 def embedding_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return longs(R.cosine_topk(e, e.where("vec_id < 20"), 5))
+    return longs(R.cosine_topk(e, e.where("vec_id % 100 = 0"), 5))
 
 
 Q["embedding_topk"] = embedding_topk
 O["embedding_topk"] = f"""WITH s AS (SELECT x.vec_id AS qid, y.vec_id AS doc, round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) AS score
-FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) x JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y ON x.vec_id < 20 AND x.vec_id <> y.vec_id), r AS (SELECT *, {RANK_SQL} AS rank FROM s) SELECT * FROM r WHERE rank < 5"""
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) x JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id), r AS (SELECT *, {RANK_SQL} AS rank FROM s) SELECT * FROM r WHERE rank < 5"""
