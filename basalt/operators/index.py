@@ -74,9 +74,11 @@ def dense(index: TextIndex, queries: DataFrame, id_col: str = "item_id", text_co
 
 
 def ranked(scores: DataFrame, depth: int, by: str = "qid", key: str = "doc") -> DataFrame:
-    """The first `depth` rows of each query, ties by key; rank counts from 0."""
+    """The first `depth` rows of each query, ties by key; rank counts from 0.
+
+    The filter stands on the row number itself, so each task keeps `depth` rows of a query before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), key)
-    return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < depth)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).withColumn("rank", F.col("rank") - 1)
 
 
 def graph_leg(chunks: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", q_id: str = "item_id", q_text: str = "text") -> DataFrame:

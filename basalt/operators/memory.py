@@ -13,6 +13,7 @@ META = [
     "(previous|last) (answer|question)", "repeat (that|your answer)", "what did you (just )?(say|tell)", "earlier in (this|our) (chat|conversation)", "remind me what",
 ]
 GAP_RAISE, PREVIEW = 3, 120
+MOST_TOPICS = 10_000
 # End of fixed values.
 
 
@@ -88,6 +89,8 @@ def suggest_expert(questions: DataFrame, experts: DataFrame) -> DataFrame:
     """(qid, name, hits): the expert with most topics named in the question, the first of equals, none without a hit.
     questions: (qid, text); experts: (pos, name, topics comma list), a small table."""
     topics = experts.select("pos", "name", F.explode(F.transform(F.split("topics", ","), lambda t: F.lower(F.trim(t)))).alias("topic"))
+    if topics.count() > MOST_TOPICS:
+        raise ValueError(f"more than {MOST_TOPICS} topics: a list of experts is expected, which every task can hold")
     met = questions.select("qid", F.lower(F.coalesce("text", F.lit(""))).alias("t")).join(F.broadcast(topics), F.contains(F.col("t"), F.col("topic")))
     n = met.groupBy("qid", "pos", "name").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("qid").orderBy(F.desc("hits"), "pos")

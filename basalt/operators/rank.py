@@ -187,11 +187,23 @@ def organise(evidence: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order)).select("qid", "doc", "section", "text", "score", "place")
 
 
+QUERY_BLOCK = 1000
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(qid, doc, score, rank): the k most similar vectors of each query by cosine; queries are a small, bounded set."""
+    """(qid, doc, score, rank): the k most similar vectors of each query by cosine.
+
+    Queries meet the vectors in blocks of about QUERY_BLOCK, the only thing that is broadcast; each
+    task keeps k rows of a query before anything is shuffled."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"), norm(F.col(vec_col)).alias("qn"))
     d = vectors.select(F.col(id_col).alias("doc"), F.col(vec_col).alias("dv"), norm(F.col(vec_col)).alias("dn"))
-    scored = d.join(F.broadcast(q), F.col("doc") != F.col("qid")).select("qid", "doc", F.round(dot(F.col("qv"), F.col("dv")) / (F.col("qn") * F.col("dn")), 6).alias("score"))
-    return I.ranked(scored, k)
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        scored = d.join(F.broadcast(part), F.col("doc") != F.col("qid")).select("qid", "doc", F.round(dot(F.col("qv"), F.col("dv")) / (F.col("qn") * F.col("dn")), 6).alias("score"))
+        top = I.ranked(scored, k)
+        out = top if out is None else out.unionByName(top)
+    return out

@@ -156,9 +156,15 @@ SELECT *, CASE WHEN substantive >= 2 THEN 'STRONG' WHEN substantive = 1 THEN 'PA
 def relevant(spark, d):
     """A document is relevant to a benchmark passage if it holds the passage's first sixty characters.
 
-    The few passages are a fixed table (200 rows at most here), so they are sent to the documents."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("needle"))
-    return table(spark, d, "documents").join(F.broadcast(b), F.contains(F.col("text"), F.col("needle"))).select("qid", F.col("doc_id").alias("doc"))
+    Both meet by the longest word inside the passage's beginning (its neighbours are in the passage
+    too, so it is a whole word of the document), then the characters are compared."""
+    words = lambda c: F.split(c, r"[ \t\n]+")
+    inner = F.slice(words(F.col("needle")), F.lit(2), F.greatest(F.lit(0), F.size(words(F.col("needle"))) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("needle")).withColumn("word", longest).where("word is not null")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    met = docs.select("doc", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(b.select("qid", "needle", "word"), "word").select("doc", "qid", "needle")
+    return met.join(docs, "doc").where(F.contains(F.col("text"), F.col("needle"))).select("qid", "doc")
 
 
 def metrics(spark, d, k=6):
