@@ -196,15 +196,16 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """Flat blocks in page order: text, words, words in links, in an article region, in furniture, heading."""
     out: list = []
     parts: list[str] = []  # of the open block: text and, in links, the same text marked
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # open block-level elements, each with the state before it
-    region = weak = furniture = heading = link = False
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # open block-level elements, each with the state before it
+    # inner: furniture since the article region began, for pages whose furniture around it is never closed.
+    region = weak = furniture = inner = heading = link = False
 
     def close() -> None:
         if parts:
             text = SPACE.sub(" ", "".join(p for p, _ in parts)).strip()
             if text:
                 linked = sum(len(p.split()) for p, inside in parts if inside)
-                out.append((text, len(text.split()), linked, region, weak, furniture, heading))
+                out.append((text, len(text.split()), linked, region, weak, furniture, heading, inner))
             parts.clear()
 
     at = 0
@@ -221,13 +222,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 if tag in ("hr", "html"):
                     continue
                 while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "option") or stack[-1][0] in HEADINGS and tag in HEADINGS):
-                    _, region, weak, furniture, heading = stack.pop()
-                stack.append((tag, region, weak, furniture, heading))
+                    _, region, weak, furniture, heading, inner = stack.pop()
+                stack.append((tag, region, weak, furniture, heading, inner))
                 named, comments, content, told, _ = hints(m["attrs"])
                 if tag not in ("body", "html"):
                     own_region = tag in REGION_TAGS
-                    furniture |= tag in FURNITURE_TAGS or told or comments or named and not own_region
-                    furniture |= tag == "header" and not region
+                    own = tag in FURNITURE_TAGS or told or comments or named and not own_region or tag == "header" and not region
+                    inner = own or inner and not (own_region and not region)
+                    furniture |= own
                     region |= own_region
                     weak |= content and not named
                 heading = tag in HEADINGS
@@ -245,7 +247,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 close()
                 if any(s[0] == tag for s in stack):
                     while True:
-                        name, region, weak, furniture, heading = stack.pop()
+                        name, region, weak, furniture, heading, inner = stack.pop()
                         if name == tag:
                             break
     if at < len(page):
@@ -253,7 +255,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     close()
     strong = any(b[3] for b in out)
     some = strong or any(b[4] for b in out)
-    return [(t, w, n, (1 if (r if strong else k) else -1) if some else 0, f, h) for t, w, n, r, k, f, h in out]
+    lost = strong and all(f for _, _, _, r, _, f, _, _ in out if r)
+    return [(t, w, n, (1 if (r if strong else k) else -1) if some else 0, i if lost and r else f, h) for t, w, n, r, k, f, h, i in out]
 
 
 def main_text(page: str | None) -> str:

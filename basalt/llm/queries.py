@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": neardup.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op5_vectors": vectors.ORACLE,
 }

@@ -228,3 +228,16 @@ def near_duplicates(table: DataFrame, least: float = 0.98, id_col: str = "vec_id
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: near-duplicate vectors of equal labels, from the cosine 0.98 on."""
     return near_duplicates(shared.table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.98),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+r(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.seen FROM r JOIN p ON p.a = r.node WHERE r.seen < p.b),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT e.vec_id, coalesce(l.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e LEFT JOIN l ON l.a = e.vec_id JOIN c ON c.node = e.vec_id
+"""

@@ -25,6 +25,11 @@ def test_broken_markup():
     assert M.main_text("<article><p title='a>b'>x</p></div></article>") == "x"
 
 
+def test_furniture_that_is_never_closed():
+    page = "<body><nav><ul><li><a href=1>Home</a><div class=ad>Buy</div><article><h1>Head</h1><p>Text of it.</p><div class=ad>Buy</div></article><footer>x</footer>"
+    assert M.main_text(page) == "Head\nText of it."
+
+
 def test_tree_fits_its_table():
     rows = M.labelled()
     assert all(M.is_content(tuple(r[:-1])) == bool(r[-1]) for r in rows)
