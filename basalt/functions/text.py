@@ -13,7 +13,7 @@ KEYWORD_STOP = (
     "the and for with this that from into their using used have has were been being will shall would should about than also such "
     "there these those your they them then which where when what does each other more most very"
 ).split()
-QUERY_STOP = "the and for with this that from what which when where how why who are was were does did can could should would about into than then".split()
+QUERY_STOP = "what is are the a an of in on for to and or do does how i we me my it be can should need about with this that there use used why when which please tell".split()
 # End of fixed values.
 
 
@@ -60,7 +60,7 @@ def tags(text: Column) -> Column:
 def summary(text: Column, limit: int = 250) -> Column:
     """First line that is not blank, cut at the limit with three dots."""
     first = F.try_element_at(lines(text), F.lit(1))
-    return F.coalesce(F.when(F.length(first) > limit, F.concat(F.rtrim(F.substring(first, 1, limit)), F.lit("..."))).otherwise(first), F.lit(""))
+    return F.coalesce(F.when(F.length(first) > limit, F.concat(F.substring(first, 1, limit), F.lit("..."))).otherwise(first), F.lit(""))
 
 
 def prose_factor(text: Column) -> Column:
@@ -69,7 +69,7 @@ def prose_factor(text: Column) -> Column:
     n = F.size(ls)
     share = lambda pattern: F.size(F.filter(ls, lambda x: x.rlike(pattern))) / n
     long = F.size(F.filter(ls, lambda x: F.size(F.filter(F.split(x, r"[ \t]+"), lambda w: w != "")) >= 8))
-    bad = (share(r"\.{4,}|(\. ){4,}") > 0.30) | (share(r"^\[[0-9]+\]") > 0.25) | (share(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]") > 0.15)
+    bad = (share(r"\.{3,}[ \t]*[0-9]+[ \t]*$") > 0.30) | (share(r"^\[[0-9]+\][ \t]") > 0.25) | (share(r"[^ \t]+@[^ \t]+\.[^ \t]+") > 0.15)
     return F.when(n == 0, F.lit(0.0)).when(bad, F.lit(0.0)).otherwise(long / n)
 
 
@@ -102,16 +102,19 @@ def parse_date(text: Column) -> Column:
 def clip(text: Column, limit: int) -> Column:
     """Cut at the limit, at the last end of a sentence if that keeps two fifths, else at a word."""
     head = F.substring(text, 1, limit)
-    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?])(?:\s|$)", 1)
-    word = F.concat(F.regexp_replace(head, r"\s+\S*$", ""), F.lit(" …"))
-    return F.when(F.length(text) <= limit, text).when(F.length(sentence) >= 0.4 * limit, sentence).otherwise(word)
+    sentence = F.regexp_extract(head, r"(?s)^(.*(?:\.[ \n]|[!?] ))", 1)
+    kept = F.substring(sentence, F.lit(1), F.length(sentence) - 1)
+    word = F.concat(F.regexp_replace(head, r"(?s)(.) [^ ]*$", "$1"), F.lit(" …"))
+    return F.when(F.length(text) <= limit, text).when((sentence != "") & (F.length(sentence) - 2 >= int(limit * 0.4)), kept).otherwise(word)
 
 
 def title_from(text: Column, limit: int = 60) -> Column:
-    """Short title of a conversation from its first question."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n]+", " "), r"(?i)^(please|can you|could you|would you|tell me|hi|hello|hey)[ ,]+", ""))
-    cut = F.when(F.length(plain) > limit, F.concat(F.regexp_replace(F.substring(plain, 1, limit), r" [^ ]*$", ""), F.lit("…"))).otherwise(plain)
-    return F.when(cut == "", F.lit("New chat")).otherwise(F.concat(F.upper(F.substring(cut, 1, 1)), F.substring(cut, F.lit(2), F.length(cut))))
+    """Short title of a conversation from its first question, without one leading courtesy."""
+    line = F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n]+"), lambda w: w != ""), " ")
+    bare = F.trim(F.regexp_replace(line, r"(?i)^(please|hey|hi|hello|can you|could you|tell me) +", ""))
+    line = F.when(bare == "", line).otherwise(bare)
+    cut = F.when(F.length(line) > limit, F.concat(F.regexp_replace(F.substring(line, 1, limit), r"(.) [^ ]*$", "$1"), F.lit("…"))).otherwise(line)
+    return F.when(cut == "", F.lit("New conversation")).otherwise(F.concat(F.upper(F.substring(cut, 1, 1)), F.substring(cut, F.lit(2), F.length(cut))))
 
 
 def sentences(text: Column) -> Column:

@@ -9,9 +9,16 @@ from basalt.functions import text as T
 
 # Questions about the conversation itself, and words that carry no topic.
 META = [
-    "what did i (just )?(ask|say)", "what was my (first|last|previous) question", "summari[sz]e (this|our|the) (chat|conversation)", "what have we (discussed|talked about)",
-    "(previous|last) (answer|question)", "repeat (that|your answer)", "what did you (just )?(say|tell)", "earlier in (this|our) (chat|conversation)", "remind me what",
-]
+    r"\bsummari[sz]e\b.*\b(conversation|chat|discussion|what we|so far)\b",
+    r"\b(recap|summary) of\b.*\b(conversation|chat|discussion)\b",
+    r"\bwhat (did|have) (we|i|you)\b.*\b(discuss|talk|ask|say|said|cover)\w*\b",
+    r"\bwhat (was|were) (my|our|the) (first|last|previous|earlier) (question|query|message)s?\b",
+    r"\bwhat did you (say|tell|answer|recommend)\b",
+    r"\bhow many questions\b.*\b(ask|asked)\b",
+    r"\b(list|show)\b.*\b(questions|topics)\b.*\b(asked|discussed|so far|conversation|chat)\b",
+    r"\bwhat (have|did) we (covered|done) so far\b",
+    r"\bearlier (question|answer|topic)s?\b",
+]
 GAP_RAISE, PREVIEW = 3, 120
 MOST_TOPICS = 10_000
 # End of fixed values.
@@ -24,7 +31,7 @@ def memory_tokens(text: Column) -> Column:
 
 
 def is_meta(q: Column) -> Column:
-    return F.lower(F.coalesce(q, F.lit(""))).rlike("|".join(META))
+    return F.array_join(F.split(F.lower(F.coalesce(q, F.lit(""))), r"[ \t\n]+"), " ").rlike("|".join(META))
 
 
 def listing(turns: DataFrame) -> DataFrame:

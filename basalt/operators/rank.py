@@ -14,6 +14,7 @@ GATE_WEIGHTS = {"support": 0.45, "dense": 0.15, "bm25": 0.15, "graph": 0.10, "me
 ACCEPT, BM25_SATURATION, GRAPH_SATURATION, COLLAPSE = 0.15, 4.0, 3.0, 0.20
 FUSION = (0.60, 0.20, 0.20)
 MMR_LAMBDA, MMR_SATURATED, MMR_LEAST = 0.72, 0.90, 3
+MULTIPART = [" and ", " compare", " versus ", " vs ", " difference", " both ", " all ", " list ", " steps", " explain", " summarize"]
 # End of fixed values.
 
 
@@ -21,12 +22,17 @@ def _terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("qid"), F.explode(T.query_terms(F.col(text_col))).alias("term"))
 
 
+def _weighed(terms: DataFrame, index: I.TextIndex) -> DataFrame:
+    """terms with idf = ln((N + 1) / (df + 1)) + 1; a term that the corpus lacks has df 0."""
+    idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    return terms.join(index.terms, "term", "left").crossJoin(F.broadcast(index.stats)).withColumn("idf", idf).drop("df", "n_docs", "avg_dl")  # one row of statistics
+
+
 def lexical_support(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, index: I.TextIndex, q_id: str = "item_id", q_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(qid, doc, support) of candidate pairs: min(1, .08 + .92 * coverage * (.30 + .70 * prose)).
 
     Coverage is the share of the query terms' idf that the chunk holds."""
-    idf = index.terms.crossJoin(F.broadcast(index.stats)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    terms = _terms(queries, q_id, q_text).join(idf, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    terms = _weighed(_terms(queries, q_id, q_text), index)
     total = terms.groupBy("qid").agg(F.sum("idf").alias("total"))
     met = index.postings.join(terms, "term").select("qid", "doc", "idf").groupBy("qid", "doc").agg(F.sum("idf").alias("met"))
     prose = chunks.select(F.col(id_col).alias("doc"), T.prose_factor(F.col(text_col)).alias("prose"))
@@ -36,13 +42,16 @@ def lexical_support(candidates: DataFrame, chunks: DataFrame, queries: DataFrame
     return rows.select("qid", "doc", F.round(F.when(F.coalesce("total", F.lit(0.0)) > 0, support).otherwise(0.5), 4).alias("support"))
 
 
-def entity_coverage(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, q_id: str = "item_id", q_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(qid, doc, entity): share of the query's capitalised words (four letters or more) that the chunk names; 0 without any."""
-    found = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Z][A-Za-z]{3,}"), F.lit(0)), F.lower))
-    q = queries.select(F.col(q_id).alias("qid"), found(F.col(q_text)).alias("qe"))
-    d = chunks.select(F.col(id_col).alias("doc"), found(F.col(text_col)).alias("de"))
-    share = F.size(F.array_intersect("qe", "de")) / F.size("qe")
-    return candidates.select("qid", "doc").join(q, "qid").join(d, "doc").select("qid", "doc", F.round(F.when(F.size("qe") > 0, share).otherwise(0.0), 4).alias("entity"))
+def entity_coverage(candidates: DataFrame, queries: DataFrame, index: I.TextIndex, q_id: str = "item_id", q_text: str = "text") -> DataFrame:
+    """(qid, doc, entity): share of the query's entities that the chunk holds as a token, weighed by idf; 0 without any.
+
+    Entities are the query's capitalised words of four letters or more, in singular."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(q_text), F.lit("")), F.lit("[A-Z][A-Za-z]{3,}"), F.lit(0)), lambda w: T.singular(F.lower(w))))
+    terms = _weighed(queries.select(F.col(q_id).alias("qid"), F.explode(found).alias("term")), index)
+    total = terms.groupBy("qid").agg(F.sum("idf").alias("all"))
+    met = index.postings.join(terms, "term").groupBy("qid", "doc").agg(F.sum("idf").alias("met"))
+    rows = candidates.select("qid", "doc").join(met, ["qid", "doc"], "left").join(total, "qid", "left")
+    return rows.select("qid", "doc", F.round(F.coalesce(F.col("met") / F.col("all"), F.lit(0.0)), 4).alias("entity"))
 
 
 def metadata_boost(section_hit: Column, entities: Column, keywords: Column, explicit: Column) -> Column:
@@ -54,7 +63,8 @@ def metadata_boost(section_hit: Column, entities: Column, keywords: Column, expl
 def fuse(relevance: Column, entity: Column, meta: Column) -> Column:
     """.60 relevance + .20 entity + .20 normalised boost."""
     a, b, c = FUSION
-    return a * relevance + b * entity + c * (meta - 1) / 0.5
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return a * unit(relevance) + b * entity + c * unit((meta - 1) / 0.5)
 
 
 def gate(rows: DataFrame, threshold: float = ACCEPT) -> DataFrame:
@@ -100,12 +110,15 @@ def grounding(queries: DataFrame, index: I.TextIndex, q_id: str = "item_id", q_t
 
 
 def adaptive_k(text: Column) -> tuple[Column, Column]:
-    """How many results (3 to 10) and candidates (16 to 40) a query should get."""
-    n = F.size(T.query_terms(text))
-    parts = F.regexp_count(F.lower(text), F.lit(r"(^|[^a-z])(and|versus|vs|compare|also|then)([^a-z]|$)"))
-    marks = F.greatest(F.regexp_count(text, F.lit(r"\?")) - 1, F.lit(0))
-    k = F.least(F.lit(10), F.greatest(F.lit(3), F.lit(4) + F.floor(n / 6) + F.least(F.lit(3), parts) + marks)).cast("int")
-    return k, F.least(F.lit(40), F.greatest(F.lit(16), k * 4)).cast("int")
+    """How many results (3 to 10) and candidates (16 to 40) a query should get, from its length, parts and question marks."""
+    n = F.size(F.filter(T.tokens(text), lambda w: ~w.isin(T.QUERY_STOP)))
+    low = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+    parts = F.greatest(*(F.contains(low, F.lit(m)) for m in MULTIPART))
+    add = lambda cond, k: F.when(cond, k).otherwise(0)
+    k = 4 + add(n > 6, 2) + add(n > 12, 2) + add(parts, 2) + add(F.regexp_count(text, F.lit(r"\?")) > 1, 1)
+    k = F.least(F.lit(10), F.greatest(F.lit(3), k))
+    pool = F.greatest(20 + add(n > 6, 6) + add(n > 12, 6) + add(parts, 8), 3 * k)
+    return k.cast("int"), F.least(F.lit(40), F.greatest(F.lit(16), pool)).cast("int")
 
 
 def mmr(candidates: DataFrame, k: int, per_doc: int = 4, per_section: int = 2) -> DataFrame:

@@ -103,7 +103,7 @@ a AS (SELECT word, {_forms('word')} AS form FROM w), k AS (SELECT term, freq, {_
 Q["spell_correct"] = lambda spark, d: U.corrections(*spell_tables(spark, d))
 
 Q["meta_query"] = lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", C.is_meta(F.concat(F.expr("CASE WHEN turn % 3 = 0 THEN 'What did I just ask about ' ELSE '' END"), F.coalesce("text", F.lit("")))).alias("meta"))
-O["meta_query"] = f"SELECT conv_id, turn, regexp_matches(lower(CASE WHEN turn % 3 = 0 THEN 'What did I just ask about ' ELSE '' END || coalesce(text, '')), '{'|'.join(C.META)}') AS meta FROM conversations"
+O["meta_query"] = f"SELECT conv_id, turn, regexp_matches(regexp_replace(lower(CASE WHEN turn % 3 = 0 THEN 'What did I just ask about ' ELSE '' END || coalesce(text, '')), '[ \\t\\n]+', ' ', 'g'), '{'|'.join(C.META)}') AS meta FROM conversations"
 
 # ---- answers: assistant turns; evidence: the earlier turns of the conversation
 

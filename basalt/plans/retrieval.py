@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basalt.functions import text as T
 from basalt.operators import index as I
 from basalt.operators import rank as R
-from basalt.plans.common import INDEX_SQL, RANK_SQL, longs, query_terms_sql, table, tokens_sql, wc_sql
+from basalt.plans.common import INDEX_SQL, RANK_SQL, longs, query_terms_sql, sing_sql, table, tokens_sql, wc_sql, words_sql
 from basalt.plans.text import PROSE_SQL
 
 Q, O = {}, {}
@@ -69,14 +69,15 @@ O["rrf_fusion"] = f"WITH {ALL_SQL}, r AS (SELECT qid, doc, score, {RANK_SQL} AS
 SUPPORT_SQL = f"""
 cand AS (SELECT qid, doc, score, {RANK_SQL} AS rank FROM rrf),
 qterms AS (SELECT item_id AS qid, unnest({query_terms_sql('text')}) AS term FROM benchmark),
-qidf AS (SELECT qid, term, coalesce(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 0.0) AS idf FROM qterms LEFT JOIN terms USING (term) CROSS JOIN st),
+qidf AS (SELECT qid, term, ln((n_docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM qterms LEFT JOIN terms USING (term) CROSS JOIN st),
 qtotal AS (SELECT qid, sum(idf) AS total FROM qidf GROUP BY qid),
 met AS (SELECT qid, doc, sum(idf) AS met FROM qidf JOIN postings USING (term) GROUP BY qid, doc), {PROSE_SQL},
 support AS (SELECT qid, doc, rank, score, round(CASE WHEN coalesce(total, 0.0) > 0 THEN least(1.0, 0.08 + 0.92 * (coalesce(met, 0.0) / total) * (0.30 + 0.70 * prose)) ELSE 0.5 END, 4) AS support
   FROM cand LEFT JOIN met USING (qid, doc) LEFT JOIN qtotal USING (qid) JOIN prose ON prose.doc_id = doc WHERE rank < 10),
-ent AS (SELECT item_id AS qid, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Z][A-Za-z]{{3,}}'), lambda x: lower(x))) AS qe FROM benchmark),
-dent AS (SELECT doc_id AS doc, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Z][A-Za-z]{{3,}}'), lambda x: lower(x))) AS de FROM documents),
-entity AS (SELECT qid, doc, round(CASE WHEN len(qe) > 0 THEN len(list_intersect(qe, de)) / len(qe) ELSE 0.0 END, 4) AS entity FROM support JOIN ent USING (qid) JOIN dent USING (doc))"""
+ent AS (SELECT DISTINCT qid, {sing_sql('w')} AS term FROM (SELECT item_id AS qid, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][A-Za-z]{{3,}}'))) AS w FROM benchmark)),
+eidf AS (SELECT qid, term, ln((n_docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM ent LEFT JOIN terms USING (term) CROSS JOIN st), eall AS (SELECT qid, sum(idf) AS total FROM eidf GROUP BY qid),
+emet AS (SELECT qid, doc, sum(idf) AS met FROM eidf JOIN postings USING (term) GROUP BY qid, doc),
+entity AS (SELECT s.qid, s.doc, round(CAST(coalesce(emet.met / eall.total, 0.0) AS DOUBLE), 4) AS entity FROM support s LEFT JOIN emet USING (qid, doc) LEFT JOIN eall USING (qid))"""
 
 
 def candidates(spark, d):
@@ -91,7 +92,7 @@ O["lexical_support"] = f"WITH {ALL_SQL}, {SUPPORT_SQL} SELECT qid, doc, CAST(sup
 
 def fused_rank(spark, d):
     docs, asked, index, dense, bm25, graph, top = candidates(spark, d)
-    rows = R.lexical_support(top, docs, asked, index).join(R.entity_coverage(top, docs, asked), ["qid", "doc"])
+    rows = R.lexical_support(top, docs, asked, index).join(R.entity_coverage(top, asked, index), ["qid", "doc"])
     rows = rows.withColumn("score", F.round(R.fuse(F.col("support"), F.col("entity"), F.lit(1.0)), 4))
     return longs(I.ranked(rows, 10).select("qid", "doc", "score", "rank"))
 
@@ -102,7 +103,7 @@ O["fused_rank"] = f"WITH {ALL_SQL}, {SUPPORT_SQL}, f AS (SELECT qid, doc, round(
 
 def acceptance(spark, d):
     docs, asked, index, dense, bm25, graph, top = candidates(spark, d)
-    rows = top.select("qid", "doc", "rank").join(R.lexical_support(top, docs, asked, index), ["qid", "doc"]).join(R.entity_coverage(top, docs, asked), ["qid", "doc"])
+    rows = top.select("qid", "doc", "rank").join(R.lexical_support(top, docs, asked, index), ["qid", "doc"]).join(R.entity_coverage(top, asked, index), ["qid", "doc"])
     for name, leg in (("dense", dense), ("bm25", bm25), ("graph", graph)):
         rows = rows.join(leg.withColumnRenamed("score", name), ["qid", "doc"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return R.gate(rows.withColumn("meta", F.lit(1.0))).select("qid", "doc", "accept_score", "accepted", "reason")
@@ -154,8 +155,11 @@ def adaptive(spark, d):
 
 
 Q["adaptive_k"] = adaptive
-_PARTS = "len(regexp_extract_all(lower(text), '(^|[^a-z])(and|versus|vs|compare|also|then)([^a-z]|$)'))"
-O["adaptive_k"] = f"SELECT item_id, k, CAST(least(40, greatest(16, k * 4)) AS BIGINT) AS pool FROM (SELECT item_id, CAST(least(10, greatest(3, 4 + len({query_terms_sql('text')}) // 6 + least(3, {_PARTS}) + greatest(len(regexp_extract_all(text, '\\?')) - 1, 0))) AS BIGINT) AS k FROM benchmark)"
+_N = f"len(list_filter({tokens_sql('text')}, lambda w: w NOT IN ({words_sql(T.QUERY_STOP)})))"
+_PARTS = " OR ".join(f"contains(' ' || lower(text) || ' ', '{m}')" for m in R.MULTIPART)
+O["adaptive_k"] = f"""WITH a AS (SELECT item_id, {_N} AS n, {_PARTS} AS parts, len(regexp_extract_all(text, '\\?')) AS marks FROM benchmark),
+k AS (SELECT *, CAST(least(10, greatest(3, 4 + CASE WHEN n > 6 THEN 2 ELSE 0 END + CASE WHEN n > 12 THEN 2 ELSE 0 END + CASE WHEN parts THEN 2 ELSE 0 END + CASE WHEN marks > 1 THEN 1 ELSE 0 END)) AS BIGINT) AS k FROM a)
+SELECT item_id, k, CAST(least(40, greatest(16, 20 + CASE WHEN n > 6 THEN 6 ELSE 0 END + CASE WHEN n > 12 THEN 6 ELSE 0 END + CASE WHEN parts THEN 8 ELSE 0 END, 3 * k)) AS BIGINT) AS pool FROM k"""
 
 
 def mmr(spark, d):

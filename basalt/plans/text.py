@@ -114,32 +114,39 @@ f AS (SELECT doc_id, concept, count(*) AS df FROM c GROUP BY doc_id, concept)
 SELECT doc_id, concept, df FROM f JOIN n USING (doc_id) WHERE df >= CASE WHEN n_lines >= 3 THEN 2 ELSE 1 END"""
 
 Q["summary_line"] = lambda spark, d: table(spark, d, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
-O["summary_line"] = f"SELECT doc_id, coalesce(CASE WHEN length(l) > 250 THEN rtrim(left(l, 250)) || '...' ELSE l END, '') AS summary FROM (SELECT doc_id, {lines_sql('text')}[1] AS l FROM documents)"
+O["summary_line"] = f"SELECT doc_id, coalesce(CASE WHEN length(l) > 250 THEN left(l, 250) || '...' ELSE l END, '') AS summary FROM (SELECT doc_id, {lines_sql('text')}[1] AS l FROM documents)"
 
 Q["prose_factor"] = lambda spark, d: table(spark, d, "documents").select("doc_id", F.round(T.prose_factor(F.col("text")), 4).alias("prose"))
 PROSE_SQL = f"""
 ls AS (SELECT doc_id, {lines_sql('text')} AS ls FROM documents),
 prose AS (SELECT doc_id, CASE WHEN len(ls) = 0 THEN 0.0
-  WHEN len(list_filter(ls, lambda x: regexp_matches(x, '\\.{{4,}}|(\\. ){{4,}}'))) / len(ls) > 0.30 OR len(list_filter(ls, lambda x: regexp_matches(x, '^\\[[0-9]+\\]'))) / len(ls) > 0.25
-    OR len(list_filter(ls, lambda x: regexp_matches(x, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[A-Za-z]'))) / len(ls) > 0.15 THEN 0.0
+  WHEN len(list_filter(ls, lambda x: regexp_matches(x, '\\.{{3,}}[ \\t]*[0-9]+[ \\t]*$'))) / len(ls) > 0.30 OR len(list_filter(ls, lambda x: regexp_matches(x, '^\\[[0-9]+\\][ \\t]'))) / len(ls) > 0.25
+    OR len(list_filter(ls, lambda x: regexp_matches(x, '[^ \\t]+@[^ \\t]+\\.[^ \\t]+'))) / len(ls) > 0.15 THEN 0.0
   ELSE len(list_filter(ls, lambda x: len(list_filter(regexp_split_to_array(x, '[ \\t]+'), lambda w: w <> '')) >= 8)) / len(ls) END AS prose FROM ls)"""
 O["prose_factor"] = f"WITH {PROSE_SQL} SELECT doc_id, round(CAST(prose AS DOUBLE), 4) AS prose FROM prose"
 
 
 def header_strip(spark, d):
-    """First lines that are repeated on many pages (documents) of a source, and whether a page loses its first line."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.try_element_at(T.lines(F.col("text")), F.lit(1)), F.lit("")).alias("first"))
-    n = docs.groupBy("source").agg(F.count("*").alias("pages"))
-    same = docs.groupBy("source", "first").agg(F.count("*").alias("same"))
-    out = docs.join(same, ["source", "first"]).join(n, "source")
-    return out.select("doc_id", ((F.col("pages") >= 4) & (F.col("first") != "") & (F.col("same") >= F.greatest(F.lit(3), F.floor(0.3 * F.col("pages"))))).alias("stripped"), "same")
+    """What running headers a page (document) of a source loses: its first line where that line, else its first four
+    words where they, begin at least max(3, three tenths) of the source's pages that have text; sources under four pages keep all."""
+    first = F.trim(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
+    words = F.filter(F.split(first, r"[ \t]+"), lambda w: w != "")
+    docs = table(spark, d, "documents").select("doc_id", "source", first.alias("first"), F.when(F.size(words) >= 4, F.array_join(F.slice(words, 1, 4), " ")).alias("prefix"), (F.trim(F.coalesce("text", F.lit(""))) != "").cast("int").alias("some"))
+    pages = docs.groupBy("source").agg(F.count("*").alias("pages"), F.greatest(F.lit(1), F.sum("some")).alias("n"))
+    exact = docs.where("some = 1").groupBy("source", "first").agg(F.count("*").alias("same"))
+    prefix = docs.where("some = 1 and prefix is not null").groupBy("source", "prefix").agg(F.count("*").alias("alike"))
+    rows = docs.join(pages, "source").join(exact, ["source", "first"], "left").join(prefix, ["source", "prefix"], "left")
+    least = F.greatest(F.lit(3), F.floor(0.3 * F.col("n")))
+    lost = F.when((F.col("pages") < 4) | (F.col("first") == ""), "none").when(F.col("same") >= least, "line").when(F.col("alike") >= least, "prefix").otherwise("none")
+    return rows.select("doc_id", lost.alias("lost"))
 
 
 Q["header_strip"] = header_strip
-O["header_strip"] = f"""
-WITH f AS (SELECT doc_id, source, coalesce({lines_sql('text')}[1], '') AS first FROM documents),
-w AS (SELECT doc_id, first, count(*) OVER (PARTITION BY source, first) AS same, count(*) OVER (PARTITION BY source) AS pages FROM f)
-SELECT doc_id, pages >= 4 AND first <> '' AND same >= greatest(3, floor(0.3 * pages)) AS stripped, same FROM w"""
+O["header_strip"] = """
+WITH f AS (SELECT doc_id, source, trim(split_part(coalesce(text, ''), chr(10), 1)) AS first, trim(coalesce(text, '')) <> '' AS full_ FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(first, '[ \\t]+'), lambda w: w <> '') AS ws FROM f), p AS (SELECT doc_id, source, first, full_, CASE WHEN len(ws) >= 4 THEN array_to_string(ws[1:4], ' ') END AS prefix FROM w),
+c AS (SELECT *, count(*) OVER (PARTITION BY source) AS pages, greatest(1, count(*) FILTER (full_) OVER (PARTITION BY source)) AS n, count(*) FILTER (full_) OVER (PARTITION BY source, first) AS same, count(*) FILTER (full_ AND prefix IS NOT NULL) OVER (PARTITION BY source, prefix) AS alike FROM p)
+SELECT doc_id, CASE WHEN pages < 4 OR first = '' THEN 'none' WHEN same >= greatest(3, floor(0.3 * n)) THEN 'line' WHEN prefix IS NOT NULL AND alike >= greatest(3, floor(0.3 * n)) THEN 'prefix' ELSE 'none' END AS lost FROM c"""
 
 Q["tag_extract"] = lambda spark, d: table(spark, d, "part").select("p_partkey", F.array_join(T.tags(F.concat(F.lit("P-"), F.lpad(F.pmod("p_partkey", F.lit(1000)).cast("string"), 3, "0"), F.lit(" feeds BRG-"), F.col("p_size"), F.lit(" and WO-"), F.col("p_partkey"))), ",").alias("tags"))
 O["tag_extract"] = "SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all('P-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || ' feeds BRG-' || p_size || ' and WO-' || p_partkey, '\\b(?:[A-Z]{1,3}-\\d{2,3}|SAF-\\d+|SOP-\\d+|BRG-\\d+|MS-\\d+|CE-\\d+|WO-\\d+|MCC-\\d-\\d+|HS-\\d+)\\b'))), ',') AS tags FROM part"

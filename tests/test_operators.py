@@ -88,9 +88,9 @@ def test_claims_and_numbers(spark):
 
 def test_meta_and_titles(spark):
     assert values(spark, ["What did I just ask?", "What is a pump?"], C.is_meta(F.col("x"))) == [True, False]
-    assert values(spark, ["please explain pumps", None], T.title_from(F.col("x"))) == ["Explain pumps", "New chat"]
+    assert values(spark, ["please explain pumps", None], T.title_from(F.col("x"))) == ["Explain pumps", "New conversation"]
 
 
-@pytest.mark.parametrize("limit,want", [(100, "One two. Three four five."), (12, "One two."), (6, "One …")])
+@pytest.mark.parametrize("limit,want", [(100, "One two. Three four five."), (12, "One two."), (6, "One …"), (20, "One two. Three four …")])
 def test_clip(spark, limit, want):
     assert values(spark, ["One two. Three four five."], T.clip(F.col("x"), limit)) == [want]
