@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,22 +26,31 @@ def lines(text: Column) -> Column:
 
 
 def singular(w: Column) -> Column:
-    """A cautious English singular; words that are short, mixed with other signs or end like `class` stay."""
+    """A cautious English singular; words that are short, mixed with other signs or end like `class` stay.
+
+    Only words in -s can change, so the tests after the first one are rarely made."""
     n = F.length(w)
     cut = lambda k: F.substring(w, F.lit(1), n - k)
-    keep = ~w.rlike("^[a-z]+$") | (n <= 3) | w.rlike("(ss|us|is|ous)$")
-    return F.when(keep, w).when(w.endswith("ies"), F.concat(cut(3), F.lit("y"))).when(w.rlike("(ses|xes|zes|ches|shes)$"), cut(2)).when(w.endswith("s"), cut(1)).otherwise(w)
+    ends = lambda *tails: reduce(or_, (w.endswith(t) for t in tails))
+    changes = w.endswith("s") & (n > 3) & ~ends("ss", "us", "is") & w.rlike("^[a-z]+$")
+    short = F.when(w.endswith("ies"), F.concat(cut(3), F.lit("y"))).when(ends("ses", "xes", "zes", "ches", "shes"), cut(2)).otherwise(cut(1))
+    return F.when(changes, short).otherwise(w)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case tokens in singular; a compound with hyphens also gives its alphabetic parts of three letters or more."""
+def raw_tokens(text: Column) -> Column:
+    """Lower-case tokens as they stand; a compound with hyphens also gives its alphabetic parts of three letters or more."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
     def expand(t: Column) -> Column:
         parts = F.filter(F.split(t, "-"), lambda p: (F.length(p) >= 3) & p.rlike("^[a-z]+$"))
-        return F.concat(F.array(singular(t)), F.when(F.contains(t, F.lit("-")), F.transform(parts, singular)).otherwise(F.array().cast("array<string>")))
+        return F.concat(F.array(t), F.when(F.contains(t, F.lit("-")), parts).otherwise(F.array().cast("array<string>")))
 
-    return F.flatten(F.transform(found, expand))
+    return F.when(F.contains(text, F.lit("-")), F.flatten(F.transform(found, expand))).otherwise(found)
+
+
+def tokens(text: Column) -> Column:
+    """raw_tokens in singular."""
+    return F.transform(raw_tokens(text), singular)
 
 
 def query_terms(text: Column) -> Column:

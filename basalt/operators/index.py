@@ -23,8 +23,9 @@ class TextIndex:
 def build(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
     """Statistics of all chunks.  One shuffle by (doc, term) after map-side counting gives the postings;
     everything else is derived from them by partial aggregations."""
-    toks = chunks.select(F.col(id_col).alias("doc"), T.tokens(F.col(text_col)).alias("ts"))
-    postings = toks.select("doc", F.explode("ts").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    toks = chunks.select(F.col(id_col).alias("doc"), T.raw_tokens(F.col(text_col)).alias("ts"))
+    # Exploded first: the singular is then generated code over rows, not a function over arrays.
+    postings = toks.select("doc", F.explode("ts").alias("t")).select("doc", T.singular(F.col("t")).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
     docs = toks.select("doc", F.size("ts").cast("bigint").alias("dl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
