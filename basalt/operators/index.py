@@ -12,8 +12,9 @@ from basalt.functions import text as T
 
 @dataclass
 class TextIndex:
-    """postings (doc, term, tf), docs (doc, dl), terms (term, df), size and mean length of the corpus."""
+    """tokens (doc, ts), postings (doc, term, tf), docs (doc, dl), terms (term, df), size and mean length of the corpus."""
 
+    tokens: DataFrame
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
@@ -21,15 +22,15 @@ class TextIndex:
 
 
 def build(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-    """Statistics of all chunks.  One shuffle by (doc, term) after map-side counting gives the postings;
-    everything else is derived from them by partial aggregations."""
-    toks = chunks.select(F.col(id_col).alias("doc"), T.raw_tokens(F.col(text_col)).alias("ts"))
+    """Statistics of all chunks.  Texts are dealt out by document once; postings, lengths and scores by
+    document then need no further shuffle, and document frequencies only partial counts."""
+    toks = chunks.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).repartition("doc").select("doc", T.raw_tokens(F.col("text")).alias("ts"))
     # Exploded first: the singular is then generated code over rows, not a function over arrays.
     postings = toks.select("doc", F.explode("ts").alias("t")).select("doc", T.singular(F.col("t")).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
     docs = toks.select("doc", F.size("ts").cast("bigint").alias("dl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    return TextIndex(postings, docs, terms, stats)
+    return TextIndex(toks, postings, docs, terms, stats)
 
 
 def queries_of(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,15 +43,26 @@ def hits(index: TextIndex, terms: DataFrame) -> DataFrame:
     return index.postings.join(terms, "term")
 
 
+QUERY_TERMS = 200_000
+
+
+def held(df: DataFrame, most: int = QUERY_TERMS) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows (counted), else as it is: it is then joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bm25(index: TextIndex, queries: DataFrame, id_col: str = "item_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, doc, score): BM25 of every document that shares a term with the query.
 
-    Filtering the postings to the batch's terms comes first, so document frequencies are counted for
-    these terms alone and the corpus is read once."""
+    Tokens are reduced to the batch's terms before they are counted, where the documents lie; what is
+    shuffled are partial document frequencies of these terms and, by callers, each task's best rows."""
     terms = queries_of(queries, id_col, text_col)
-    met = hits(index, terms)
-    df = index.postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = met.join(df, "term").join(index.docs, "doc").crossJoin(F.broadcast(index.stats))  # one row of statistics
+    wanted = held(terms.select("term").distinct())
+    raw = index.tokens.select("doc", F.size("ts").cast("bigint").alias("dl"), F.explode("ts").alias("t")).select("doc", "dl", T.singular(F.col("t")).alias("term"))
+    found = raw.join(wanted, "term").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    asked = held(terms.join(df, "term"))
+    scored = found.join(asked, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     return scored.groupBy("qid", "doc").agg(F.round(F.sum(part), 6).alias("score"))

@@ -15,7 +15,7 @@ Q, O = {}, {}
 
 
 def corpus(spark, d):
-    docs, asked = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")
+    docs, asked = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), table(spark, d, "benchmark")
     return docs, asked, I.build(docs)
 
 

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +27,9 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent))
     context.addPyFile(str(path))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few for that; tables of more partitions than cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
