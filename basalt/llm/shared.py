@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.runtime import ship
+from basalt.runtime import ship, spread
 
 _OWN: list[str] = []
 
@@ -70,7 +70,9 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts, which are costly to work through, are spread over all cores where their files are too few."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def text_or_empty(col: str = "text"):
