@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import text as T
 from basalt.operators import index as I
+from basalt.runtime import ship
 
 # Weights and thresholds of the specification.
 GATE_WEIGHTS = {"support": 0.45, "dense": 0.15, "bm25": 0.15, "graph": 0.10, "meta": 0.05, "entity": 0.10}
@@ -127,6 +128,8 @@ def mmr(candidates: DataFrame, k: int, per_doc: int = 4, per_section: int = 2) -
     A query's candidates are a bounded pool (40 at most), so each group fits a task.  Similarity is
     the Jaccard of term sets; once MMR_LEAST are chosen, candidates too like a chosen one stop."""
 
+    ship(candidates.sparkSession)
+
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["score", "doc"], ascending=[False, True]).reset_index(drop=True)
         sets, top = [set(t) for t in rows["terms"]], max(rows["score"].max(), 1e-12)

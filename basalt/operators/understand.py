@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
+from basalt.runtime import ship
 
 # Ordered rules of the specification.
 CLASS_RULES = [
@@ -175,6 +176,7 @@ def corrections(words: DataFrame, vocabulary: DataFrame, least: float = 0.60, sh
 
     Distance by `osa` (half more if the first letter differs), ties by frequency and then by term;
     confidence .75 (1 - d / length) + .25 log frequency share."""
+    ship(vocabulary.sparkSession)
     total = vocabulary.agg(F.max("freq").alias("top"))
     lone = words.select("word").distinct().join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti").where(F.length("word") >= shortest)
 

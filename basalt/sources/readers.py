@@ -129,6 +129,7 @@ def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     """A JSON file as a document, indented anew and cut at JSON_CAP characters; a broken file stays as it is."""
+    ship(spark)
 
     @F.pandas_udf("string")
     def tidy(col: pd.Series) -> pd.Series:

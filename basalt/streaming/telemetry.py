@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from basalt.operators.telemetry import RECENT, TREND
+from basalt.runtime import ship
 
 RESULT = "user_id bigint, n bigint, recent_mean double, slope_day double, latest double"
 
@@ -55,6 +56,7 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 def running(events: DataFrame) -> DataFrame:
     """The latest analysis of each series that a batch touches (update mode)."""
+    ship(events.sparkSession)
     return events.select("user_id", "ts", "value").groupBy("user_id").applyInPandasWithState(_update, RESULT, "n bigint, ts array<bigint>, vs array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
