@@ -196,6 +196,7 @@ class Chunks:
 
 def load(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, media, payload, feature) of every stored row, read back from the packs and verified."""
+    shared.tune(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[str, Chunks] = {}

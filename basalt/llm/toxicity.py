@@ -210,6 +210,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_EXAMPLES) -> Model:
     """Learn from the labelled rows among docs; the model keeps the terms found in all docs."""
+    shared.tune(docs.sparkSession)
     ids, weights = sample(labels, id_col, label_col, most)
     picked = F.broadcast(ids)  # two labels, `most` ids each
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -228,6 +229,7 @@ def score(model: Model, id_col: str = "doc_id") -> DataFrame:
 
     A null or empty text has no terms and gets the score of such examples.  Repeated rows give
     repeated rows.  Where nothing could be learned every score is 0."""
+    shared.tune(model.vectors.sparkSession)
     index = model.index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

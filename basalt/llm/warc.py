@@ -258,6 +258,7 @@ class Archive:
 def read(requests: DataFrame, folder: str, shards: list, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, url, payload, payload_digest, record_type, refers_to): all records of the requested keys, each key once."""
     spark = requests.sparkSession
+    shared.tune(spark)
     rows = requests.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
