@@ -2,7 +2,8 @@
 
 Terms are words and word beginnings (so that unseen endings of a family still meet it).  Of the
 labelled sample's terms those stay that go with the label far beyond chance (a likelihood ratio,
-corrected for the number of terms tried).  Their document frequencies are counted over *all*
+corrected for the number of terms tried); where the sample thins the labels unlike, their counts are weighted back
+first, so that shares mean what they mean over all labelled rows.  Their document frequencies are counted over *all*
 documents.  A document is compared with the labelled examples that hold any such term; the
 index's blocks carry the largest weight of each term, so a block that cannot reach the k-th best
 cosine is passed over and the k best are exact.  Votes are weighted by cosine and by how the
@@ -77,16 +78,21 @@ def sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[D
     return shared.cut(picked, "toxic-sample"), {x: max(1.0, n / most) for x, n in total.items()}
 
 
-def select_terms(examples: DataFrame, most: int) -> list[str]:
-    """Terms that go with label 1 beyond chance; examples: (text, label)."""
+def select_terms(examples: DataFrame, most: int, weights: dict[int, float]) -> list[str]:
+    """Terms that go with label 1 beyond chance; examples: (text, label); weights: labelled rows that an example of each label stands for.
+
+    Counts are taken in units of the label that was thinned least, so no example counts for less than itself
+    and evidence is not multiplied where both labels are thinned alike."""
     size = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
         return []
     counted = shared.cut(examples.mapInArrow(_sample_terms, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")), "toxic-terms")
     tried = counted.count()
-    base = pos / (pos + neg)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    least = min(weights[0], weights[1])
+    one, zero = weights[1] / least, weights[0] / least
+    base = pos * one / (pos * one + neg * zero)
+    a, b = F.col("a") * F.lit(float(one)), F.col("b") * F.lit(float(zero))
     rate = a / (a + b)
     gain = 2 * (F.when(a > 0, a * F.log(rate / base)).otherwise(0.0) + F.when(b > 0, b * F.log((1 - rate) / (1 - base))).otherwise(0.0))
     best = counted.withColumn("gain", gain).where((rate >= PURE) & (F.col("gain") >= 2 * math.log(max(2, tried)))).orderBy(F.desc("gain"), "term").limit(most)
@@ -215,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = F.broadcast(ids)  # two labels, `most` ids each
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     examples = shared.cut(texts.join(picked, "id").select("text", "label"), "toxic-examples")
-    terms = select_terms(examples, MAX_TERMS)
+    terms = select_terms(examples, MAX_TERMS, weights)
     shared.drop_cut(examples)
     found = shared.cut(vectors(docs, terms, id_col, text_col), "toxic-vectors")
     df = {r["t"]: r["n"] for r in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # MAX_TERMS rows at most
