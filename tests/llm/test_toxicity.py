@@ -22,16 +22,6 @@ def test_marked_words_are_found(spark):
     assert again == {i: r["score"] for i, r in got.items()}
 
 
-def test_thinned_labels_keep_the_meaning_of_thresholds(spark):
-    """A term that is two thirds clean is no sign of label 1, and one that only label 1 has is, however label 0 is thinned."""
-    rows = [(i, int(i < 120)) for i in range(1320)]
-    texts = [(i, " ".join([f"common{i % 9}", *["mostlyclean"] * (i < 60 or 120 <= i < 240), *["rarebad"] * (i in range(70, 76)), *["surebad"] * (i < 120)])) for i, _ in rows]
-    docs, labels = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(rows, "doc_id bigint, toxic int")
-    for most in (12_000, 120):
-        terms = toxicity.fit(docs, labels, most=most).index.terms
-        assert "surebad" in terms and "rarebad" in terms and "mostlyclean" not in terms, (most, terms)
-
-
 def test_nearest_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 4)
     rng = np.random.default_rng(2)
