@@ -1,3 +1,5 @@
+import time
+
 from basalt.llm import maintext as M
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header><div>Site</div><form><label>Find</label><input></form></header>
@@ -25,6 +27,38 @@ def test_broken_markup():
     assert M.main_text("<article><p title='a>b'>x</p></div></article>") == "x"
 
 
+def test_nothing_else_of_the_article_goes():
+    assert M.main_text('<article><h2>Results and discussion</h2><section id="results-discussion"><p>A paragraph.</p></section></article>') == "Results and discussion\nA paragraph."
+    assert M.main_text('<article><p>Some text.</p><div class="widget-content"><p>A paragraph of it.</p></div><p>More.</p></article>') == "Some text.\nA paragraph of it.\nMore."
+    long = "A paragraph that its author calls a notice, which has very many more words than any notice of a site would ever have, so that it is text of the article as it stands here for all to read."
+    assert M.main_text(f'<article><p>Some text.</p><p class="notice">{long}</p><p class="notice">Do note.</p></article>') == f"Some text.\n{long}"
+    assert M.main_text("<article><p>Some text.</p><p><a href=x>All of this paragraph is a link to elsewhere.</a></p><p>More.</p></article>") == "Some text.\nAll of this paragraph is a link to elsewhere.\nMore."
+    assert M.main_text("<article><p>Some text.</p><p><a href=x>All</a></p><p><a href=x>of it</a></p><p><a href=x>menu</a></p><p>More.</p></article>") == "Some text.\nMore."
+
+
+def test_neighbours_decide():
+    """In the article as elsewhere the class of many blocks follows from those around them."""
+    for region in (0, 1):
+        changed = sum(len({M.is_content((region, 0, 0, w, d, *a, *b)) for a in ((0, 0), (50, 0), (2, 1)) for b in ((0, 0), (50, 0), (2, 1))}) > 1 for w in range(1, 30) for d in (0, 0.2, 0.5, 1))
+        assert changed >= 8
+
+
+def test_quotes_that_are_never_closed():
+    assert M.main_text('<article><p title="abc>hello</p><p>world</p></article>') == "hello\nworld"
+    assert M.main_text("<article><p title=it's>hello</p><p>don't</p></article>") == "hello\ndon't"
+    assert M.main_text('<article><p title="abc>hello</p><p>"quoted" words</p></article>') == 'hello\n"quoted" words'
+    assert M.main_text("<article><p title='a>b' class=x>x</p><p a = \"<i>\" b='>'>y</p></article>") == "x\ny"
+
+
+def test_long_and_hostile_pages_take_linear_time():
+    page = "<article>" + '<p>hello <b class="x">world</b> and some more words &amp; so on</p>\n' * 70_000 + "</article>"
+    began = time.time()
+    assert M.main_text(page) == "\n".join(["hello world and some more words & so on"] * 70_000)
+    for junk in ('<a "x" \' ', '<p title="x>', "<div>", "<p a='", "<", "</", "<!", "<!--", '<div class="', "<b ", " <p a='x\">", "<script>"):
+        M.main_text("<article>" + junk * 100_000 + '"')
+    assert time.time() - began < 30
+
+
 def test_furniture_that_is_never_closed():
     page = "<body><nav><ul><li><a href=1>Home</a><div class=ad>Buy</div><article><h1>Head</h1><p>Text of it.</p><div class=ad>Buy</div></article><footer>x</footer>"
     assert M.main_text(page) == "Head\nText of it."
