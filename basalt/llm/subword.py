@@ -6,7 +6,10 @@ and equal segments merge once.  The segments of a batch lie in one flat array of
 A round finds each segment's lowest pair rank (``minimum.reduceat``), merges all leftmost
 non-overlapping pairs of that rank and compacts the array, until no pair is left.  Where a
 merge could open a pair of a better rank, only the leftmost one of the segment is merged in
-that round, so the result equals the library's queue in every case.
+that round, so the result equals the library's queue in every case.  Segments longer than LONG (texts
+without spaces) have thousands of ranks, and rounds over all their symbols would take quadratic time:
+there a round takes up only the places of the lowest rank at hand, which are kept in one bucket for each
+rank, and joins neighbours by links instead of moving symbols, so a text takes time in proportion to its length.
 
 Memory: one batch's symbols and a cache of segments, which is emptied when it holds
 ``CACHE_SEGMENTS``; its size never changes a result.
@@ -15,6 +18,7 @@ Memory: one batch's symbols and a cache of segments, which is emptied when it ho
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,7 @@ MARK = "▁"
 NONE = np.int32(2**31 - 1)
 CACHE_SEGMENTS = 150_000
 ROUND_CHARS = 400_000
+LONG = 256
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -98,6 +103,82 @@ class MergeTable:
         made[may[hit]] = self.out[at[hit]]
         return made
 
+    def merge_long(self, sym: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merged symbols of all segments and their owners; only the places of one rank are looked at in a round."""
+        n = len(sym)
+        sym, right, left = sym.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[np.flatnonzero(owner[1:] != owner[:-1])] = n
+        right[-1:] = n
+        left[np.flatnonzero(owner[1:] != owner[:-1]) + 1] = -1
+        live, made = np.ones(n, bool), np.full(n, -1, np.int32)
+        buckets: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Find the pairs at these places anew and put them into their ranks' buckets."""
+            to = right[at]
+            made[at] = -1
+            inside = to < n
+            at = at[inside]
+            made[at] = self.pair(sym[at], sym[to[inside]])
+            at = at[made[at] >= 0]
+            of = self.rank[made[at]]
+            order = np.argsort(of, kind="stable")
+            at, of = at[order], of[order]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
+            for r, part in zip(of[first].tolist(), np.split(at, first[1:]), strict=False):
+                if r not in buckets:
+                    buckets[r] = []
+                    heapq.heappush(ranks, r)
+                buckets[r].append(part)
+
+        look(np.arange(n))
+        while ranks:
+            r = ranks[0]
+            at = np.unique(np.concatenate(buckets.pop(r)))
+            heapq.heappop(ranks)
+            at = at[live[at] & (made[at] >= 0)]
+            at = at[self.rank[made[at]] == r]
+            if not len(at):
+                continue
+            # Of overlapping pairs every second one, from the left.
+            new_run = np.concatenate(([True], right[at[:-1]] != at[1:]))
+            place = np.arange(len(at))
+            run = place - np.maximum.accumulate(np.where(new_run, place, 0))
+            some = at[run % 2 == 0]
+            if not self.simple[made[some]].all():
+                # Up to the first merge that opens a better pair on either side; the rest waits.
+                before, behind = left[some], right[right[some]]
+                # A neighbour merged just before stands there as what it made.
+                merged = np.zeros(len(some), bool)
+                merged[1:] = right[right[some[:-1]]] == some[1:]
+                one = np.where(merged, np.concatenate(([0], made[some[:-1]])), sym[np.maximum(before, 0)])
+                opens = np.zeros(len(some), bool)
+                for ok, a, b in ((before >= 0, one, made[some]), (behind < n, made[some], sym[np.minimum(behind, n - 1)])):
+                    k = np.flatnonzero(ok)
+                    new = self.pair(a[k], b[k])
+                    opens[k[new >= 0]] |= self.rank[new[new >= 0]] < r
+                if opens.any():
+                    stop = int(opens.argmax()) + 1
+                    # Other segments' merges don't matter to each other, but one order for all is as good as any.
+                    later = at[at > some[stop - 1]]
+                    some = some[:stop]
+                    if len(later):
+                        buckets[r] = [later]
+                        heapq.heappush(ranks, r)
+            gone = right[some]
+            sym[some] = made[some]
+            live[gone] = False
+            made[gone] = -1
+            right[some] = right[gone]
+            inner = right[some] < n
+            left[right[some[inner]]] = some[inner]
+            # Neighbours that were merged themselves have moved their left ends: links are settled, now pairs are.
+            touched = np.concatenate((some, left[some][left[some] >= 0]))
+            look(np.unique(touched))
+        keep = np.flatnonzero(live)
+        return sym[keep], owner[keep]
+
     def merge(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments in one flat array, and how many each has."""
         codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -106,6 +187,12 @@ class MergeTable:
         sym = self.char[codes]
         sym[sym < 0] = -1 - codes[sym < 0].astype(np.int32)  # kept apart until the bytes are written
         done_sym, done_owner = [], []
+        long = np.repeat(sizes > LONG, sizes)
+        if long.any():
+            a, b = self.merge_long(sym[long], owner[long])
+            done_sym.append(a)
+            done_owner.append(b)
+            sym, owner = sym[~long], owner[~long]
         made = np.full(len(sym), -1, np.int32)
         same = owner[1:] == owner[:-1]
         made[:-1][same] = self.pair(sym[:-1][same], sym[1:][same])

@@ -1,6 +1,9 @@
+import base64
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -40,15 +43,44 @@ def test_cache_size_does_not_matter(monkeypatch):
 
 def test_decoding_any_ids():
     table, rnd = subword.merge_table(MODEL), random.Random(4)
-    import numpy as np
-
     for _ in range(300):
         ids = [rnd.choice([rnd.randrange(3, 300), rnd.randrange(259, 32000)]) for _ in range(rnd.randint(0, 12))]
         assert subword.decode_ids(table, np.array(ids, np.int64), np.array([len(ids)]))[0] == LIB.decode(ids)
 
 
+def unbroken(rnd, kind, n):
+    """A text without a space."""
+    if kind == "letters":
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    if kind == "runs":
+        return "".join(rnd.choice(["a" * rnd.randint(1, 40), "b", "aa", "--", "==", "ing", "the"]) for _ in range(n // 5))
+    if kind == "base64":
+        return base64.b64encode(rnd.randbytes(n * 3 // 4)).decode()
+    if kind == "code":
+        return "".join(rnd.choice(["function(", "var_", "{", "}", "();", "return", "Name", "0x1f", "===", "//", "getElement"]) for _ in range(n // 5))
+    return "".join(chr(rnd.randint(0x4E00, 0x5FFF)) for _ in range(n))
+
+
+def test_texts_without_spaces():
+    rnd, enc = random.Random(6), subword.Encoder(MODEL)
+    for kind in ("letters", "runs", "base64", "code", "han"):
+        texts = [unbroken(rnd, kind, rnd.randint(subword.LONG - 20, 3000)) for _ in range(40)]
+        ids, lens = enc.encode(texts)
+        for t, n, at in zip(texts, lens, np.cumsum(lens) - lens, strict=True):
+            assert ids[at : at + n].tolist() == LIB.encode(t)
+
+
+def test_a_megabyte_without_a_space_takes_linear_time():
+    rnd = random.Random(7)
+    for kind in ("letters", "base64"):
+        text, began = unbroken(rnd, kind, 1_000_000), time.time()
+        ids = subword.Encoder(MODEL).encode([text])[0]
+        assert time.time() - began < 20 and ids.tolist() == LIB.encode(text)
+
+
 def test_query_digests(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    for r in subword.query(spark, str(tmp_path)).where("doc_id = 25").collect():
-        ids = LIB.encode(dict(document_rows())[25])
-        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in subword.query(spark, str(tmp_path)).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    every = [(i, LIB.encode(t or "")) for i, t in document_rows()]
+    assert got == sorted((i is None, i or 0, len(ids), sha(",".join(map(str, ids))), sha(LIB.decode(ids))) for i, ids in every)
