@@ -2,13 +2,18 @@
 
 Documents are tokenised once.  Document frequencies and the mean length are
 counted over all documents; terms are token ids, so these statistics are bounded by the
-vocabulary.  The corpus is then packed in shards of SHARD_DOCS documents, each with an inverted
+vocabulary.  Related documents are brought together first: a document's weightiest terms (BM25) that
+at least SHARD_DOCS, a few dozen and two documents hold are the key by which documents are dealt out and
+sorted, so texts on one subject, and copies most of all, lie side by side.  The corpus is then packed in
+shards of SHARD_DOCS such neighbours (fewer where they are long), each with an inverted
 index of BM25 weights: the longest unused rest seeds a window, the index returns its unused
 neighbours, best first, and they fill the window; the last one is cut and its rest stays unused.
 
 Every window is full: what is left at the end of a shard seeds the next shard's first window, and
 at the end of a partition it is cut into sequences whose lengths are powers of two, which need no
-padding.  Tokens are written once and never shuffled; a shard is a bounded part of one partition.
+padding.  Tokens are written once and shuffled once; a shard is a bounded part of one partition.
+A term that very many documents hold is salted by the finer terms, and where these are as frequent (copies
+beyond COPIES shards) by the id, from document frequencies alone, so no key gathers a large group.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ WINDOW = 1024
 END = 0
 SHARD_DOCS = 512
 SHARD_TOKENS = 2_000_000
+#: How many documents hold the second term of a key at least.
+FINE_DOCS = 32
+#: Shards' worth of documents that may hold all terms of a key before their ids deal them out.
+COPIES = 4
 K1, B = 1.2, 0.75
 
 
@@ -130,6 +139,36 @@ def statistics(tokens: DataFrame) -> tuple[int, float, np.ndarray]:
     return n, total / max(1, n), df
 
 
+def keyed(tokens: DataFrame, n: int, mean: float, df: np.ndarray, shard: int = SHARD_DOCS) -> DataFrame:
+    """tokens with (k1, salt, k2, k3): the weightiest terms that a shard's number, FINE_DOCS and two documents at least hold, -1 if there is none."""
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
+            term, doc, tf = term_counts(docs)
+            length = np.array([len(d) for d in docs], float)[doc]
+            weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+            order = np.lexsort((term, -weight, doc))
+            term, doc = term[order], doc[order]
+            keys = []
+            for least in (shard, min(shard, FINE_DOCS), 2):
+                some = np.flatnonzero(df[term] >= least)
+                at = some[np.flatnonzero(np.concatenate(([True], doc[some][1:] != doc[some][:-1])))] if len(some) else some
+                key = np.full(len(docs), -1, np.int64)
+                key[doc[at]] = term[at]
+                keys.append(key)
+            held = lambda key: np.where(key >= 0, df[key], n)
+            own = np.array([int(x) if x is not None else -1 for x in b.column(0).to_pylist()], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+            fine = (keys[1] * 1_000_003 + keys[2]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+            salts = np.maximum(1, held(keys[0]) // shard).astype(np.uint64)
+            copies = np.maximum(1, np.minimum(held(keys[1]), held(keys[2])) // (COPIES * shard)).astype(np.uint64)
+            salt = (fine + own % copies) % salts
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys[0]), pa.array(salt.astype(np.int64)), pa.array(keys[1]), pa.array(keys[2])], ["id", "ids", "k1", "salt", "k2", "k3"])
+
+    return tokens.mapInArrow(run, "id bigint, ids binary, k1 bigint, salt bigint, k2 bigint, k3 bigint")
+
+
 class Shard:
     """Inverted index of BM25 weights over the shard's whole documents."""
 
@@ -199,7 +238,7 @@ def halves(left: list) -> list[list]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD_DOCS) -> DataFrame:
     """(id, start, length, ids, doc_tokens, sequence_id, offset): one row for each piece of a document.
 
     Each token lies in exactly one piece; offsets in a sequence run on from 0.  window must be a power
@@ -215,6 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
         partition, made, left = TaskContext.get().partitionId(), 0, []
         keys: list = []
         held: list[np.ndarray] = []
+        size = 0
 
         def batch(sequences: list[list]) -> pa.RecordBatch:
             nonlocal made
@@ -233,17 +273,19 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
             for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys.append(key)
                 held.append(np.frombuffer(raw, "<u4"))
-                if len(held) >= SHARD_DOCS or sum(map(len, held[-64:])) > SHARD_TOKENS:
+                size += len(held[-1])
+                if len(held) >= shard or size > SHARD_TOKENS:
                     done, left = fill(keys, held, left, idf, mean, window)
                     yield batch(done)
-                    keys, held = [], []
+                    keys, held, size = [], [], 0
         if held:
             done, left = fill(keys, held, left, idf, mean, window)
             yield batch(done)
         if left:
             yield batch(halves(left))
 
-    out = tokens.mapInArrow(run, "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    dealt = keyed(tokens, n, mean, df, shard).repartition("k1", "salt").sortWithinPartitions("k1", "salt", "k2", "k3", "id", F.crc32("ids")).select("id", "ids")
+    out = dealt.mapInArrow(run, "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -48,21 +48,75 @@ def test_each_token_lies_in_one_piece(spark, docs, no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
 
 
-def test_small_shards(spark, docs, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_DOCS", 3)
-    pieces_are_whole(packing.pack(docs, PATH, 128).collect(), document_rows(), 128)
+def test_small_shards(spark, docs):
+    pieces_are_whole(packing.pack(docs, PATH, 128, shard=3).collect(), document_rows(), 128)
 
 
-def test_neighbours_are_ranked_by_bm25():
-    docs = [np.array(x, np.uint32) for x in ([1, 2, 3, 4, 0], [9, 9, 9, 0], [1, 2, 3, 5, 0], [1, 7, 0])]
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=10)
-    idf, mean = np.log(1 + (4 - df + 0.5) / (df + 0.5)), np.mean([len(d) for d in docs])
+def bm25_of(docs):
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    idf, mean = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)), np.mean([len(d) for d in docs])
 
     def bm25(a, b):
         return sum(idf[t] * (docs[b] == t).sum() * 2.2 / ((docs[b] == t).sum() + 1.2 * (0.25 + 0.75 * len(docs[b]) / mean)) for t in set(docs[a].tolist()) & set(docs[b].tolist()))
 
-    got = packing.Shard(docs, idf, mean).neighbours(0).tolist()
-    assert got == sorted(range(4), key=lambda b: (-round(bm25(0, b), 5), b)) and got[:2] == [2, 0] or got[0] == 0
+    return idf, mean, bm25
+
+
+def random_docs(seed, n=40):
+    rng = np.random.default_rng(seed)
+    return [np.append(rng.integers(1, 400, rng.integers(0, 60)) // rng.integers(1, 9) + 1, 0).astype(np.uint32) for _ in range(n)]
+
+
+def test_neighbours_are_ranked_by_bm25():
+    docs = random_docs(1)
+    idf, mean, bm25 = bm25_of(docs)
+    shard = packing.Shard(docs, idf, mean)
+    for a in range(len(docs)):
+        scores = [bm25(a, b) for b in shard.neighbours(a)]
+        assert all(x > y - 1e-4 for x, y in zip(scores, scores[1:], strict=False)) and sorted(shard.neighbours(a)) == list(range(len(docs)))
+
+
+def test_filling_equals_brute_force():
+    """Seeds from the longest rest on, each followed by its unused neighbours, best first; every window is full."""
+    window = 32
+    for seed in (2, 3, 4):
+        docs = random_docs(seed)
+        idf, mean, bm25 = bm25_of(docs)
+        rest = {k: d.tolist() for k, d in enumerate(docs)}
+        want, flat = [], []
+        for k, d in rest.items():
+            while len(d) >= window:
+                want.append(d[:window])
+                d = rest[k] = d[window:]
+        for k in sorted((k for k in rest if rest[k]), key=lambda k: (-len(rest[k]), k)):
+            while rest[k]:
+                for b in [k, *sorted(rest, key=lambda b: (-np.float32(bm25(k, b)), b))]:
+                    take = min(len(rest[b]), window - len(flat))
+                    flat, rest[b] = flat + rest[b][:take], rest[b][take:]
+                    if len(flat) == window:
+                        want.append(flat)
+                        flat = []
+                        break
+        done, left = packing.fill(list(range(len(docs))), docs, [], idf, mean, window)
+        assert [[t for p in seq for t in p[2].tolist()] for seq in done] == want
+        assert [t for p in left for t in p[2].tolist()] == flat
+
+
+def test_related_documents_share_a_shard(spark):
+    """Copies and near copies, dealt over all partitions, come to lie in one shard; a common term gathers no more than its share."""
+    texts = [" ".join(["common"] + [f"word{(k * 37 + j * j) % 211}" for j in range(30)]) for k in range(150)]
+    rows = [(c * 1000 + k, t + (" more" if c else "")) for k, t in enumerate(texts) for c in range(3)] + [(9000 + i, "the same text " * 9) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    tokens = packing.tokenize(df, PATH)
+    n, mean, held = packing.statistics(tokens)
+    keys = packing.keyed(tokens, n, mean, held, shard=20).collect()
+    place = {r["id"]: (r["k1"], r["salt"], r["k2"], r["k3"]) for r in keys}
+    assert sum(place[k] == place[1000 + k] == place[2000 + k] for k in range(150)) >= 120
+    groups = {}
+    for i, p in place.items():
+        groups.setdefault(p[:2], []).append(i)
+    assert max(map(len, groups.values())) <= 8 * 20
+    pieces_are_whole(packing.pack(df, PATH, 128, shard=20).collect(), rows, 128)
 
 
 def test_ids_equal_the_library():
