@@ -1,21 +1,23 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings (so that unseen endings of a family still meet it).  Of the
-labelled sample's terms those stay that go with the label far beyond chance (a likelihood ratio,
-corrected for the number of terms tried).  Their document frequencies are counted over *all*
-documents.  A document is compared with the labelled examples that hold any such term; the
-index's blocks carry the largest weight of each term, so a block that cannot reach the k-th best
-cosine is passed over and the k best are exact.  Votes are weighted by cosine and by how the
-sample thinned each label, which calibrates them; a document without any term gets the share of
-label 1 among examples without any.
-
-Bounds: about MAX_EXAMPLES labelled rows of each label (by a hash of the id; never twice as many)
-are used for fitting, and at most MAX_TERMS terms; both are parameters.  All documents are scored, whole.
+Terms are words; the space is that of all words which the labelled examples hold, none left out.  A
+term's weight is its inverse document frequency, counted over *all* documents, times one plus
+EVIDENCE times the information that it carries on the label (from its rates among the examples of either label
+and the labels' true shares, so that it means the same at every size of the sample).  Every document
+with any such word is compared with the examples of both labels.
+
+The index: rare terms have postings lists; a frequent term's impacts lie densely, by blocks of BLOCK
+examples, with the block's largest impact beside them.  The postings are summed first, which gives each
+document a lower bound on its k-th best cosine; a block whose sums and largest impacts cannot reach that bound
+is passed over, all others are summed in full.  So the k nearest are exact.
+Votes are weighted by cosine and by how many labelled rows an example stands for, which calibrates them.
+
+Bound: about MAX_EXAMPLES labelled rows of each label (by a hash of the id; never twice as many), a
+parameter.  All documents are scored, whole.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,41 +30,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from basalt.llm import shared
+from basalt.llm.subword import list_array
+from basalt.llm.subword import spread as ranges
 
-MAX_EXAMPLES = 12_000
-MAX_TERMS = 4_000
-PREFIXES = (4, 5, 6)
+MAX_EXAMPLES = 3_000
+EVIDENCE = 800.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 128
+#: Terms that more than this share of the examples hold have dense impacts, most of them DENSE ones.
+FREQUENT, DENSE = 0.02, 768
+#: Documents that are searched for at a time.
+TEXTS = 64
 PRIOR_WEIGHT = 0.25
-#: Least share of label 1 among the examples that hold a term.
-PURE = 0.75
-CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
-VECTOR = "terms array<int>, counts array<int>"
 
 
 def words_of(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
-def terms_of(word: str) -> list[str]:
-    """The word itself, and its beginnings (marked by a star)."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
-
-
-def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) to (term, pos, neg): in how many rows of each label a term stands."""
-    seen = (Counter(), Counter())
-    for b in batches:
-        for text, label in zip(shared.strings(b.column(0)), b.column(1).to_pylist(), strict=True):
-            seen[label].update({t for w in words_of(text) for t in terms_of(w)})
-    names = list(seen[0].keys() | seen[1].keys())
-    for lo in range(0, len(names), 50_000):
-        part = names[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][t] for t in part], pa.int64()), pa.array([seen[0][t] for t in part], pa.int64())], ["term", "pos", "neg"])
-
-
 def sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[DataFrame, dict[int, float]]:
     """About `most` rows of each label, chosen by a hash of the id, as (id, label); and for each label, rows that one stands for.
 
@@ -77,129 +63,176 @@ def sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[D
     return shared.cut(picked, "toxic-sample"), {x: max(1.0, n / most) for x, n in total.items()}
 
 
-def select_terms(examples: DataFrame, most: int) -> list[str]:
-    """Terms that go with label 1 beyond chance; examples: (text, label)."""
-    size = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
-    if not pos or not neg:
-        return []
-    counted = shared.cut(examples.mapInArrow(_sample_terms, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")), "toxic-terms")
-    tried = counted.count()
-    base = pos / (pos + neg)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    rate = a / (a + b)
-    gain = 2 * (F.when(a > 0, a * F.log(rate / base)).otherwise(0.0) + F.when(b > 0, b * F.log((1 - rate) / (1 - base))).otherwise(0.0))
-    best = counted.withColumn("gain", gain).where((rate >= PURE) & (F.col("gain") >= 2 * math.log(max(2, tried)))).orderBy(F.desc("gain"), "term").limit(most)
-    out = sorted(r["term"] for r in best.select("term").collect())
-    shared.drop_cut(counted)
-    return out
-
-
 class Vectors:
-    """Texts to the chosen terms they hold, with a bounded cache of words."""
-
-    def __init__(self, terms: list[str]):
-        self.index = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, list[int]] = {}
-
-    def of(self, text: str) -> tuple[list[int], list[int]]:
-        found: Counter = Counter()
-        for w, c in words_of(text).items():
-            hits = self.known.get(w)
-            if hits is None:
-                hits = [self.index[t] for t in terms_of(w) if t in self.index]
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[w] = hits
-            for t in hits:
-                found[t] += c
-        items = sorted(found.items())
-        return [t for t, _ in items], [c for _, c in items]
-
-
-def vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, terms, counts): the chosen terms of every whole text."""
-    shared.tune(docs.sparkSession)
+    """Texts to the index's terms that they hold, in flat arrays."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Vectors(terms)
-        for b in batches:
-            got = [made.of(text) for text in shared.strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in got], pa.list_(pa.int32())), pa.array([c for _, c in got], pa.list_(pa.int32()))], ["id", "terms", "counts"])
+    def __init__(self, vocabulary: list[str]):
+        self.index = {t: i for i, t in enumerate(vocabulary)}
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id bigint, {VECTOR}")
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms and their counts, one text after another, and how many terms each text has."""
+        get, terms, counts, lens = self.index.get, [], [], []
+        for text in texts:
+            n = len(terms)
+            for w, c in words_of(text).items():
+                t = get(w)
+                if t is not None:
+                    terms.append(t)
+                    counts.append(c)
+            lens.append(len(terms) - n)
+        return np.array(terms, np.int64), np.array(counts, np.int64), np.array(lens, np.int64)
 
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples, by term and block of BLOCK examples."""
+    """Unit vectors of the examples, in the order of their blocks."""
 
-    terms: list[str]
-    idf: np.ndarray
+    vocabulary: list[str]
+    weights: np.ndarray  # of each term
     ids: np.ndarray
     labels: np.ndarray
-    weight: np.ndarray
-    at: np.ndarray  # (term, block) -> first posting
+    stands: np.ndarray  # labelled rows that an example of each label stands for
+    place: np.ndarray  # term -> row of dense, or -1
+    dense: np.ndarray  # (frequent term, example) -> impact
+    block_max: np.ndarray  # (frequent term, block) -> largest impact
+    at: np.ndarray  # term -> its first posting, for rare terms
     docs: np.ndarray
     impacts: np.ndarray
-    block_max: np.ndarray
-    none_score: float
+    base: float  # share of label 1
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(lens)), lens)
+        v = (1 + np.log(counts)) * self.weights[terms]
+        norm = np.sqrt(np.bincount(owner, v * v, minlength=len(lens)))
+        return owner, (v / np.maximum(norm, 1e-300)[owner]).astype(np.float32)
+
+    def cosines(self, terms: np.ndarray, counts: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:
+        """(text, example): cosines, exact for each text's k best; others may lack frequent terms where these cannot matter."""
+        owner, v = self.unit(terms, counts, lens)
+        n, size = len(lens), len(self.ids)
+        row = self.place[terms]
+        rare = row < 0
+        first = self.at[terms[rare]]
+        many = self.at[terms[rare] + 1] - first
+        post = ranges(first, many)
+        cos = np.bincount(np.repeat(owner[rare], many) * size + self.docs[post], np.repeat(v[rare], many) * self.impacts[post], minlength=n * size)[: n * size].reshape(n, size).astype(np.float32)
+        query = np.zeros((n, len(self.dense)), np.float32)
+        query[owner[~rare], row[~rare]] = v[~rare]
+        blocks = -(-size // BLOCK)
+        starts = np.arange(blocks) * BLOCK
+        reach = np.maximum.reduceat(cos, starts, axis=1) + query @ self.block_max + np.float32(1e-5)
+        least = (lambda: np.partition(cos, size - k, axis=1)[:, size - k]) if size > k else (lambda: np.zeros(n, np.float32))
+        todo = reach >= least()[:, None]
+
+        def add(rows: np.ndarray, block: int) -> None:
+            lo, hi = block * BLOCK, min(size, (block + 1) * BLOCK)
+            cos[rows, lo:hi] += query[rows] @ self.dense[:, lo:hi]
+
+        # Each text's most promising block first: what it finds there raises its bound.
+        best = reach.argmax(1)
+        for block in np.unique(best):
+            add(np.flatnonzero(best == block), int(block))
+        todo[np.arange(n), best] = False
+        todo &= reach >= least()[:, None]
+        for block in np.flatnonzero(todo.any(0)):
+            add(np.flatnonzero(todo[:, block]), int(block))
+        return cos
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, lens: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its k best examples with a positive cosine (ties: lower place first) and the cosines, to six decimals."""
+        none = (np.empty(0, np.int64), np.empty(0))
+        if not len(self.ids):
+            return [none] * len(lens)
+        out = []
+        cos = self.cosines(terms, counts, lens, k)
+        least = np.partition(cos, len(self.ids) - k, axis=1)[:, len(self.ids) - k] if len(self.ids) > k else np.zeros(len(lens))
+        for i in range(len(lens)):
+            at = np.flatnonzero(cos[i] >= max(least[i] - 2e-6, 1e-6))
+            value = np.round(cos[i, at].astype(np.float64), 6)
+            order = np.lexsort((at, -value))[:k]
+            out.append((at[order], value[order]))
+        return out
+
+    def score(self, terms: np.ndarray, counts: np.ndarray, lens: np.ndarray) -> tuple[list[float], list[list[dict]]]:
+        """Calibrated shares of label 1, and the evidence: id, cosine and label of the neighbours."""
+        scores, evidence = [], []
+        ends = np.cumsum(lens)
+        for lo in range(0, len(lens), TEXTS):
+            hi = min(lo + TEXTS, len(lens))
+            a, z = (int(ends[lo - 1]) if lo else 0), int(ends[hi - 1])
+            for who, cos in self.nearest(terms[a:z], counts[a:z], lens[lo:hi], NEIGHBOURS):
+                w = cos**2 * self.stands[self.labels[who]]
+                s = (float(w @ self.labels[who]) + PRIOR_WEIGHT * self.base) / (float(w.sum()) + PRIOR_WEIGHT)
+                scores.append(min(1.0, max(0.0, s)))
+                evidence.append([{"id": int(self.ids[i]), "cosine": float(c), "label": int(self.labels[i])} for i, c in zip(who, cos, strict=True)])
+        return scores, evidence
+
+
+def information(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, share: float) -> np.ndarray:
+    """Information (nats) between a term and the label, from how many examples of each label hold it and the share of label 1."""
+    p, q = pos / max(1, n_pos), neg / max(1, n_neg)
+    both = share * p + (1 - share) * q
+
+    def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(y, 1e-300)), 0.0)
+
+    return np.maximum(0.0, share * (part(p, both) + part(1 - p, 1 - both)) + (1 - share) * (part(q, both) + part(1 - q, 1 - both)))
+
+
+def build_index(ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, counts: np.ndarray, lens: np.ndarray, vocabulary: list[str], df: np.ndarray, n_docs: int, stands: dict[int, float]) -> Index:
+    """ids, labels and flat terms and counts of the examples; df: in how many of n_docs documents each term stands."""
+    weight = np.array([stands.get(0, 1.0), stands.get(1, 1.0)])
+    totals = np.bincount(labels, minlength=2) * weight
+    share = float(totals[1] / max(1.0, totals.sum()))
+    owner = np.repeat(np.arange(len(ids)), lens)
+    size = len(vocabulary)
+    held = [np.bincount(terms[labels[owner] == y], minlength=size) for y in (0, 1)]
+    known = information(held[1], held[0], int((labels == 1).sum()), int((labels == 0).sum()), share)
+    weights = (np.log((n_docs + 1) / (df + 1)) + 1) * (1 + EVIDENCE * 2 * known)
+    # Terms of many examples lie densely; examples that begin with the same of them lie together, which keeps the blocks' bounds low.
+    many = held[0] + held[1]
+    top = np.argsort(-many, kind="stable")[:DENSE]
+    top = top[many[top] > FREQUENT * len(ids)]
+    place = np.full(size, -1)
+    place[top] = np.arange(len(top))
+    value = (1 + np.log(counts)) * weights[terms]
+    value /= np.maximum(np.sqrt(np.bincount(owner, value * value, minlength=len(ids))), 1e-300)[owner]
+    lead = np.full((len(ids), 3), -1)
+    common = np.flatnonzero(place[terms] >= 0)
+    common = common[np.lexsort((-value[common], owner[common]))]
+    if len(common):
+        rank = np.arange(len(common)) - np.maximum.accumulate(np.where(np.concatenate(([True], owner[common][1:] != owner[common][:-1])), np.arange(len(common)), 0))
+        for k in range(3):
+            at = common[rank == k]
+            lead[owner[at], k] = place[terms[at]]
+    order = np.lexsort((ids, lead[:, 2], lead[:, 1], lead[:, 0]))
+    moved = np.empty(len(ids), np.int64)
+    moved[order] = np.arange(len(ids))
+    owner = moved[owner]
+    dense = np.zeros((len(top), len(ids)), np.float32)
+    mine = place[terms] >= 0
+    dense[place[terms[mine]], owner[mine]] = value[mine]
+    starts = np.arange(-(-len(ids) // BLOCK)) * BLOCK
+    block_max = np.maximum.reduceat(dense, starts, axis=1) if len(ids) else np.zeros((len(top), 0), np.float32)
+    t, d, x = terms[~mine], owner[~mine], value[~mine]
+    by = np.lexsort((d, t))
+    at = np.searchsorted(t[by], np.arange(size + 1))
+    return Index(vocabulary, weights, ids[order], labels[order], weight, place, dense, block_max, at, d[by], x[by].astype(np.float32), share)
+
+
+def vectors(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id, terms, counts): the known words of every whole text."""
+    spark = docs.sparkSession
+    shared.tune(spark)
+    sent = spark.sparkContext.broadcast(vocabulary)  # the words of at most 4 * MAX_EXAMPLES texts
 
-    def unit(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(terms, np.int64)
-        v = (1 + np.log(np.asarray(counts, float))) * self.idf[t]
-        return t, v / np.linalg.norm(v)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Vectors(sent.value)
+        for b in batches:
+            terms, counts, lens = made.of(shared.strings(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), list_array(terms, lens), list_array(counts, lens)], ["id", "terms", "counts"])
 
-    def nearest(self, t: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples by cosine, exactly (ties: lower place first), and the cosines."""
-        if not len(self.ids):
-            return np.empty(0, np.int64), np.empty(0)
-        reach = v @ self.block_max[t]
-        best_i, best_s = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-reach, kind="stable"):
-            if reach[block] <= 0 or len(best_s) >= k and reach[block] < best_s[k - 1] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for term, q in zip(t, v, strict=True):
-                lo, hi = self.at[term, block], self.at[term, block + 1]
-                if hi > lo:
-                    score[self.docs[lo:hi]] += q * self.impacts[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            best_i, best_s = np.concatenate((best_i, hit + block * BLOCK)), np.concatenate((best_s, score[hit]))
-            order = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[order], best_s[order]
-        return best_i, best_s
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float, int]]]:
-        """Calibrated share of label 1, and the evidence: (id, cosine, label) of the neighbours."""
-        if not terms:
-            return self.none_score, []
-        who, cos = self.nearest(*self.unit(terms, counts), NEIGHBOURS)
-        w = cos**2 * self.weight[self.labels[who]]
-        s = (float(w @ self.labels[who]) + PRIOR_WEIGHT * self.none_score) / (float(w.sum()) + PRIOR_WEIGHT)
-        return min(1.0, max(0.0, s)), [(int(self.ids[i]), float(c), int(self.labels[i])) for i, c in zip(who, cos, strict=True)]
-
-
-def build_index(rows: list[tuple[int, list[int], list[int], int]], terms: list[str], df: dict[int, int], n_docs: int, weights: dict[int, float]) -> Index:
-    """rows: (id, terms, counts, label) of the examples."""
-    idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
-    weight = np.array([weights.get(0, 1.0), weights.get(1, 1.0)])
-    empty = Counter(r[3] for r in rows if not r[1])
-    none = (empty[1] * weight[1]) / max(1.0, empty[1] * weight[1] + empty[0] * weight[0])
-    # Examples with the same leading terms lie together, which makes the blocks' bounds tight.
-    filled = sorted((r for r in rows if r[1]), key=lambda r: ([t for _, t in sorted((idf[t] * -(1 + math.log(c)), t) for t, c in zip(r[1], r[2], strict=True))], r[0]))
-    n_blocks = -(-len(filled) // BLOCK)
-    index = Index(terms, idf, np.array([r[0] for r in filled], np.int64), np.array([r[3] for r in filled], np.int64), weight, np.zeros((len(terms), n_blocks + 1), np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((len(terms), n_blocks)), float(none))
-    if filled:
-        parts = [index.unit(r[1], r[2]) for r in filled]
-        term, impact = np.concatenate([t for t, _ in parts]), np.concatenate([v for _, v in parts])
-        doc = np.repeat(np.arange(len(filled)), [len(t) for t, _ in parts])
-        order = np.lexsort((doc, term))
-        term, impact, doc = term[order], impact[order], doc[order]
-        index.docs, index.impacts = doc % BLOCK, impact
-        index.at = np.searchsorted(term * n_blocks + doc // BLOCK, np.arange(len(terms))[:, None] * n_blocks + np.arange(n_blocks + 1)[None, :])
-        np.maximum.at(index.block_max, (term, doc // BLOCK), impact)
-    return index
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, terms array<int>, counts array<int>")
 
 
 @dataclass
@@ -209,58 +242,68 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_EXAMPLES) -> Model:
-    """Learn from the labelled rows among docs; the model keeps the terms found in all docs."""
+    """Learn from the labelled rows among docs; the model keeps the known words of all docs."""
     shared.tune(docs.sparkSession)
-    ids, weights = sample(labels, id_col, label_col, most)
-    picked = F.broadcast(ids)  # two labels, `most` ids each
+    ids, stands = sample(labels, id_col, label_col, most)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    examples = shared.cut(texts.join(picked, "id").select("text", "label"), "toxic-examples")
-    terms = select_terms(examples, MAX_TERMS)
-    shared.drop_cut(examples)
-    found = shared.cut(vectors(docs, terms, id_col, text_col), "toxic-vectors")
-    df = {r["t"]: r["n"] for r in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # MAX_TERMS rows at most
-    rows = [(r["id"], r["terms"], r["counts"], r["label"]) for r in found.join(picked, "id").dropDuplicates(["id"]).select("id", "terms", "counts", "label").collect()]  # 2 * most rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [words_of(t) for t in shared.strings(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], ["id", "label", "words", "counts"])
+
+    picked = texts.join(F.broadcast(ids), "id").dropDuplicates(["id"]).select("id", "label", "text")  # two labels, 2 * `most` ids each at most
+    got = picked.mapInArrow(run, "id bigint, label int, words array<string>, counts array<bigint>").toArrow().sort_by("id").combine_chunks()
+    words = got.column("words").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.string()))
+    coded = words.flatten().dictionary_encode()
+    vocabulary, terms = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = np.diff(words.offsets.to_numpy()).astype(np.int64)
+    counts = got.column("counts").combine_chunks().flatten().to_numpy() if got.num_rows else np.empty(0, np.int64)
+    found = shared.cut(vectors(docs, vocabulary, id_col, text_col), "toxic-vectors")
+    df = np.zeros(len(vocabulary), np.int64)
+    in_docs = found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()  # one row for each known word
+    df[in_docs.column("t").to_numpy()] = in_docs.column("n").to_numpy()
     shared.drop_cut(ids)
-    return Model(build_index(rows, terms, df, found.count(), weights), found)
+    return Model(build_index(got.column("id").to_numpy(), got.column("label").to_numpy().astype(np.int64), terms, counts, lens, vocabulary, df, found.count(), stands), found)
 
 
 def score(model: Model, id_col: str = "doc_id") -> DataFrame:
     """(id, score, predicted, evidence) for each row of the documents given to fit.
 
-    A null or empty text has no terms and gets the score of such examples.  Repeated rows give
-    repeated rows.  Where nothing could be learned every score is 0."""
-    shared.tune(model.vectors.sparkSession)
-    index = model.index
+    A null or empty text, or one without any word of the examples, gets the share of label 1 and no evidence.
+    Repeated rows give repeated rows, null ids stay null and are never learned from.  Where nothing could be learned every score is 0."""
+    spark = model.vectors.sparkSession
+    shared.tune(spark)
+    sent = spark.sparkContext.broadcast(model.index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        index = sent.value
         for b in batches:
-            out = []
-            for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                key = (*t, -1, *c)
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = index.score(t, c)
-                out.append(known[key])
-            evidence = pa.array([[{"id": i, "cosine": s, "label": y} for i, s, y in e] for _, e in out], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([int(s >= 0.5) for s, _ in out], pa.int32()), evidence], ["id", "score", "predicted", "evidence"])
+            terms, counts = b.column(1), b.column(2)
+            lens = np.diff(terms.offsets.to_numpy()).astype(np.int64)
+            scores, evidence = index.score(terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.int64), lens)
+            kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(evidence, kind)], ["id", "score", "predicted", "evidence"])
 
     rows = model.vectors.select("id", "terms", "counts")
+    # The vectors are small in bytes and costly in work.
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return rows.mapInArrow(run, "id bigint, score double, predicted int, evidence array<struct<id: bigint, cosine: double, label: int>>").withColumnRenamed("id", id_col)
 
 
 def judge(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     """docs with toxic_score appended (in place of a column so named); a null text counts as empty."""
-    shared.tune(docs.sparkSession)
+    spark = docs.sparkSession
+    shared.tune(spark)
     docs = docs.drop("toxic_score")
     fields = docs.schema.fieldNames()
     at = fields.index(text_col)
+    sent = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Vectors(index.terms)
+        made = Vectors(sent.value.vocabulary)
         for b in batches:
-            scores = [index.score(*made.of(text))[0] for text in shared.strings(b.column(at))]
+            scores, _ = sent.value.score(*made.of(shared.strings(b.column(at))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*fields, "toxic_score"])
 
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("toxic_score", DoubleType()))
