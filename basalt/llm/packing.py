@@ -145,19 +145,22 @@ def keyed(tokens: DataFrame, n: int, mean: float, df: np.ndarray, shard: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             docs = [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
             term, doc, tf = term_counts(docs)
             length = np.array([len(d) for d in docs], float)[doc]
             weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-            order = np.lexsort((term, -weight, doc))
-            term, doc = term[order], doc[order]
+            order = np.argsort(doc, kind="stable")
+            term, doc, weight = term[order], doc[order], weight[order]
+            first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))  # every document has its end
             keys = []
             for least in (shard, min(shard, FINE_DOCS), 2):
-                some = np.flatnonzero(df[term] >= least)
-                at = some[np.flatnonzero(np.concatenate(([True], doc[some][1:] != doc[some][:-1])))] if len(some) else some
-                key = np.full(len(docs), -1, np.int64)
-                key[doc[at]] = term[at]
-                keys.append(key)
+                mine = np.where(df[term] >= least, weight, -1.0)
+                top = np.maximum.reduceat(mine, first)
+                at = np.flatnonzero(mine == top[doc])
+                at = at[np.concatenate(([True], doc[at][1:] != doc[at][:-1]))]
+                keys.append(np.where(top >= 0, term[at], -1))
             held = lambda key: np.where(key >= 0, df[key], n)
             own = np.array([int(x) if x is not None else -1 for x in b.column(0).to_pylist()], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
             fine = (keys[1] * 1_000_003 + keys[2]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
