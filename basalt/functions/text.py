@@ -22,7 +22,7 @@ QUERY_STOP = "what is are the a an of in on for to and or do does how i we me my
 
 def lines(text: Column) -> Column:
     """Lines of a text that are not blank, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def singular(w: Column) -> Column:
@@ -131,7 +131,7 @@ def title_from(text: Column, limit: int = 60) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences, split behind . ! ? and at line ends."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])[ \t]+|\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])[ \t]+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def word_count(text: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +37,17 @@ PLANS = {
 }
 DEFAULT_PLAN = ("dense,bm25", 6, False, "hybrid")
 COMPARISON_PHRASES = ["difference between", "differences between", "compare", "comparison", " versus ", " vs ", "better than", "different from", "similarities between"]
+INTENT_GROUPS = [
+    ("reasoning", ["why", "reason", "because", "cause"]),
+    ("results", ["result", "results", "performance", "accuracy", "evaluation", "benchmark", "experiment"]),
+    ("methodology", ["method", "approach", "pipeline", "workflow", "architecture", "algorithm"]),
+    ("limitations", ["future", "limitation", "limitations", "drawback", "weakness", "challenge"]),
+    ("conclusion", ["conclusion", "summary", "takeaway"]),
+    ("citation", ["citation", "reference", "bibliography"]),
+    ("figure", ["figure", "table", "chart", "diagram"]),
+    ("equation", ["equation", "formula", "proof", "theorem"]),
+    ("implementation", ["code", "implementation", "example", "sample"]),
+]
 INTENT_RULES = [
     ("definition", ["what is", "what are", "what're", "what's", "define", "meaning", "explain"]),
     ("author", ["author", "authors", "contributor", "contributors", "who proposed", "who wrote", "who developed"]),
@@ -52,12 +61,32 @@ INTENT_RULES = [
     ("figure", ["figure", "table", "diagram", "chart"]),
 ]
 FACETS = {
-    "reasoning": [("problem or need", "problem need challenge motivation limitation"), ("prior approaches and limits", "previous prior before traditional rnn drawback limitation"), ("proposed solution", "solution propose introduce approach instead"), ("advantages", "advantage benefit improve faster better enable")],
-    "procedure": [("steps", "step first then next finally procedure"), ("prerequisites", "require prerequisite before must ensure")],
-    "comparison": [("differences", "difference unlike whereas contrast compared")],
-}
+    "reasoning": [
+        ("problem or need", ["problem", "need", "challenge", "motivation", "limitation"]),
+        ("prior approaches and limits", ["previous", "prior", "before", "traditional", "rnn", "drawback", "limitation"]),
+        ("proposed solution", ["solution", "propose", "introduce", "approach", "instead"]),
+        ("advantages", ["advantage", "benefit", "improve", "faster", "better", "enable"]),
+    ],
+    "comparison": [("definition of {A}", []), ("definition of {B}", []), ("differences", ["difference", "unlike", "whereas", "contrast", "compared"])],
+    "procedure": [("steps", ["step", "first", "then", "next", "finally", "procedure"]), ("prerequisites", ["require", "prerequisite", "before", "must", "ensure"])],
+    "definition": [("definition", ["is a", "refers to", "defined", "means"]), ("purpose or example", ["used for", "purpose", "example", "allows", "enables"])],
+    "default": [("direct evidence", [])],
+}
 POLICY = (0.90, 0.70, 2)
-ASPECTS = [r"(?i)differences? between (.+?) and (.+?)[?.!]*$", r"(?i)compare (.+?) (?:and|with|to) (.+?)[?.!]*$", r"(?i)^(.+?) (?:vs\.?|versus) (.+?)[?.!]*$", r"(?i)is (.+?) better than (.+?)[?.!]*$", r"(?i)how (?:is|are) (.+?) different from (.+?)[?.!]*$", r"(?i)similarities between (.+?) and (.+?)[?.!]*$"]
+ASPECTS = [
+    r"\bbetween\s+(.+?)\s+and\s+(.+?)(?:\?|$)",
+    r"\bcompare\s+(.+?)\s+(?:with|and|to)\s+(.+?)(?:\?|$)",
+    r"^(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\?|$)",
+    r"\bdifference\s+(?:between\s+)?(.+?)\s+and\s+(.+?)(?:\?|$)",
+    r"\bhow\s+(?:is|are|do|does)\s+(.+?)\s+differ(?:ent)?\s+from\s+(.+?)(?:\?|$)",
+    r"\b(\S+(?:\s+\S+)?)\s+(?:is|are)?\s*differ(?:s|ent)?\s+from\s+(.+?)(?:\?|$)",
+]
+ASPECT_QUERIES = ["{A}", "{B}", "{A} definition purpose architecture", "{B} definition purpose architecture", "{A} {B} comparison difference"]
+SPELL = {"long": 6, "shortest": 4, "least": 0.60, "other_first_letter": 0.5, "distance_weight": 0.75, "frequency_weight": 0.25}
+PROTECTED = [
+    r"https?://\S+|www\.\S+", r"\"[^\"]*\"|'[^']*'|`[^`]*`", r"\b\S+\.(?:py|md|pdf|json|yaml|yml|txt|csv|js|ts|ipynb)\b", r"\b[A-Z]{1,4}-\d+\b",
+    r"\b\w+(?:_\w+)+\b|\b[a-z]+(?:[A-Z]\w+)+\b|\b[A-Z][a-z0-9]+(?:[A-Z]\w+)+\b|\b\w+\.\w+(?:\.\w+)*\(?", r"\b[A-Z]{2,6}s?\b", r"\b\d[\w.\-]*\b",
+]
 # End of fixed values.
 
 
@@ -71,7 +100,7 @@ def intent(q: Column) -> Column:
     t = F.lower(F.trim(F.coalesce(q, F.lit(""))))
     any_of = lambda words: F.greatest(*(F.contains(t, F.lit(w)) for w in words)) if len(words) > 1 else F.contains(t, F.lit(words[0]))
     out = F.when(any_of(COMPARISON_PHRASES), "comparison")
-    for name, words in INTENT_RULES:
+    for name, words in [*INTENT_GROUPS, *INTENT_RULES]:
         out = out.when(any_of(words), name)
     return out.otherwise("general")
 
@@ -100,19 +129,30 @@ def plan(label: Column) -> Column:
 def aspects(q: Column) -> Column:
     """Both sides of a comparison, without articles; empty if it is none."""
     t = F.trim(F.coalesce(q, F.lit("")))
-    bare = lambda c: F.trim(F.regexp_replace(c, r"(?i)^(the|a|an) ", ""))
+    bare = lambda c: F.trim(F.regexp_replace(F.trim(c), r"(?i)^(the|a|an)\s+", ""))
     out = None
     for p in ASPECTS:
+        p = "(?i)" + _boundaries(p)
         pair = F.array(bare(F.regexp_extract(t, p, 1)), bare(F.regexp_extract(t, p, 2)))
         out = F.when(t.rlike(p), pair) if out is None else out.when(t.rlike(p), pair)
     return out.otherwise(F.array().cast("array<string>"))
 
 
 def decompose(q: Column) -> Column:
-    """The query, then its aspects or its parts around `and` and `because` (over four characters), ordered and distinct."""
+    """The query, its parts around comparing words (if it compares), `and` and `because`, over four characters, then a query
+    for each aspect of a comparison; in order and distinct."""
+    low, none = F.lower(q), F.array().cast("array<string>")
+    long = lambda parts: F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: F.length(p) > 4)
+    # The comparing words themselves count as parts.
+    marked = F.split(F.regexp_replace(low, _boundaries(r"\b(compare|vs|versus|and)\b"), "\u001f$1\u001f"), "\u001f")
+    compared = F.when(intent(q) == "comparison", long(marked)).otherwise(none)
+    split = lambda word: F.when(F.contains(low, F.lit(word)), long(F.split(low, word))).otherwise(none)
     both = aspects(q)
-    parts = F.filter(F.transform(F.split(q, r"(?i) (?:and|because) "), F.trim), lambda p: F.length(p) > 4)
-    return F.array_distinct(F.concat(F.array(q), F.when(F.size(both) > 0, both).otherwise(parts)))
+    a, b = F.try_element_at(both, F.lit(1)), F.try_element_at(both, F.lit(2))
+    more = F.when(F.size(both) == 2, F.array(*(F.replace(F.replace(F.lit(t), F.lit("{A}"), a), F.lit("{B}"), b) for t in ASPECT_QUERIES))).otherwise(none)
+    first = F.array_distinct(F.concat(F.array(q), compared, split(" and "), split(" because ")))
+    known = F.transform(first, F.lower)
+    return F.concat(first, F.filter(F.array_distinct(more), lambda x: ~F.array_contains(known, F.lower(x))))
 
 
 def policy(coverage: Column, iteration: Column) -> Column:
@@ -122,31 +162,52 @@ def policy(coverage: Column, iteration: Column) -> Column:
 
 
 def facets(queries: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(qid, facet, covered) for queries (qid, label) and evidence (qid, text): a facet is covered if one of its words stands there."""
-    rows = [(label, name, words.split(" ")) for label, items in FACETS.items() for name, words in items]
-    table = queries.sparkSession.createDataFrame(rows, "label string, facet string, words array<string>")
-    asked = queries.join(F.broadcast(table), "label")  # a few fixed rows
+    """(qid, facet, covered) for queries (qid, label, a, b) and evidence (qid, text).
+
+    {A} and {B} stand for the query's first two names (a, b); a facet whose name is missing is left out.  A facet
+    is covered if one of its terms, or a name bound into it, stands in the evidence; without terms its own words count."""
+    from basalt.operators.query import plan_tokens
+
+    rows = [(label, name, terms) for label, items in FACETS.items() for name, terms in items]
+    table = queries.sparkSession.createDataFrame(rows, "label string, name string, terms array<string>")
+    a, b = F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))
+    asked = queries.withColumn("label", F.when(F.col("label").isin(list(FACETS)), F.col("label")).otherwise("default")).join(F.broadcast(table), "label")  # a few fixed rows
+    asked = asked.where(~(F.contains("name", F.lit("{A}")) & (a == "")) & ~(F.contains("name", F.lit("{B}")) & (b == "")))
+    asked = asked.withColumn("facet", F.replace(F.replace("name", F.lit("{A}"), a), F.lit("{B}"), b))
+    bound = lambda x: F.when((x != "") & F.contains(F.lower("facet"), F.lower(x)), F.array(x)).otherwise(F.array().cast("array<string>"))
+    terms = F.concat("terms", bound(a), bound(b))
+    asked = asked.withColumn("terms", F.when(F.size(terms) > 0, terms).otherwise(plan_tokens(F.col("facet"))))
     told = evidence.select("qid", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-    hit = F.exists("words", lambda w: F.regexp_like(F.col("t"), F.concat(F.lit("(^|[^a-z0-9])"), w, F.lit("([^a-z0-9]|$)"))))
+    hit = F.exists("terms", lambda w: F.regexp_like(F.col("t"), F.concat(F.lit(r"(^|[^a-z0-9])\Q"), F.lower(w), F.lit(r"\E([^a-z0-9]|$)"))))
     return asked.join(told, "qid", "left").groupBy("qid", "facet").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("covered"))
 
 
+def facet_ratio(covered: DataFrame) -> DataFrame:
+    """(qid, facets, ratio): share of the facets that are covered."""
+    return covered.groupBy("qid").agg(F.count("*").alias("facets"), F.round(F.avg(F.col("covered").cast("double")), 3).alias("ratio"))
+
+
 def ambiguous(queries: DataFrame, concepts: DataFrame, most_tokens: int = 3, least: int = 3, most: int = 6) -> DataFrame:
-    """(qid, token, options) of short queries with a word that many concepts of several words share.
+    """(qid, token, options) of short queries with a word that many concepts of several words share, of which the query names none.
     queries: (qid, text); concepts: (concept)."""
-    words = concepts.select("concept", F.explode(F.array_distinct(F.split(F.lower("concept"), " "))).alias("token")).where(F.contains("concept", F.lit(" ")))
-    order = Window.partitionBy("token").orderBy("concept")
-    many = words.withColumn("i", F.row_number().over(order)).groupBy("token").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("i") <= most, F.col("concept")))), "|").alias("options")).where(F.col("n") >= least)
-    asked = queries.select("qid", T.query_terms(F.col("text")).alias("ts")).where(F.size("ts") <= most_tokens)
-    return asked.select("qid", F.explode("ts").alias("token")).join(many, "token").select("qid", "token", "options")
+    words = concepts.distinct().select("concept", F.explode(F.array_distinct(F.split(F.lower("concept"), " "))).alias("token")).where(F.contains("concept", F.lit(" ")))
+    asked = queries.select("qid", F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.array_distinct(T.query_terms(F.col("text"))).alias("ts")).where(F.size("ts") <= most_tokens)
+    rows = asked.select("qid", "low", F.explode("ts").alias("token")).join(words, "token").where(~F.contains(F.col("low"), F.lower("concept")))
+    order = Window.partitionBy("qid", "token").orderBy("concept")
+    shown = F.array_join(F.array_sort(F.collect_list(F.when(F.col("i") <= most, F.col("concept")))), "|")
+    return rows.withColumn("i", F.row_number().over(order)).groupBy("qid", "token").agg(F.count("*").alias("n"), shown.alias("options")).where(F.col("n") >= least).select("qid", "token", "options")
+
+
+def deletions(word: Column) -> Column:
+    """The word and its forms with one letter taken out, two where it is long."""
 
+    def less(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        return F.when(F.length(w) > 0, made).otherwise(F.array().cast("array<string>"))
 
-def deletions(word: Column, depth: int = 1) -> Column:
-    """The word and its forms with one letter taken out."""
-    if depth != 1:
-        raise ValueError("only one deletion is expressed here; two are a deletion of deletions")
-    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), less))
+    one = less(word)
+    two = F.when(F.length(word) >= SPELL["long"], F.flatten(F.transform(one, less))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(word), one, two))
 
 
 def osa(a: str, b: str) -> int:
@@ -164,31 +225,51 @@ def osa(a: str, b: str) -> int:
 
 
 def spell_candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, term, freq) within one deletion on either side: an equi-join of deletion forms, no pairs of all words.
+    """(word, term, freq) that share a deletion form: an equi-join, no pairs of all words.
     words: (word); vocabulary: (term, freq)."""
     known = vocabulary.select("term", "freq", F.explode(deletions(F.col("term"))).alias("form"))
     asked = words.select("word").distinct().select("word", F.explode(deletions(F.col("word"))).alias("form"))
     return asked.join(known, "form").select("word", "term", "freq").distinct()
 
 
-def corrections(words: DataFrame, vocabulary: DataFrame, least: float = 0.60, shortest: int = 4) -> DataFrame:
+def corrections(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, term, distance, confidence): the best spelling of each word of four letters or more that the vocabulary lacks.
 
-    Distance by `osa` (half more if the first letter differs), ties by frequency and then by term;
-    confidence .75 (1 - d / length) + .25 log frequency share."""
+    Distance by `osa`, at most 1, or 2 for long words; the nearest wins (half more if the first letter differs), ties by
+    frequency and then by term; confidence .75 (1 - d / length) + .25 of the logarithmic share of the frequency."""
     ship(vocabulary.sparkSession)
     total = vocabulary.agg(F.max("freq").alias("top"))
-    lone = words.select("word").distinct().join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti").where(F.length("word") >= shortest)
+    lone = words.select("word").distinct().join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti").where(F.length("word") >= SPELL["shortest"])
+    most = F.when(F.length("word") >= SPELL["long"], 2).otherwise(1)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([osa(x, y) + (0.5 if x[:1] != y[:1] else 0.0) for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series([osa(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    rows = spell_candidates(lone, vocabulary).withColumn("distance", distance("word", "term")).where(F.col("distance") <= F.when(F.length("word") >= 6, 2.5).otherwise(1.5))
-    order = Window.partitionBy("word").orderBy("distance", F.desc("freq"), "term")
+    # A swap is two plain edits at most, so few pairs ever leave the engine.
+    rows = spell_candidates(lone, vocabulary).where(F.levenshtein("word", "term") <= 2 * most).withColumn("distance", distance("word", "term")).where((F.col("distance") <= most) & (F.col("distance") > 0))
+    adjusted = F.col("distance") + F.when(F.substring("word", 1, 1) == F.substring("term", 1, 1), 0.0).otherwise(SPELL["other_first_letter"])
+    order = Window.partitionBy("word").orderBy(adjusted, F.desc("freq"), "term")
     best = rows.withColumn("i", F.row_number().over(order)).where("i = 1").crossJoin(F.broadcast(total))  # one row
-    conf = 0.75 * (1 - F.col("distance") / F.length("word")) + 0.25 * F.log(1 + F.col("freq")) / F.log(1 + F.col("top"))
-    return best.withColumn("confidence", F.round(conf, 4)).where(F.col("confidence") >= least).select("word", "term", "distance", "confidence")
+    conf = SPELL["distance_weight"] * (1 - F.col("distance") / F.length("word")) + SPELL["frequency_weight"] * F.log(1 + F.col("freq")) / F.log(1 + F.col("top"))
+    return best.withColumn("confidence", F.round(conf, 3)).where(F.col("confidence") >= SPELL["least"]).select("word", "term", F.col("distance").cast("bigint").alias("distance"), "confidence")
+
+
+def pieces(text: Column) -> Column:
+    """A text cut into protected spans (addresses, quotations, file names, ids, code, acronyms, numbers), words and all else; joined they give the text."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)(?:" + "|".join(PROTECTED) + r")|[A-Za-z]+|[^A-Za-z]"), F.lit(0))
+
 
+def correct_texts(texts: DataFrame, vocabulary: DataFrame, own: dict[str, str] | None = None) -> DataFrame:
+    """(qid, corrected, changes): texts (qid, text) with misspelled words put right; own: a user's dictionary, which goes first.
 
-PROTECTED = re.compile(r"https?://\S+|\"[^\"]*\"|'[^']*'|\S+\.\w{1,5}\b|\b\w+_\w+\b|\b[A-Z]{1,4}-\d+\b|\b[A-Z]{2,}\b|\b\d+\b")
+    Words of the vocabulary, short words and protected spans stay; a capital first letter is kept."""
+    rows = texts.select("qid", F.posexplode_outer(pieces(F.col("text"))).alias("pos", "piece")).withColumn("word", F.when(F.col("piece").rlike("^[A-Za-z]+$") & ~F.col("piece").rlike("^(?:" + "|".join(PROTECTED) + ")$"), F.lower("piece")))
+    own = own or {}
+    fixed = corrections(rows.where("word is not null").select("word").distinct().where(~F.col("word").isin(list(own) or [""])), vocabulary).select("word", "term")
+    table = F.create_map(*(F.lit(x) for pair in own.items() for x in pair)) if own else F.create_map().cast("map<string,string>")
+    mine = F.try_element_at(table, F.col("word"))
+    cased = F.when(F.col("piece").rlike("^[A-Z]"), F.initcap("term")).otherwise(F.col("term"))
+    rows = rows.join(fixed, "word", "left").withColumn("new", F.coalesce(mine, cased, F.col("piece"))).withColumn("changed", F.col("term").isNotNull() & mine.isNull())
+    out = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("ps"), F.count_if("changed").alias("changes"))  # one text's pieces
+    return out.select("qid", F.array_join(F.transform("ps", lambda x: x["new"]), "").alias("corrected"), "changes")

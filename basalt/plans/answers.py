@@ -8,6 +8,7 @@ from basalt.functions import text as T
 from basalt.operators import evaluate as E
 from basalt.operators import index as I
 from basalt.operators import memory as C
+from basalt.operators import query as G
 from basalt.operators import understand as U
 from basalt.operators import verify as V
 from basalt.plans.common import INDEX_SQL, RANK_SQL, longs, query_terms_sql, table, wc_sql, words_sql
@@ -17,23 +18,25 @@ from basalt.plans.text import concepts
 Q, O = {}, {}
 CONCEPTS_SQL = TEXT_SQL["concept_df"]
 
-#: Questions made from the conversations' turns by templates, so that each rule meets some of them.
-TEMPLATES = ["What is {}?", "Compare {} and memory", "Why is {} needed because of load", "How do I fix the error in {}?", "Steps to change {} and then test", "Summarize {} in short", "Who proposed {}?", "difference between {} and vectors?", "calculate {} for the table", "{} vs graphs"]
+#: Questions: whole turns in templates, so that each rule meets some of them.
+TEMPLATES = ["What is {}?", "Compare {} and memory", "Why is {} needed because of load", "How do I fix the error in {}?", "Steps to change {} and then test", "Summarize {} in short", "Who proposed {}?", "difference between {} and vectors?", "calculate {} for the table", "{} vs graphs", "how is {} different from batch?", "explain it in simple words: {}"]
 
 
 def questions(spark, d):
-    word = F.coalesce(F.try_element_at(F.filter(F.split("text", r"[ \t\n]+"), lambda w: w.rlike("^[A-Za-z]{3,}$")), F.lit(1)), F.lit("transformer"))
+    """(qid, text): every whole turn as a question; white space runs are one space."""
+    turn = G.spaced(F.col("text"))
     k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(TEMPLATES)))
-    text = F.replace(F.element_at(F.array(*map(F.lit, TEMPLATES)), (k + 1).cast("int")), F.lit("{}"), word)
+    text = F.replace(F.element_at(F.array(*map(F.lit, TEMPLATES)), (k + 1).cast("int")), F.lit("{}"), F.when(turn == "", "transformer").otherwise(turn))
     return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), text.alias("text"))
 
 
 _T = ", ".join("'" + t.replace("'", "''") + "'" for t in TEMPLATES)
-QUESTIONS_SQL = f"qs AS (SELECT conv_id * 1000 + turn AS qid, replace(([{_T}])[1 + (conv_id + turn) % {len(TEMPLATES)}], '{{}}', coalesce(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{3,}}'))[1], 'transformer')) AS text FROM conversations)"
+SPACED_SQL = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+QUESTIONS_SQL = f"qs AS (SELECT conv_id * 1000 + turn AS qid, replace(([{_T}])[1 + (conv_id + turn) % {len(TEMPLATES)}], '{{}}', coalesce(nullif({SPACED_SQL}, ''), 'transformer')) AS text FROM conversations)"
 
 Q["intent_detect"] = lambda spark, d: questions(spark, d).select("qid", U.intent(F.col("text")).alias("intent"))
 _has = lambda words: " OR ".join("contains(t, '" + w.replace("'", "''") + "')" for w in words)
-O["intent_detect"] = f"WITH {QUESTIONS_SQL} SELECT qid, CASE WHEN {_has(U.COMPARISON_PHRASES)} THEN 'comparison' " + " ".join(f"WHEN {_has(w)} THEN '{n}'" for n, w in U.INTENT_RULES) + " ELSE 'general' END AS intent FROM (SELECT qid, lower(trim(text)) AS t FROM qs)"
+O["intent_detect"] = f"WITH {QUESTIONS_SQL} SELECT qid, CASE WHEN {_has(U.COMPARISON_PHRASES)} THEN 'comparison' " + " ".join(f"WHEN {_has(w)} THEN '{n}'" for n, w in [*U.INTENT_GROUPS, *U.INTENT_RULES]) + " ELSE 'general' END AS intent FROM (SELECT qid, lower(trim(text)) AS t FROM qs)"
 
 
 def classified(spark, d):
@@ -51,12 +54,18 @@ Q["classify_plan"] = classified
 O["classify_plan"] = f"WITH {QUESTIONS_SQL}, {CLASS_SQL} SELECT qid, label, confidence, {_pick(0)} AS legs, CAST({_pick(1)} AS BIGINT) AS k, {_pick(2)} AS decompose, {_pick(3)} AS strategy FROM cl"
 
 Q["comparison_aspects"] = lambda spark, d: questions(spark, d).select("qid", F.array_join(U.aspects(F.col("text")), "|").alias("aspects"))
-_bare = lambda p, g: f"trim(regexp_replace(regexp_extract(trim(text), '{p}', {g}), '(?i)^(the|a|an) ', ''))"
-O["comparison_aspects"] = f"WITH {QUESTIONS_SQL} SELECT qid, CASE " + " ".join(f"WHEN regexp_matches(trim(text), '{p}') THEN {_bare(p, 1)} || '|' || {_bare(p, 2)}" for p in U.ASPECTS) + " ELSE '' END AS aspects FROM qs"
-
-Q["decompose"] = lambda spark, d: longs(questions(spark, d).select("qid", F.posexplode(U.decompose(F.col("text"))).alias("pos", "part")).select("qid", "pos", "part").groupBy("qid").agg(F.count("*").alias("parts"), F.max("part").alias("last_part")))
-O["decompose"] = f"""WITH {QUESTIONS_SQL}, a AS (SELECT qid, text, CASE {' '.join(f"WHEN regexp_matches(trim(text), '{p}') THEN [{_bare(p, 1)}, {_bare(p, 2)}]" for p in U.ASPECTS)} ELSE [] END AS sides FROM qs),
-p AS (SELECT qid, unnest(list_distinct(list_concat([text], CASE WHEN len(sides) > 0 THEN sides ELSE list_filter(list_transform(regexp_split_to_array(text, '(?i) (?:and|because) '), lambda x: trim(x)), lambda x: length(x) > 4) END))) AS part FROM a)
+_bare = lambda p, g: f"trim(regexp_replace(trim(regexp_extract(trim(text), '(?i){p}', {g})), '(?i)^(the|a|an)\\s+', ''))"
+ASPECTS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(trim(text), '(?i){p}') THEN [{_bare(p, 1)}, {_bare(p, 2)}]" for p in U.ASPECTS) + " ELSE [] END"
+INTENT_SQL = f"CASE WHEN {_has(U.COMPARISON_PHRASES)} THEN 'comparison' " + " ".join(f"WHEN {_has(w)} THEN '{n}'" for n, w in [*U.INTENT_GROUPS, *U.INTENT_RULES]) + " ELSE 'general' END"
+O["comparison_aspects"] = f"WITH {QUESTIONS_SQL} SELECT qid, array_to_string({ASPECTS_SQL}, '|') AS aspects FROM qs"
+
+Q["decompose"] = lambda spark, d: longs(questions(spark, d).select("qid", F.posexplode(U.decompose(F.col("text"))).alias("pos", "part")).groupBy("qid").agg(F.count("*").alias("parts"), F.max("part").alias("last_part")))
+_long = lambda e: f"list_filter(list_transform({e}, lambda x: trim(x)), lambda x: length(x) > 4)"
+_more = ", ".join("replace(replace('" + t + "', '{A}', sides[1]), '{B}', sides[2])" for t in U.ASPECT_QUERIES)
+O["decompose"] = f"""WITH {QUESTIONS_SQL}, a AS (SELECT qid, text, lower(text) AS low, {INTENT_SQL} AS intent, {ASPECTS_SQL} AS sides FROM (SELECT *, lower(trim(text)) AS t FROM qs)),
+f AS (SELECT qid, sides, list_distinct(list_concat([text], CASE WHEN intent = 'comparison' THEN {_long("string_split(regexp_replace(low, '\\b(compare|vs|versus|and)\\b', chr(31) || '\\1' || chr(31), 'g'), chr(31))")} ELSE [] END,
+  CASE WHEN contains(low, ' and ') THEN {_long("string_split(low, ' and ')")} ELSE [] END, CASE WHEN contains(low, ' because ') THEN {_long("string_split(low, ' because ')")} ELSE [] END)) AS first FROM a),
+p AS (SELECT qid, unnest(list_concat(first, CASE WHEN len(sides) = 2 THEN list_filter(list_distinct([{_more}]), lambda x: NOT list_contains(list_transform(first, lambda y: lower(y)), lower(x))) ELSE [] END)) AS part FROM f)
 SELECT qid, count(*) AS parts, max(part) AS last_part FROM p GROUP BY qid"""
 
 Q["confidence_policy"] = lambda spark, d: table(spark, d, "events").select("event_id", U.policy(F.pmod("event_id", F.lit(100)) / 100, F.pmod("event_id", F.lit(4))).alias("action"))
@@ -64,13 +73,30 @@ O["confidence_policy"] = "SELECT event_id, CASE WHEN (event_id % 100) / 100 > 0.
 
 
 def facet_rows(spark, d):
+    """Facets of each question, its first two names bound, against the turn itself."""
     label, _ = U.classify(F.col("text"))
-    return U.facets(questions(spark, d).select("qid", label.alias("label")), table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text"))
+    names = G.entities(F.col("text"))
+    asked = questions(spark, d).select("qid", label.alias("label"), F.try_element_at(names, F.lit(1)).alias("a"), F.try_element_at(names, F.lit(2)).alias("b"))
+    return U.facets(asked, table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text"))
+
 
+def entities_sql(x):
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({x}, '[A-Za-z0-9_.+-]+'), lambda t: regexp_replace(t, '^[.,]+|[.,]+$', '', 'g')), lambda t: length(t) >= 3 AND lower(t) NOT IN ({words_sql(G.STOP)})))"
 
+
+# list_distinct keeps no order: the first two names are found by their places.
+FIRST_TWO_SQL = f"nm AS (SELECT qid, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_.+-]+'), lambda t: regexp_replace(t, '^[.,]+|[.,]+$', '', 'g')), lambda t: length(t) >= 3 AND lower(t) NOT IN ({words_sql(G.STOP)})) AS ns FROM qs), ab AS (SELECT qid, coalesce(ns[1], '') AS a, coalesce(list_filter(ns, lambda t: t <> ns[1])[1], '') AS b FROM nm)"
+_F = ", ".join(f"('{label}', '{name}', [{', '.join(chr(39) + t + chr(39) for t in terms)}]::VARCHAR[])" for label, items in U.FACETS.items() for name, terms in items)
+_tokens = f"list_filter(regexp_extract_all(lower(facet), '[a-z0-9][a-z0-9\\-]+'), lambda t: t NOT IN ({words_sql(G.PLAN_STOP)}))"
+_bind = lambda x: f"CASE WHEN {x} <> '' AND contains(lower(facet), lower({x})) THEN [{x}] ELSE []::VARCHAR[] END"
+FACETS_SQL = f"""{FIRST_TWO_SQL}, f(lab, name, terms) AS (VALUES {_F}),
+fa AS (SELECT qid, a, b, replace(replace(name, '{{A}}', a), '{{B}}', b) AS facet, terms FROM cl JOIN ab USING (qid) JOIN f ON lab = CASE WHEN label IN ({words_sql(list(U.FACETS))}) THEN label ELSE 'default' END WHERE NOT (contains(name, '{{A}}') AND a = '') AND NOT (contains(name, '{{B}}') AND b = '')),
+ft AS (SELECT qid, facet, list_concat(terms, {_bind('a')}, {_bind('b')}) AS terms FROM fa),
+fc AS (SELECT ft.qid, facet, bool_or(len(list_filter(CASE WHEN len(terms) > 0 THEN terms ELSE {_tokens} END, lambda w: regexp_matches(lower(coalesce(c.text, '')), '(^|[^a-z0-9])' || regexp_escape(lower(w)) || '([^a-z0-9]|$)'))) > 0) AS covered FROM ft JOIN conversations c ON c.conv_id * 1000 + c.turn = ft.qid GROUP BY ft.qid, facet)"""
 Q["evidence_facets"] = facet_rows
-_F = ", ".join(f"('{label}', '{name}', '(^|[^a-z0-9])({'|'.join(words.split())})([^a-z0-9]|$)')" for label, items in U.FACETS.items() for name, words in items)
-O["evidence_facets"] = f"WITH {QUESTIONS_SQL}, {CLASS_SQL}, f(label, facet, rx) AS (VALUES {_F}) SELECT cl.qid, facet, regexp_matches(lower(coalesce(c.text, '')), rx) AS covered FROM cl JOIN f USING (label) JOIN conversations c ON c.conv_id * 1000 + c.turn = cl.qid"
+O["evidence_facets"] = f"WITH {QUESTIONS_SQL}, {CLASS_SQL}, {FACETS_SQL} SELECT qid, facet, covered FROM fc"
+Q["facet_ratio"] = lambda spark, d: U.facet_ratio(facet_rows(spark, d))
+O["facet_ratio"] = f"WITH {QUESTIONS_SQL}, {CLASS_SQL}, {FACETS_SQL} SELECT qid, count(*) AS facets, round(avg(CAST(covered AS DOUBLE)), 3) AS ratio FROM fc GROUP BY qid"
 
 
 def ambiguity(spark, d):
@@ -82,25 +108,35 @@ def ambiguity(spark, d):
 Q["ambiguity"] = ambiguity
 
 O["ambiguity"] = f"""WITH names AS (SELECT DISTINCT concept FROM ({CONCEPTS_SQL})), w AS (SELECT concept, unnest(list_distinct(string_split(lower(concept), ' '))) AS token FROM names WHERE contains(concept, ' ')),
-r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY concept) AS i FROM w), m AS (SELECT token, string_agg(concept, '|' ORDER BY concept) FILTER (i <= 6) AS options FROM r GROUP BY token HAVING count(*) >= 3),
-asked AS (SELECT DISTINCT unnest(string_split(lower(concept), ' ')) AS qid FROM names), t AS (SELECT qid, unnest({query_terms_sql('qid')}) AS token FROM asked WHERE len({query_terms_sql('qid')}) <= 3) SELECT qid, token, options FROM t JOIN m USING (token)"""
-
-Q["spell_candidates"] = lambda spark, d: U.spell_candidates(*spell_tables(spark, d))
-
+asked AS (SELECT DISTINCT unnest(string_split(lower(concept), ' ')) AS qid FROM names), t AS (SELECT qid, unnest({query_terms_sql('qid')}) AS token FROM asked WHERE len({query_terms_sql('qid')}) <= 3),
+r AS (SELECT qid, token, concept, row_number() OVER (PARTITION BY qid, token ORDER BY concept) AS i FROM t JOIN w USING (token) WHERE NOT contains(lower(qid), lower(concept)))
+SELECT qid, token, string_agg(concept, '|' ORDER BY concept) FILTER (i <= 6) AS options FROM r GROUP BY qid, token HAVING count(*) >= 3"""
 
 def spell_tables(spark, d):
-    """Misspelled words (the last two letters of each vocabulary word swapped) and a vocabulary with frequencies."""
+    """Misspelled words (of each vocabulary word the last two letters swapped, and of long ones the third and fifth gone) and a vocabulary with frequencies."""
     vocab = table(spark, d, "conversations").select(F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
-    n = F.length("term")
-    wrong = F.concat(F.substring(F.col("term"), F.lit(1), n - 2), F.substring(F.col("term"), n, F.lit(1)), F.substring(F.col("term"), n - 1, F.lit(1)))
-    return vocab.select(wrong.alias("word")), vocab
-
-
-_forms = lambda w: f"unnest(list_distinct(list_concat([{w}], list_transform(range(1, length({w}) + 1), lambda i: left({w}, CAST(i - 1 AS BIGINT)) || substr({w}, CAST(i + 1 AS BIGINT))))))"
-O["spell_candidates"] = f"""WITH v AS (SELECT term, count(*) AS freq FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) AS term FROM conversations) GROUP BY term),
-w AS (SELECT DISTINCT left(term, length(term) - 2) || right(term, 1) || substr(term, length(term) - 1, 1) AS word FROM v),
-a AS (SELECT word, {_forms('word')} AS form FROM w), k AS (SELECT term, freq, {_forms('term')} AS form FROM v) SELECT DISTINCT word, term, freq FROM a JOIN k USING (form)"""
+    n, t = F.length("term"), F.col("term")
+    swapped = F.concat(F.substring(t, F.lit(1), n - 2), F.substring(t, n, F.lit(1)), F.substring(t, n - 1, F.lit(1)))
+    gone = F.concat(F.substring(t, 1, 2), F.substring(t, 4, 1), F.substring(t, F.lit(6), n))
+    return vocab.select(swapped.alias("word")).unionByName(vocab.where(n >= 8).select(gone.alias("word"))), vocab
+
+
+_less = lambda w: f"list_transform(range(1, length({w}) + 1), lambda i: left({w}, CAST(i - 1 AS BIGINT)) || substr({w}, CAST(i + 1 AS BIGINT)))"
+_less2 = lambda w: f"flatten(list_transform({_less(w)}, lambda x: list_transform(range(1, length(x) + 1), lambda j: left(x, CAST(j - 1 AS BIGINT)) || substr(x, CAST(j + 1 AS BIGINT)))))"
+_forms = lambda w: f"unnest(list_distinct(list_concat([{w}], {_less(w)}, CASE WHEN length({w}) >= {U.SPELL['long']} THEN {_less2(w)} ELSE [] END)))"
+SPELL_SQL = f"""v AS (SELECT term, count(*) AS freq FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) AS term FROM conversations) GROUP BY term),
+w AS (SELECT left(term, length(term) - 2) || right(term, 1) || substr(term, length(term) - 1, 1) AS word FROM v UNION SELECT left(term, 2) || substr(term, 4, 1) || substr(term, 6) FROM v WHERE length(term) >= 8),
+a AS (SELECT word, {_forms('word')} AS form FROM w), k AS (SELECT term, freq, {_forms('term')} AS form FROM v), sc AS (SELECT DISTINCT word, term, freq FROM a JOIN k USING (form))"""
+O["spell_candidates"] = f"WITH {SPELL_SQL} SELECT word, count(*) AS terms, max(term) AS last_term FROM sc GROUP BY word"
+Q["spell_candidates"] = lambda spark, d: U.spell_candidates(*spell_tables(spark, d)).groupBy("word").agg(F.count("*").alias("terms"), F.max("term").alias("last_term"))
 Q["spell_correct"] = lambda spark, d: U.corrections(*spell_tables(spark, d))
+O["spell_correct"] = f"""WITH {SPELL_SQL}, top AS (SELECT max(freq) AS top FROM v),
+c AS (SELECT word, term, freq, damerau_levenshtein(word, term) AS distance FROM sc WHERE word NOT IN (SELECT term FROM v) AND length(word) >= 4 AND levenshtein(word, term) <= CASE WHEN length(word) >= 6 THEN 4 ELSE 2 END),
+-- Optimal string alignment: no edit within swapped letters, so a swap parts both words into a head and a tail.
+s AS (SELECT * FROM c WHERE distance < 2 OR levenshtein(word, term) <= 2 OR len(list_filter(range(1, length(word)), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j >= 1 AND substr(word, i, 1) = substr(term, j + 1, 1) AND substr(word, i + 1, 1) = substr(term, j, 1)
+  AND damerau_levenshtein(left(word, i - 1), left(term, j - 1)) + 1 + damerau_levenshtein(substr(word, i + 2), substr(term, j + 2)) <= 2)) > 0)) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance + CASE WHEN left(word, 1) = left(term, 1) THEN 0.0 ELSE 0.5 END, freq DESC, term) AS i FROM s WHERE distance > 0 AND distance <= CASE WHEN length(word) >= 6 THEN 2 ELSE 1 END)
+SELECT word, term, distance, confidence FROM (SELECT word, term, distance, round(0.75 * (1 - distance / length(word)) + 0.25 * ln(1 + freq) / ln(1 + top), 3) AS confidence FROM r, top WHERE i = 1) WHERE confidence >= 0.6"""
 
 Q["meta_query"] = lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", C.is_meta(F.concat(F.expr("CASE WHEN turn % 3 = 0 THEN 'What did I just ask about ' ELSE '' END"), F.coalesce("text", F.lit("")))).alias("meta"))
 O["meta_query"] = f"SELECT conv_id, turn, regexp_matches(regexp_replace(lower(CASE WHEN turn % 3 = 0 THEN 'What did I just ask about ' ELSE '' END || coalesce(text, '')), '[ \\t\\n]+', ' ', 'g'), '{'|'.join(C.META)}') AS meta FROM conversations"

@@ -78,7 +78,7 @@ def _name(col: Column) -> Column:
 
 
 def _chunks(df: DataFrame, text: Column, title: Column, doc: Column) -> DataFrame:
-    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
     return df.select(doc.alias("doc_no"), title.alias("title"), F.lit("").alias("section"), F.posexplode(parts).alias("pos", "text"))
 
 
