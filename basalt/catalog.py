@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.plans import answers, assets, graph, retrieval, shaping, streams, text
+from basalt.plans import answers, assets, graph, retrieval, shaping, streams, text, understanding
 
 FLAGSHIP = "bm25_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (text, retrieval, graph, assets, answers, shaping, streams):
+for part in (text, retrieval, graph, assets, answers, shaping, streams, understanding):
     QUERIES |= part.Q
     ORACLES |= part.O
