@@ -20,6 +20,11 @@ QUERY_STOP = "what is are the a an of in on for to and or do does how i we me my
 # End of fixed values.
 
 
+def ascii_boundaries(pattern: str) -> str:
+    """Word boundaries that mean ASCII letters, digits and underscore, as on any engine."""
+    return pattern.replace(r"\b", r"(?:^|$|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
 def lines(text: Column) -> Column:
     """Lines of a text that are not blank, trimmed."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")

@@ -6,12 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
-
-# Weighted signatures of document types (pattern, weight), as stated by the specification's format.
-SIGNATURES = [
-    ("license", "licensed under", 3.0), ("license", "copyright", 2.0),
-    ("contact", r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]", 3.0), ("contact", r"[0-9]{3}-[0-9]{4}", 1.0),
-    ("shouting", "!!", 2.0), ("table", r" \| ", 2.0), ("address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 2.0),
+from basalt.functions.text import ascii_boundaries
+
+# Weighted signatures of document types, patterns and tables of the specification.
+SIGNATURES = {
+    "Work Order": [(r"\bwork\s*order\b", 3), (r"\bwo[-\s]?\d", 3), (r"\bjob\s*card\b", 2), (r"\bpermit\s*to\s*work\b", 1), (r"\bassigned\s*to\b", 1), (r"\blabou?r\s*hours\b", 1)],
+    "Maintenance Report": [
+        (r"\bmaintenance\s*(report|record|log)\b", 3), (r"\bcorrective\s*maintenance\b", 2), (r"\bpreventive\s*maintenance\b", 2), (r"\brepair(ed|s)?\b", 1),
+        (r"\breplaced?\b", 1), (r"\bdowntime\b", 2), (r"\bparts?\s*used\b", 2),
+    ],
+    "Inspection Report": [
+        (r"\binspection\s*(report|checklist|record)\b", 3), (r"\bvisual\s*inspection\b", 2), (r"\bthickness\s*measurement\b", 2), (r"\brecommended?\b", 1),
+        (r"\bfindings?\b", 1), (r"\bcondition\b", 1), (r"\bntd\b|\bnon[-\s]?destructive\b", 2),
+    ],
+    "Failure Report": [(r"\bbreakdown\b", 3), (r"\bfailure\s*report\b", 3), (r"\bunplanned\s*(stop|shutdown|outage)\b", 2), (r"\btripped?\b", 1), (r"\bunexpected\s*(stop|failure)\b", 2)],
+    "Root Cause Analysis": [
+        (r"\broot\s*cause\b", 3), (r"\brca\b", 3), (r"\bfishbone\b", 2), (r"\b5\s*whys?\b", 2), (r"\bcontributing\s*factors?\b", 1), (r"\bcorrective\s*action\b", 1),
+        (r"\bpreventive\s*action\b", 1),
+    ],
+    "Sensor Logs": [
+        (r"\bvibration\b", 2), (r"\bmm/s\b", 2), (r"\bsensor\b", 2), (r"\btelemetry\b", 2), (r"\bcondition\s*monitoring\b", 3), (r"\biso\s*10816\b", 2), (r"\btrend\b", 1),
+        (r"\bbearing\s*temp\b", 2), (r"\banomaly\b", 1),
+    ],
+    "OEM Manual": [
+        (r"\b(operating|installation|service|user)\s*manual\b", 3), (r"\b(vendor|oem|equipment|pump|compressor)\s*manual\b", 5), (r"\bdatasheet\b", 2),
+        (r"\bspecifications?\b", 1), (r"\btorque\s*settings?\b", 1), (r"\bmodel\s*(no|number)\b", 1), (r"\bmanufacturer\b", 1),
+    ],
+    "P&ID": [(r"\bp\s*&\s*id\b", 3), (r"\bpiping\s*and\s*instrumentation\b", 3), (r"\bloop\s*diagram\b", 2), (r"\bdrawing\s*(no|number)\b", 1), (r"\bline\s*list\b", 1)],
+    "Operating Procedure": [(r"\bstandard\s*operating\s*procedure\b", 3), (r"\bsop[-\s]?\d", 3), (r"\bstep\s*\d+\b", 1), (r"\bprocedure\b", 1), (r"\bshall\b", 1)],
+    "Safety SOP": [
+        (r"\bsafety\s*(procedure|instruction|data\s*sheet)\b", 3), (r"\blockout[-/\s]?tagout\b|\bloto\b", 2), (r"\bhazard\b", 2), (r"\bppe\b", 1), (r"\bpermit\b", 1),
+        (r"\bmsds\b|\bsds\b", 2),
+    ],
+    "Company Manual": [(r"\bcompany\s*manual\b", 3), (r"\basset\s*manual\b", 2)],
+    "Commissioning Report": [(r"\bcommissioning\b", 3), (r"\bpre-commissioning\b", 2), (r"\bacceptance test\b", 2)],
+    "Calibration Report": [(r"\bcalibration\b", 3), (r"\bas[- ]found\b", 2), (r"\bas[- ]left\b", 2)],
+    "Warranty": [(r"\bwarranty\b", 3), (r"\bguarantee\b", 2)],
+    "Datasheet": [(r"\bdatasheet\b", 3), (r"\btechnical data\b", 2), (r"\bdesign conditions\b", 2)],
+    "Maintenance Checklist": [(r"\bmaintenance checklist\b", 3), (r"\bchecklist\b", 2)],
+    "Vendor Report": [(r"\bvendor report\b", 3), (r"\bmanufacturer'?s report\b", 2)],
+    "Service Report": [(r"\bservice report\b", 3), (r"\bservice engineer\b", 2)],
+}
+GENERAL_TYPE = "General Document"
+MAINTENANCE_TYPES = [
+    "Maintenance Report", "Inspection Report", "Work Order", "Failure Report", "Root Cause Analysis", "Sensor Logs", "Service Report", "Maintenance Checklist",
+    "Calibration Report",
 ]
 LEAST_CONFIDENCE = 0.4
 # End of fixed values.
@@ -96,18 +135,18 @@ def dedupe_events(new: DataFrame, known: DataFrame, key: list[str], some: list[s
 
 
 def document_types(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, type, confidence): the type with the largest sum of weights of the signatures present.
+    """(doc, type, confidence, maintenance): the type with the largest sum of weights of the signatures present, the first of equals.
 
-    Confidence: min(.98, .45 + .35 top / total + .20 (top - second) / top), LEAST_CONFIDENCE for `general`."""
+    Confidence: min(.98, .45 + .35 top / total + .20 (top - second) / top), LEAST_CONFIDENCE for a general document."""
     t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    kinds = sorted({k for k, _, _ in SIGNATURES})
-    score = lambda kind: sum((F.when(t.rlike(p), w).otherwise(0.0) for k, p, w in SIGNATURES if k == kind), F.lit(0.0))
-    scored = F.array(*(F.struct((-score(k)).alias("s"), F.lit(k).alias("k")) for k in kinds))
+    score = lambda rules: sum((F.when(t.rlike(ascii_boundaries(p)), float(w)).otherwise(0.0) for p, w in rules), F.lit(0.0))
+    scored = F.array(*(F.struct((-score(rules)).alias("s"), F.lit(i).alias("i"), F.lit(kind).alias("k")) for i, (kind, rules) in enumerate(SIGNATURES.items())))
     rows = docs.select(F.col(id_col).alias("doc"), F.array_sort(scored).alias("s"))
     top, second = -F.col("s")[0]["s"], -F.col("s")[1]["s"]
     total = F.aggregate("s", F.lit(0.0), lambda acc, x: acc - x["s"])
     conf = F.least(F.lit(0.98), 0.45 + 0.35 * top / total + 0.20 * (top - second) / top)
-    return rows.select("doc", F.when(top > 0, F.col("s")[0]["k"]).otherwise("general").alias("type"), F.round(F.when(top > 0, conf).otherwise(LEAST_CONFIDENCE), 2).alias("confidence"))
+    kind = F.when(top > 0, F.col("s")[0]["k"]).otherwise(GENERAL_TYPE)
+    return rows.select("doc", kind.alias("type"), F.round(F.when(top > 0, conf).otherwise(LEAST_CONFIDENCE), 2).alias("confidence"), kind.isin(MAINTENANCE_TYPES).alias("maintenance"))
 
 
 def detect_assets(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:

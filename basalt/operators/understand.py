@@ -90,9 +90,7 @@ PROTECTED = [
 # End of fixed values.
 
 
-def _boundaries(pattern: str) -> str:
-    """Word boundaries that mean ASCII letters, digits and underscore, as case-folded text on any engine."""
-    return pattern.replace(r"\b", r"(?:^|$|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+_boundaries = T.ascii_boundaries
 
 
 def intent(q: Column) -> Column:

@@ -103,11 +103,13 @@ Q["spares_in_stock"] = lambda spark, d: table(spark, d, "part").groupBy("p_brand
 O["spares_in_stock"] = "SELECT p_brand, bool_and(p_size >= 2) AS in_stock, count(*) AS n FROM part GROUP BY p_brand"
 
 Q["document_types"] = lambda spark, d: A.document_types(table(spark, d, "documents"), "doc_id", "text")
-_SIG = {k: " + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0.0 END" for kk, p, w in A.SIGNATURES if kk == k) for k in sorted({k for k, _, _ in A.SIGNATURES})}
-O["document_types"] = f"""WITH s AS (SELECT doc_id AS doc, unnest([{', '.join(f"{{'k': '{k}', 's': CAST({e} AS DOUBLE)}}" for k, e in _SIG.items())}]) AS x FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)),
-r AS (SELECT doc, x.k AS k, x.s AS s, row_number() OVER (PARTITION BY doc ORDER BY x.s DESC, x.k) AS i, sum(x.s) OVER (PARTITION BY doc) AS total FROM s),
-p AS (SELECT doc, max(k) FILTER (i = 1) AS k, max(s) FILTER (i = 1) AS top, max(s) FILTER (i = 2) AS second, max(total) AS total FROM r GROUP BY doc)
-SELECT doc, CASE WHEN top > 0 THEN k ELSE 'general' END AS type, round(CASE WHEN top > 0 THEN least(0.98, 0.45 + 0.35 * top / total + 0.20 * (top - second) / top) ELSE 0.4 END, 2) AS confidence FROM p"""
+_q = lambda p: p.replace("'", "''")
+_SIG = ", ".join(f"{{'k': '{_q(k)}', 'i': {i}, 's': CAST({' + '.join(f'CASE WHEN regexp_matches(t, {chr(39)}{_q(p)}{chr(39)}) THEN {w} ELSE 0 END' for p, w in rules)} AS DOUBLE)}}" for i, (k, rules) in enumerate(A.SIGNATURES.items()))
+TYPES_SQL = f"""ds AS (SELECT doc, unnest([{_SIG}]) AS x FROM (SELECT doc, lower(coalesce(text, '')) AS t FROM dt)),
+dr AS (SELECT doc, x.k AS k, x.s AS s, row_number() OVER (PARTITION BY doc ORDER BY x.s DESC, x.i) AS i, sum(x.s) OVER (PARTITION BY doc) AS total FROM ds),
+dp AS (SELECT doc, max(k) FILTER (i = 1) AS k, max(s) FILTER (i = 1) AS top, max(s) FILTER (i = 2) AS second, max(total) AS total FROM dr GROUP BY doc),
+ty AS (SELECT doc, CASE WHEN top > 0 THEN k ELSE '{A.GENERAL_TYPE}' END AS type, round(CASE WHEN top > 0 THEN least(0.98, 0.45 + 0.35 * top / total + 0.20 * (top - second) / top) ELSE 0.4 END, 2) AS confidence FROM dp)"""
+O["document_types"] = f"WITH dt AS (SELECT doc_id AS doc, text FROM documents), {TYPES_SQL} SELECT doc, type, confidence, type IN ({', '.join(chr(39) + t + chr(39) for t in A.MAINTENANCE_TYPES)}) AS maintenance FROM ty"
 
 Q["asset_detect"] = lambda spark, d: longs(A.detect_assets(table(spark, d, "documents"), "doc_id", "text", "[A-Z]{2,4}[0-9]{2,4}|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"))
 O["asset_detect"] = "WITH f AS (SELECT doc_id AS doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z]{2,4}[0-9]{2,4}|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')) AS asset FROM documents) SELECT doc, asset, count(*) AS n, round(CAST(least(0.98, 0.78 + 0.04 * least(count(*), 4)) AS DOUBLE), 2) AS confidence FROM f GROUP BY doc, asset"

@@ -115,7 +115,8 @@ O["legacy_profile"] = f"SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(
 
 def resolved(spark, d):
     """Each short question about the word before: the conversation's first long word is its topic."""
-    topic = turns(spark, d).groupBy("conv_id").agg(F.min_by(F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]{6,}", 0), F.lit("")), "turn").alias("topic"))
+    word = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]{6,}", 0), F.lit(""))
+    topic = turns(spark, d).groupBy("conv_id").agg(F.min_by(word, F.when(word.isNotNull(), F.col("turn"))).alias("topic"))
     asked = turns(spark, d).select("conv_id", "turn", F.concat(F.element_at(F.array(*map(F.lit, FOLLOWUPS)), (F.pmod("turn", F.lit(len(FOLLOWUPS))) + 1).cast("int")), F.lit(" "), F.array_join(F.slice(F.split(G.spaced(F.col("text")), " "), 1, 9), " ")).alias("text"))
     return asked.join(topic, "conv_id").select("conv_id", "turn", G.resolve(F.col("text"), F.col("topic")).alias("text"))
 
@@ -123,7 +124,7 @@ def resolved(spark, d):
 FOLLOWUPS = ["explain it in", "how does", "compare", "what about these", "tell me"]
 Q["context_resolve"] = resolved
 _pron = "|".join(G.PRONOUNS)
-O["context_resolve"] = f"""WITH t AS (SELECT conv_id, arg_min(nullif(regexp_extract(coalesce(text, ''), '[A-Za-z]{{6,}}'), ''), turn) AS topic FROM (SELECT *, nullif(regexp_extract(coalesce(text, ''), '[A-Za-z]{{6,}}'), '') AS w FROM conversations) GROUP BY conv_id),
+O["context_resolve"] = f"""WITH t AS (SELECT conv_id, arg_min(w, turn) FILTER (w IS NOT NULL) AS topic FROM (SELECT *, nullif(regexp_extract(coalesce(text, ''), '[A-Za-z]{{6,}}'), '') AS w FROM conversations) GROUP BY conv_id),
 q AS (SELECT conv_id, turn, ({_list(FOLLOWUPS)})[1 + turn % {len(FOLLOWUPS)}] || ' ' || array_to_string(string_split({SPACED_SQL}, ' ')[1:9], ' ') AS text FROM conversations)
 SELECT conv_id, turn, CASE WHEN topic IS NULL OR topic = '' OR contains(lower(text), lower(topic)) OR len(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda w: w <> '')) > {G.MOST_FOLLOWUP_WORDS} THEN text
   WHEN regexp_matches(text, '(?i)\\b(?:{_pron})\\b') THEN regexp_replace(text, '(?i)\\b(?:{_pron})\\b', topic)
