@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basalt.runtime import shared_root
+
 # How strongly each relation carries relevance, and the loss of each hop.
 REL_WEIGHTS = {
     "CAUSED_BY": 1.0, "REQUIRES": 0.9, "GOVERNS": 0.9, "HAS_FAILURE": 0.95, "USED_PART": 0.75, "RECOMMENDED": 0.7,
@@ -84,12 +86,11 @@ def weighted_expand(e: DataFrame, seeds: DataFrame, hops: int = 2, limit: int =
 def pagerank(n: DataFrame, e: DataFrame, rounds: int = 20, damping: float = 0.85, checkpoint_every: int = 5) -> DataFrame:
     """(id, rank) over the undirected multigraph; the mass of nodes without edges is dropped.
 
-    The adjacency with its shares is laid out once; every few rounds the ranks are checkpointed, if
-    a checkpoint folder is set, so the plan doesn't grow with the rounds."""
+    The adjacency with its shares is laid out once; every few rounds the ranks are checkpointed, so the
+    plan doesn't grow with the rounds."""
     spark = n.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     adj = both_ways(e).groupBy("node", "other").agg(F.count("*").alias("m"))
     out = adj.groupBy("node").agg(F.sum("m").alias("out"))
     shares = adj.join(out, "node").select("node", "other", (F.col("m") / F.col("out")).alias("share")).persist()
@@ -99,7 +100,7 @@ def pagerank(n: DataFrame, e: DataFrame, rounds: int = 20, damping: float = 0.85
         got = shares.join(ranks.withColumnRenamed("id", "node"), "node").groupBy("other").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         ranks = n.select("id").join(got.withColumnRenamed("other", "id"), "id", "left").select("id", (F.lit((1 - damping) / size) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if (k + 1) % checkpoint_every == 0 and k + 1 < rounds:
-            ranks = ranks.checkpoint() if spark.sparkContext.getCheckpointDir() else ranks.persist()
+            ranks = ranks.checkpoint()
     return ranks
 
 

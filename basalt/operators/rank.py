@@ -74,7 +74,7 @@ def gate(rows: DataFrame, threshold: float = ACCEPT) -> DataFrame:
     The first row of a query always stays.  Where the best support of a query is below COLLAPSE the
     reranker has collapsed and the reason says so."""
     w = GATE_WEIGHTS
-    score = w["support"] * F.col("support") + w["dense"] * F.col("dense") + w["bm25"] * F.least(F.lit(1.0), F.col("bm25") / BM25_SATURATION)
+    score = w["support"] * F.col("support") + w["dense"] * F.col("dense") + w["bm25"] * F.col("bm25") / (F.col("bm25") + BM25_SATURATION)
     score = score + w["graph"] * F.least(F.lit(1.0), F.col("graph") / GRAPH_SATURATION) + w["meta"] * (F.col("meta") - 1) / 0.5 + w["entity"] * F.col("entity")
     best = F.max("support").over(Window.partitionBy("qid"))
     out = rows.withColumn("accept_score", F.round(score, 4)).withColumn("accepted", (F.col("rank") == 0) | (F.col("accept_score") >= threshold))

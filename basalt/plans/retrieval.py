@@ -111,7 +111,7 @@ def acceptance(spark, d):
 
 Q["acceptance_gate"] = acceptance
 O["acceptance_gate"] = f"""WITH {ALL_SQL}, {SUPPORT_SQL},
-g AS (SELECT s.qid, s.doc, s.rank, s.support, round(CAST(0.45 * s.support + 0.15 * coalesce(dense.score, 0.0) + 0.15 * least(1.0, coalesce(bm25.score, 0.0) / 4.0) + 0.10 * least(1.0, coalesce(graph.score, 0.0) / 3.0) + 0.10 * entity AS DOUBLE), 4) AS accept_score,
+g AS (SELECT s.qid, s.doc, s.rank, s.support, round(CAST(0.45 * s.support + 0.15 * coalesce(dense.score, 0.0) + 0.15 * coalesce(bm25.score, 0.0) / (coalesce(bm25.score, 0.0) + 4.0) + 0.10 * least(1.0, coalesce(graph.score, 0.0) / 3.0) + 0.10 * entity AS DOUBLE), 4) AS accept_score,
   max(s.support) OVER (PARTITION BY s.qid) AS best FROM support s JOIN entity USING (qid, doc) LEFT JOIN dense USING (qid, doc) LEFT JOIN bm25 USING (qid, doc) LEFT JOIN graph USING (qid, doc))
 SELECT qid, doc, accept_score, rank = 0 OR accept_score >= 0.15 AS accepted, CASE WHEN rank = 0 THEN 'top' WHEN best < 0.20 THEN 'fallback' WHEN accept_score >= 0.15 THEN 'accepted' ELSE 'below threshold' END AS reason FROM g"""
 

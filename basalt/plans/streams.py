@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from basalt.plans.common import table
+from basalt.runtime import shared_folder
 from basalt.sources.readers import html_to_text
 from basalt.streaming import telemetry as S
 
@@ -17,12 +13,7 @@ Q, O = {}, {}
 
 
 def workspace(spark) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="basalt-stream-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root}/stream-{uuid.uuid4().hex[:12]}"
+    return shared_folder(spark, "stream")
 
 
 def stream(spark, d):
@@ -39,7 +30,7 @@ O["stream_windows"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count
 
 
 def running(spark, d):
-    return S.drain(S.running(stream(spark, d)), "update", workspace(spark)).select("user_id", "n", "recent_mean", "latest")
+    return S.drain(S.running(stream(spark, d)), "update", workspace(spark), "user_id").select("user_id", "n", "recent_mean", "latest")
 
 
 Q["stream_running"] = running

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +30,27 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(path))
 
 
+_OWN: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local session, whose executors are the driver, may go without: it gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="basalt-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return "file://" + _OWN[0]
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nobody else uses."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files are too few for that; tables of more partitions than cores stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

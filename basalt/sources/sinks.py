@@ -6,27 +6,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from basalt.operators import assets as A
 
 
-def _replace(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a staged folder in the target's place; the old one goes only when the new one is complete."""
+def _fs(spark: SparkSession, target: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = f"{target}.old-{uuid.uuid4().hex[:8]}"
+    return path, path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, target: str) -> str | None:
+    """Where the table is: its folder or, if a writer stopped between its two renames, the one it had put aside last; None if there is no table."""
+    path, fs = _fs(spark, target)
     if fs.exists(path(target)):
-        fs.rename(path(target), path(old))
-    fs.rename(path(staged), path(target))
-    fs.delete(path(old), True)
+        return target
+    aside = fs.globStatus(path(f"{target}.old-*")) or []
+    return max(((s.getModificationTime(), s.getPath().toString()) for s in aside), default=(0, None))[1]
+
+
+def _replace(spark: SparkSession, staged: str, target: str) -> None:
+    """Put a staged folder in the target's place; the old one goes only when the new one is there, and comes back if it can't be."""
+    path, fs = _fs(spark, target)
+    old = f"{target}.old-{uuid.uuid4().hex[:8]}"
+    moved = fs.exists(path(target))
+    if moved and not fs.rename(path(target), path(old)):
+        raise OSError(f"cannot move {target}")
+    if not fs.rename(path(staged), path(target)):
+        if moved:
+            fs.rename(path(old), path(target))
+        raise OSError(f"cannot move {staged} to {target}")
+    for s in fs.globStatus(path(f"{target}.old-*")) or []:
+        fs.delete(s.getPath(), True)
 
 
 def existing(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """The table's rows, none if there is no table; a table that can't be read is an error."""
+    at = current(spark, path)
+    return spark.createDataFrame([], schema) if at is None else spark.read.schema(schema).parquet(at)
 
 
 def upsert(new: DataFrame, path: str, key: str, created: str = "created_at") -> None:
@@ -45,7 +61,7 @@ def append_missing(new: DataFrame, path: str, key: str) -> None:
 def delete(spark: SparkSession, path: str, key: str, value) -> None:
     """Rewrite without the rows of a key."""
     staged = f"{path}.new-{uuid.uuid4().hex[:8]}"
-    spark.read.parquet(path).where(~F.col(key).eqNullSafe(F.lit(value))).write.parquet(staged)
+    spark.read.parquet(current(spark, path) or path).where(~F.col(key).eqNullSafe(F.lit(value))).write.parquet(staged)
     _replace(spark, staged, path)
 
 

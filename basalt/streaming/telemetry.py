@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,12 +60,18 @@ def running(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts", "value").groupBy("user_id").applyInPandasWithState(_update, RESULT, "n bigint, ts array<bigint>, vs array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str, path: str) -> DataFrame:
-    """Run a stream over all that is there; the last batch's result, written to path."""
+def drain(stream: DataFrame, mode: str, path: str, key: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return its result, written to path: the last batch's in complete mode, all
+    batches' in append mode, and of the rows that update mode gives for a key the last batch's.  A batch that runs again replaces its rows."""
     schema = stream.schema
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(put).start().awaitTermination()
-    return stream.sparkSession.read.schema(schema).parquet(f"{path}/out")
+    if mode == "complete":
+        return stream.sparkSession.read.schema(schema).parquet(f"{path}/out")
+    out = stream.sparkSession.read.schema(schema.add("batch", "long")).parquet(f"{path}/out")
+    if mode == "update" and key is not None:
+        out = out.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("batch")))).where("_i = 1").drop("_i")
+    return out.drop("batch")
