@@ -25,6 +25,8 @@ from basalt.llm import shared
 
 DIM = 1024
 SCALE = 1 << 20
+#: The cosine that random vectors have by chance (one standard deviation): a text that is no closer to any language is told from none.
+NOISE = DIM**-0.5
 MAX_LANGUAGES = 4096
 DENSE_CODES = 1 << 22
 SLICE_CODES = 4 << 20

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -14,9 +10,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.runtime import ship, spread
-
-_OWN: list[str] = []
+from basalt.runtime import shared_folder, ship, spread
 
 
 def tune(spark: SparkSession) -> None:
@@ -26,20 +20,9 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors see: spark.checkpoint.dir, or an own one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="basalt-"))
-            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-        root = "file://" + _OWN[0]
-    return root.rstrip("/")
-
-
 def new_dir(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return shared_folder(spark, name)
 
 
 def cut(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:

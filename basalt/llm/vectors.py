@@ -27,6 +27,8 @@ from basalt.llm.links import components
 TREES = 4
 SAMPLE = 50_000
 LEAF = 512
+#: Vector lengths that get trees of their own, the most frequent first; vectors of rarer lengths share one leaf for each label and length.
+DIMS = 64
 LEAST_SAMPLE = 32
 BLOCK = 256
 #: Half the margin, in standard deviations of the step between vectors at the threshold along a random direction.
@@ -100,7 +102,7 @@ def classes_of(table: DataFrame, id_col: str, vec_col: str, label_col: str) -> t
     big = F.lit(float("inf"))
     good = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < big)) & F.exists(v, lambda c: c != 0)
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
-    rows = rows.withColumn("key", F.when(F.col("good"), F.xxhash64("label", "v")))
+    rows = rows.withColumn("key", F.when(F.col("good"), F.concat_ws("-", F.xxhash64("label", "v"), F.xxhash64(F.lit(1), "label", "v"))))  # 128 bits: unequal vectors never meet
     known = rows.where("good").dropDuplicates(["key", "id"])
     classes = known.groupBy("key").agg(F.min("id").alias("rep"), F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"))
     return rows.select("id", "key"), classes.withColumn("dim", F.size("v"))
@@ -174,7 +176,7 @@ def near_duplicates(table: DataFrame, least: float = 0.98, id_col: str = "vec_id
     shared.tune(spark)
     rows, classes = classes_of(table, id_col, vec_col, label_col)
     classes = shared.cut(classes, "vector-classes")
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(16).collect()}
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(DIMS).collect()}
     total = sum(sizes.values())
     forest: dict[int, tuple[float, list]] = {}
     for dim, n in sizes.items():

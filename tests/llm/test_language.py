@@ -1,3 +1,7 @@
+import zlib
+
+import numpy as np
+
 from basalt.llm import language
 
 from .conftest import document_rows
@@ -37,3 +41,37 @@ def test_bundle_is_the_sum_of_bound_vectors():
 def test_held_out_accuracy(spark):
     out = language.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert out.where("lang_pred = lang").count() >= 0.98 * out.count()
+
+
+def brute_bundle(text):
+    """Sum of the bound trigram vectors of a text, letter by letter."""
+    seq = [0]
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            seq.append(ord(c))
+        elif seq[-1]:
+            seq.append(0)
+    total = np.zeros(language.DIM)
+    for a, b, c in zip(seq, seq[1:], seq[2:], strict=False):
+        total += np.roll(language.letter_vector(a), 2).astype(float) * np.roll(language.letter_vector(b), 1) * language.letter_vector(c)
+    return total, max(0, len(seq) - 2)
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """Prototypes and cosines of the whole query from the definition."""
+    rows = [(r["doc_id"], r["text"][:300], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()] + [(9001, None, "en"), (9002, "123 !!", "de"), (9003, "wort", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    protos = {}
+    for i, t, lang in rows:
+        total, n = brute_bundle(t)
+        if lang is not None and t is not None and n and zlib.crc32(str(i).encode()) % 4 != 2:
+            protos[lang] = protos.get(lang, 0) + total / n
+    unit = {lang: v / np.linalg.norm(v) for lang, v in protos.items()}
+    for r in language.query(spark, str(tmp_path)).collect():
+        total, n = brute_bundle(dict((i, t) for i, t, _ in rows)[r["doc_id"]])
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not n:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cos = {lang: float(total @ v) / np.linalg.norm(total) for lang, v in unit.items()}
+        assert abs(r["score"] - max(0.0, max(cos.values()))) < 1e-3 and max(cos.values()) - cos[r["lang_pred"]] < 1e-3

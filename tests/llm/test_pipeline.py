@@ -1,5 +1,5 @@
 import corpus_pipeline
-from basalt.llm import links, packing, toxicity
+from basalt.llm import language, links, packing, toxicity
 from tests.llm.test_neardup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +20,10 @@ def test_stages_against_brute_force(spark):
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(toxicity.fit(before, toxicity.learnable(spark.read.parquet(f"{SF}/labels.parquet")))).collect()}
     assert {r["doc_id"] for r in after.collect()} == {i for i, s in scores.items() if s < 0.5}
     before, after = by["language_id"]
-    assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect() if any(c.isalpha() for c in r["text"] or "")}
+    model = language.fit(language.train_rows(before))
+    told = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language.predict(before, model).collect()}
+    assert {r["doc_id"] for r in after.collect()} == {i for i, (lang, score) in told.items() if lang != "und" and score > language.NOISE}
+    assert len(after.collect()) >= 0.99 * len(told)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "near_duplicates", "packing"]
 
 
@@ -44,6 +47,20 @@ def test_null_and_repeated_rows(spark):
     assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in docs.collect()) == [(0, "other"), (0, "some "), (2, "a b c")]
 
 
+def test_empty_table_and_clashing_columns(spark):
+    """Further columns that the operators use themselves pass through; an empty table stays empty."""
+    rows = [(i, f"words number {i} of a plain text that goes on " * 3, "en", "s", 1, 0.5, "x", 7, [1]) for i in range(1, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, toxic_score double, lang_pred string, id int, ids array<int>")
+    out = none = docs
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, none = stage(spark, out, SF), stage(spark, none, SF)
+        assert set(out.columns) <= set(docs.columns) and {"doc_id", "text", "lang", "source", "n_chars"} <= set(out.columns)
+    assert out.count() == 29 and none.count() == 0
+    assert corpus_pipeline.pack_windows(spark, out, SF).select("doc_id").distinct().count() == 29
+    assert corpus_pipeline.pack_windows(spark, none, SF).count() == 0
+
+
 def test_components(spark):
     e = [(1, 2), (2, 3), (3, 1), (10, 11), (20, 20), (None, 5)] + [(i, i + 1) for i in range(100, 160)] + [(1000, i) for i in range(1001, 1100)]
     got = {r["node"]: r["component"] for r in links.components(spark.createDataFrame(e, "a bigint, b bigint")).collect()}
