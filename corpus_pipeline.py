@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 again as the next one's docs.  All but the last return the columns of documents:
 
 1. toxicity: documents that the nearest labelled examples call toxic go;
-2. language ID: documents without anything to identify (no text or no letter) go;
+2. language ID: documents that can't be told go: no text, no letter, or no closer to any language than chance;
 3. near-duplicates (five words, Jaccard 0.8): of each group the smallest id stays, and of
    repeated rows one;
 4. packing: what is left, in windows of 1024 tokens; one row for each piece.
@@ -29,11 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; all rows with a letter if no row tells one that could be learned."""
+    """Rows that are closer to a learned language than random vectors are by chance; all rows with a letter if no row tells a language to learn."""
     model = language.fit(language.train_rows(docs))
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language.predict(docs, model).where("lang_pred <> 'und'").select(docs.columns)
+    return language.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") > language.NOISE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
