@@ -8,29 +8,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
+from basalt.runtime import written
 
 
 @dataclass
 class TextIndex:
-    """tokens (doc, ts), postings (doc, term, tf), docs (doc, dl), terms (term, df), size and mean length of the corpus."""
+    """postings (doc, term, tf, dl), written once; docs (doc, dl), terms (term, df), size and mean length of the corpus (one row)."""
 
-    tokens: DataFrame
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     stats: DataFrame
+    _norms: DataFrame | None = None
+
+    def norms(self) -> DataFrame:
+        """(doc, norm): lengths of the documents' TF-IDF vectors, written when they are first asked for."""
+        if self._norms is None:
+            idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
+            w = (1 + F.log("tf")) * idf
+            rows = self.postings.select("doc", "term", "tf").join(self.terms, "term").crossJoin(F.broadcast(self.stats))  # one row of statistics
+            self._norms = written(rows.groupBy("doc").agg(F.sqrt(F.sum(w * w)).alias("norm")), "index-norms")
+        return self._norms
 
 
 def build(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-    """Statistics of all chunks.  Texts are dealt out by document once; postings, lengths and scores by
-    document then need no further shuffle, and document frequencies only partial counts."""
-    toks = chunks.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).repartition("doc").select("doc", T.raw_tokens(F.col("text")).alias("ts"))
+    """Index of all chunks.  Texts are read and cut into tokens once: postings are counted by document and written to the shared
+    folder; statistics and all legs read them there, and only the columns and terms that they need."""
+    rows = chunks.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    toks = rows.repartition("doc").select("doc", T.raw_tokens(F.col("text")).alias("ts"))
     # Exploded first: the singular is then generated code over rows, not a function over arrays.
-    postings = toks.select("doc", F.explode("ts").alias("t")).select("doc", T.singular(F.col("t")).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    docs = toks.select("doc", F.size("ts").cast("bigint").alias("dl"))
+    each = toks.select("doc", F.size("ts").cast("bigint").alias("dl"), F.explode("ts").alias("t")).select("doc", "dl", T.singular(F.col("t")).alias("term"))
+    postings = written(each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "index-postings")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    return TextIndex(toks, postings, docs, terms, stats)
+    docs = rows.select("doc").join(postings.groupBy("doc").agg(F.first("dl").alias("dl")), "doc", "left").select("doc", F.coalesce("dl", F.lit(0)).alias("dl"))
+    total, n = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).collect()[0]["n"], rows.select("doc").count()
+    stats = chunks.sparkSession.createDataFrame([(n, total / n if n else None)], "n_docs bigint, avg_dl double")
+    return TextIndex(postings, docs, terms, stats)
 
 
 def queries_of(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,33 +70,25 @@ def bm25(index: TextIndex, queries: DataFrame, id_col: str = "item_id", text_col
     Tokens are reduced to the batch's terms before they are counted, where the documents lie; what is
     shuffled are partial document frequencies of these terms and, by callers, each task's best rows."""
     terms = queries_of(queries, id_col, text_col)
-    wanted = held(terms.select("term").distinct())
-    raw = index.tokens.select("doc", F.size("ts").cast("bigint").alias("dl"), F.explode("ts").alias("t")).select("doc", "dl", T.singular(F.col("t")).alias("term"))
-    found = raw.join(wanted, "term").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    found = index.postings.join(held(terms.select("term").distinct()), "term")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    asked = held(terms.join(df, "term"))
-    scored = found.join(asked, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
+    scored = found.join(held(terms.join(df, "term")), "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     return scored.groupBy("qid", "doc").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def tfidf_vectors(index: TextIndex) -> DataFrame:
-    """(doc, term, w): (1 + ln tf) * (ln((N + 1) / (df + 1)) + 1), scaled to unit length by document."""
-    weight = (1 + F.log("tf")) * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)
-    raw = index.postings.join(index.terms, "term").crossJoin(F.broadcast(index.stats)).select("doc", "term", weight.alias("w"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
 def dense(index: TextIndex, queries: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(qid, doc, score): cosine of TF-IDF vectors; unknown query terms count in the query's length."""
+    """(qid, doc, score): cosine of TF-IDF vectors; unknown query terms count in the query's length.
+
+    Only the batch's terms are weighed; the documents' vector lengths stand beside the index."""
     terms = queries_of(queries, id_col, text_col)
-    weight = (1 + F.log("qtf")) * (F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
-    raw = terms.join(index.terms, "term", "left").crossJoin(F.broadcast(index.stats)).select("qid", "term", weight.alias("q"))
-    norm = raw.groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
-    unit = raw.join(norm, "qid").select("qid", "term", (F.col("q") / F.col("norm")).alias("q"))
-    return tfidf_vectors(index).join(unit, "term").groupBy("qid", "doc").agg(F.round(F.sum(F.col("q") * F.col("w")), 6).alias("score"))
+    idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    raw = terms.join(index.terms.join(held(terms.select("term").distinct()), "term"), "term", "left").crossJoin(F.broadcast(index.stats)).select("qid", "term", idf.alias("idf"), ((1 + F.log("qtf")) * idf).alias("q"))
+    norm = raw.groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
+    asked = held(raw.join(norm, "qid").select("qid", "term", "idf", (F.col("q") / F.col("qnorm")).alias("q")))
+    found = index.postings.select("doc", "term", "tf").join(asked, "term").join(index.norms(), "doc")
+    return found.groupBy("qid", "doc").agg(F.round(F.sum(F.col("q") * ((1 + F.log("tf")) * F.col("idf") / F.col("norm"))), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, depth: int, by: str = "qid", key: str = "doc") -> DataFrame:

@@ -29,13 +29,20 @@ def _weighed(terms: DataFrame, index: I.TextIndex) -> DataFrame:
     return terms.join(index.terms, "term", "left").crossJoin(F.broadcast(index.stats)).withColumn("idf", idf).drop("df", "n_docs", "avg_dl")  # one row of statistics
 
 
+def _met(candidates: DataFrame, terms: DataFrame, index: I.TextIndex) -> DataFrame:
+    """(qid, doc, met): the idf of the terms (qid, term, idf) that each candidate holds; postings are cut to the terms, then to the candidates, before anything is summed."""
+    found = index.postings.select("doc", "term").join(I.held(terms.select("term").distinct()), "term")
+    pairs = I.held(candidates.select("qid", "doc").distinct())
+    return found.join(pairs, "doc").join(I.held(terms), ["qid", "term"]).groupBy("qid", "doc").agg(F.sum("idf").alias("met"))
+
+
 def lexical_support(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, index: I.TextIndex, q_id: str = "item_id", q_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(qid, doc, support) of candidate pairs: min(1, .08 + .92 * coverage * (.30 + .70 * prose)).
 
     Coverage is the share of the query terms' idf that the chunk holds."""
     terms = _weighed(_terms(queries, q_id, q_text), index)
     total = terms.groupBy("qid").agg(F.sum("idf").alias("total"))
-    met = index.postings.join(terms, "term").select("qid", "doc", "idf").groupBy("qid", "doc").agg(F.sum("idf").alias("met"))
+    met = _met(candidates, terms, index)
     prose = chunks.select(F.col(id_col).alias("doc"), T.prose_factor(F.col(text_col)).alias("prose"))
     rows = candidates.select("qid", "doc").join(met, ["qid", "doc"], "left").join(total, "qid", "left").join(prose, "doc")
     cover = F.coalesce(F.col("met"), F.lit(0.0)) / F.col("total")
@@ -50,7 +57,7 @@ def entity_coverage(candidates: DataFrame, queries: DataFrame, index: I.TextInde
     found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(q_text), F.lit("")), F.lit("[A-Z][A-Za-z]{3,}"), F.lit(0)), lambda w: T.singular(F.lower(w))))
     terms = _weighed(queries.select(F.col(q_id).alias("qid"), F.explode(found).alias("term")), index)
     total = terms.groupBy("qid").agg(F.sum("idf").alias("all"))
-    met = index.postings.join(terms, "term").groupBy("qid", "doc").agg(F.sum("idf").alias("met"))
+    met = _met(candidates, terms, index)
     rows = candidates.select("qid", "doc").join(met, ["qid", "doc"], "left").join(total, "qid", "left")
     return rows.select("qid", "doc", F.round(F.coalesce(F.col("met") / F.col("all"), F.lit(0.0)), 4).alias("entity"))
 

@@ -10,6 +10,7 @@ from basalt.operators import index as I
 from basalt.operators import rank as R
 from basalt.plans.common import INDEX_SQL, RANK_SQL, longs, query_terms_sql, sing_sql, table, tokens_sql, wc_sql, words_sql
 from basalt.plans.text import PROSE_SQL
+from basalt.runtime import written
 
 Q, O = {}, {}
 
@@ -51,8 +52,9 @@ O["graph_leg"] = f"WITH {GRAPH_SQL}, r AS (SELECT qid, doc, score, {RANK_SQL} AS
 
 
 def legs(spark, d):
+    """The legs' scores of all hits, written once, as fusion, gates and rows read them several times."""
     docs, asked, index = corpus(spark, d)
-    dense, bm25, graph = I.dense(index, asked), I.bm25(index, asked), I.graph_leg(docs, asked)
+    dense, bm25, graph = (written(leg, "leg") for leg in (I.dense(index, asked), I.bm25(index, asked), I.graph_leg(docs, asked)))
     return docs, asked, index, dense, bm25, graph, I.rrf({"dense": (dense, 1.0), "bm25": (bm25, 1.0), "graph": (graph, 0.5)})
 
 
@@ -82,7 +84,7 @@ entity AS (SELECT s.qid, s.doc, round(CAST(coalesce(emet.met / eall.total, 0.0)
 
 def candidates(spark, d):
     docs, asked, index, dense, bm25, graph, fused = legs(spark, d)
-    top = I.ranked(fused, 10)
+    top = written(I.ranked(fused, 10), "candidates")
     return docs, asked, index, dense, bm25, graph, top
 
 
@@ -105,7 +107,8 @@ def acceptance(spark, d):
     docs, asked, index, dense, bm25, graph, top = candidates(spark, d)
     rows = top.select("qid", "doc", "rank").join(R.lexical_support(top, docs, asked, index), ["qid", "doc"]).join(R.entity_coverage(top, asked, index), ["qid", "doc"])
     for name, leg in (("dense", dense), ("bm25", bm25), ("graph", graph)):
-        rows = rows.join(leg.withColumnRenamed("score", name), ["qid", "doc"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        near = leg.join(I.held(top.select("qid", "doc")), ["qid", "doc"], "left_semi")
+        rows = rows.join(near.withColumnRenamed("score", name), ["qid", "doc"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return R.gate(rows.withColumn("meta", F.lit(1.0))).select("qid", "doc", "accept_score", "accepted", "reason")
 
 
