@@ -130,17 +130,17 @@ def adaptive_k(text: Column) -> tuple[Column, Column]:
 
 
 def mmr(candidates: DataFrame, k: int, per_doc: int = 4, per_section: int = 2) -> DataFrame:
-    """Greedy maximal marginal relevance per query; candidates: (qid, doc, section, score, terms array<string>).
+    """Greedy maximal marginal relevance per query; candidates: (qid, doc, section, score, terms array<string>, weights array<double>).
 
-    A query's candidates are a bounded pool (40 at most), so each group fits a task.  Similarity is
-    the Jaccard of term sets; once MMR_LEAST are chosen, candidates too like a chosen one stop."""
+    A query's candidates are a bounded pool (40 at most), so each group fits a task.  Similarity is the cosine of the
+    TF-IDF weights (unit length); once MMR_LEAST are chosen, it ends where even the best candidate is nearly one of them."""
 
     ship(candidates.sparkSession)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["score", "doc"], ascending=[False, True]).reset_index(drop=True)
-        sets, top = [set(t) for t in rows["terms"]], max(rows["score"].max(), 1e-12)
-        like = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+        vectors, top = [dict(zip(t, w, strict=True)) for t, w in zip(rows["terms"], rows["weights"], strict=True)], rows["score"].max() or 1.0
+        like = lambda i, j: round(sum(w * vectors[j].get(t, 0.0) for t, w in vectors[i].items()), 9)
         chosen: list[int] = []
         while len(chosen) < k:
             best = None
@@ -148,12 +148,10 @@ def mmr(candidates: DataFrame, k: int, per_doc: int = 4, per_section: int = 2) -
                 if i in chosen or sum(rows["doc"][j] == rows["doc"][i] for j in chosen) >= per_doc or sum(rows["section"][j] == rows["section"][i] for j in chosen) >= per_section:
                     continue
                 near = max((like(i, j) for j in chosen), default=0.0)
-                if len(chosen) >= min(MMR_LEAST, k) and near > MMR_SATURATED:
-                    continue
-                value = MMR_LAMBDA * rows["score"][i] / top - (1 - MMR_LAMBDA) * near
-                if best is None or value > best[0] + 1e-12:
-                    best = (value, i)
-            if best is None:
+                value = round(MMR_LAMBDA * rows["score"][i] / top - (1 - MMR_LAMBDA) * near, 9)
+                if best is None or value > best[0]:
+                    best = (value, i, near)
+            if best is None or len(chosen) >= min(MMR_LEAST, k) and best[2] > MMR_SATURATED:
                 break
             chosen.append(best[1])
         out = rows.loc[chosen, ["qid", "doc", "section", "score"]].copy()
@@ -161,7 +159,93 @@ def mmr(candidates: DataFrame, k: int, per_doc: int = 4, per_section: int = 2) -
         return out
 
     schema = candidates.select("qid", "doc", "section", "score").schema.add("position", "long")
-    return candidates.groupBy("qid").applyInPandas(choose, schema)
+    return candidates.select("qid", "doc", "section", "score", "terms", "weights").groupBy("qid").applyInPandas(choose, schema)
+
+
+def vectors_of(index: I.TextIndex, docs: DataFrame) -> DataFrame:
+    """(doc, terms, weights): unit TF-IDF vectors of some documents (column doc), as arrays."""
+    some = index.postings.select("doc", "term", "tf").join(I.held(docs.select("doc").distinct()), "doc")
+    w = (1 + F.log("tf")) * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)
+    rows = some.join(index.terms, "term").join(index.norms(), "doc").crossJoin(F.broadcast(index.stats)).select("doc", F.struct("term", (w / F.col("norm")).alias("w")).alias("x"))  # one row of statistics
+    return rows.groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("doc", F.col("xs.term").alias("terms"), F.col("xs.w").alias("weights"))  # one document's terms
+
+
+def collapse(rows: DataFrame, support: str = "support", rerank: str = "rerank") -> DataFrame:
+    """Adds relevance and collapsed: the reranker's score, or where a query's best one is below COLLAPSE, lexical support in its place."""
+    best = F.max(rerank).over(Window.partitionBy("qid"))
+    gone = F.coalesce(best < COLLAPSE, F.lit(True))
+    return rows.withColumn("collapsed", gone).withColumn("relevance", F.when(gone, F.col(support)).otherwise(F.col(rerank)))
+
+
+def cover_aspects(selected: DataFrame, pool: DataFrame, aspects: DataFrame) -> DataFrame:
+    """(qid, doc, score) after repair: every aspect of a comparison that the pool covers should be covered by the selection.
+
+    For an aspect that no selected row covers, the pool's best row that does takes the place of the weakest selected row
+    whose own aspects others cover.  selected, pool: (qid, doc, score); aspects: (qid, doc, pos, total): which rows cover aspect number pos.
+    A query's pool is bounded, so each group fits a task."""
+    ship(selected.sparkSession)
+    marks = aspects.groupBy("qid", "doc").agg(F.collect_set("pos").alias("covers"))
+    total = aspects.groupBy("qid").agg(F.max("total").alias("total"))
+    rows = pool.join(selected.select("qid", "doc", F.lit(True).alias("chosen")), ["qid", "doc"], "left").join(marks, ["qid", "doc"], "left").join(total, "qid", "left")
+    rows = rows.select("qid", "doc", "score", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.coalesce("covers", F.array().cast("array<int>")).alias("covers"), F.coalesce("total", F.lit(0)).alias("total"))
+
+    def repair(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values(["score", "doc"], ascending=[False, True]).reset_index(drop=True)
+        covers = [set(c) for c in rows["covers"]]
+        chosen = [i for i in range(len(rows)) if rows["chosen"][i]]
+        for aspect in range(int(rows["total"].max())):
+            if not chosen or any(aspect in covers[i] for i in chosen):
+                continue
+            new = next((i for i in range(len(rows)) if i not in chosen and aspect in covers[i]), None)
+            spare = next((i for i in reversed(chosen) if covers[i] <= set().union(*(covers[j] for j in chosen if j != i))), None)
+            if new is not None and spare is not None:
+                chosen = sorted([*(i for i in chosen if i != spare), new])
+        return rows.loc[chosen, ["qid", "doc", "score"]]
+
+    return rows.groupBy("qid").applyInPandas(repair, selected.select("qid", "doc", "score").schema)
+
+
+def drop_contained(hits: DataFrame, most: float = 0.85) -> DataFrame:
+    """(qid, doc, rank) without near copies: in order of rank a row goes if its tokens, or those of a kept one, lie almost whole in the other.
+    hits: (qid, doc, rank, ts array of distinct tokens); a query's hits are a bounded list."""
+    each = F.struct("rank", "doc", "ts")
+    start = F.array().cast("array<struct<rank:bigint,doc:bigint,ts:array<string>>>")
+
+    def take(acc: Column, x: Column) -> Column:
+        both = lambda y: F.size(F.array_intersect(x["ts"], y["ts"]))
+        twin = F.exists(acc, lambda y: (both(y) > 0) & (both(y) / F.greatest(F.lit(1), F.least(F.size(x["ts"]), F.size(y["ts"]))) > most))
+        return F.when(twin, acc).otherwise(F.concat(acc, F.array(F.struct(x["rank"].cast("bigint").alias("rank"), x["doc"].cast("bigint").alias("doc"), x["ts"].alias("ts")))))
+
+    kept = hits.groupBy("qid").agg(F.array_sort(F.collect_list(each)).alias("hs")).select("qid", F.explode(F.aggregate("hs", start, take)).alias("h"))
+    return kept.select("qid", F.col("h.doc").alias("doc"), F.col("h.rank").alias("rank"))
+
+
+def accept(hits: DataFrame, k: int = 6, semantic: bool = False) -> DataFrame:
+    """Adds rank, used and reason: which hits become evidence.  hits: (qid, doc, score, lines, prose, present, n_terms, side, support, source, size).
+
+    Outlines go first (over three lines, hardly any prose).  The best of the rest anchors the answer; the others need 45 % of its score,
+    enough of the query's terms, a side of a comparison (side: null if there is none to name) and real support, or prose where all
+    hits are of one source; small single sources (size: their chunks) keep everything.  `k` rows are used at most."""
+    outline = (F.col("lines") > 3) & (F.col("prose") < 0.15)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
+    rows = hits.withColumn("outline", outline)
+    solid = rows.where(~F.col("outline")).withColumn("rank", F.row_number().over(order) - 1)
+    per = Window.partitionBy("qid")
+    top, one = F.max("score").over(per), F.min("source").over(per) == F.max("source").over(per)
+    need = F.lit(1) if semantic else F.least(F.lit(2), F.col("n_terms"))
+    bar = 0.12 if semantic else 0.35
+    fault = (
+        F.when((F.col("rank") == 0) | (F.col("one") & (F.col("size") <= 12)), F.lit(None).cast("string"))
+        .when(F.col("score") < 0.45 * F.col("top"), "below relevance bar").when(F.col("present") < need, "insufficient query-term support")
+        .when(F.coalesce(~F.col("side"), F.lit(False)), "mentions neither side of the comparison")
+        .when((F.col("support") < bar) & ~(F.col("one") & (F.col("prose") >= 0.20)), "weak content support")
+    )
+    solid = solid.withColumn("top", F.when(top == 0, 1.0).otherwise(top)).withColumn("one", one).withColumn("fault", fault)
+    run = F.sum(F.col("fault").isNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    solid = solid.withColumn("before", F.coalesce(run, F.lit(0)))
+    reason = F.when(F.col("before") >= k, "evidence budget reached").otherwise(F.col("fault"))
+    out = solid.select("qid", "doc", F.col("rank").cast("bigint").alias("rank"), (reason.isNull()).alias("used"), reason.alias("reason"))
+    return out.unionByName(rows.where("outline").select("qid", "doc", F.lit(None).cast("bigint").alias("rank"), F.lit(False).alias("used"), F.lit("outline").alias("reason")))
 
 
 def containment(pairs: DataFrame, left: str, right: str) -> DataFrame:

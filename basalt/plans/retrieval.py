@@ -167,11 +167,20 @@ SELECT item_id, k, CAST(least(40, greatest(16, 20 + CASE WHEN n > 6 THEN 6 ELSE
 
 def mmr(spark, d):
     docs, asked, index = corpus(spark, d)
-    top = I.ranked(I.bm25(index, asked), 20).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("section"), T.query_terms(F.col("text")).alias("terms")), "doc")
-    return R.mmr(top.select("qid", "doc", "section", "score", "terms"), 6)
+    top = I.ranked(I.bm25(index, asked), 20).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("section")), "doc")
+    return R.mmr(top.join(R.vectors_of(index, top), "doc"), 6)
 
 
-Q["mmr_select"] = mmr
+Q["mmr_select"] = lambda spark, d: longs(mmr(spark, d))
+# Six rounds, each taking the best of what is left; sims: cosines of all pairs of a query's pool.
+_round = lambda k: f"""v{k} AS (SELECT p.qid, p.doc, p.section, p.score, coalesce(max(s.sim), 0.0) AS near, round(0.72 * p.score / m.top - 0.28 * coalesce(max(s.sim), 0.0), 9) AS value FROM pool p JOIN mt m USING (qid) LEFT JOIN c{k} c ON c.qid = p.qid LEFT JOIN sims s ON s.qid = p.qid AND s.a = p.doc AND s.b = c.doc
+  WHERE NOT EXISTS (SELECT 1 FROM c{k} x WHERE x.qid = p.qid AND x.doc = p.doc) AND (SELECT count(*) FROM c{k} x WHERE x.qid = p.qid AND x.section = p.section) < 2 AND (SELECT count(*) FROM c{k} x WHERE x.qid = p.qid) = {k} GROUP BY p.qid, p.doc, p.section, p.score, m.top),
+b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY value DESC, score DESC, doc) AS i FROM v{k}) WHERE i = 1{' AND NOT near > 0.90' if k >= 3 else ''}),
+c{k + 1} AS MATERIALIZED (SELECT * FROM c{k} UNION ALL SELECT qid, doc, section, score, {k} AS position FROM b{k})"""
+O["mmr_select"] = f"""WITH {INDEX_SQL}, {DENSE_SQL}, pool AS MATERIALIZED (SELECT qid, doc, score, source AS section FROM (SELECT qid, doc, score, {RANK_SQL} AS rank FROM bm25) JOIN documents ON doc_id = doc WHERE rank < 20), mt AS (SELECT qid, max(score) AS top FROM pool GROUP BY qid),
+u AS MATERIALIZED (SELECT doc, term, dw.w / dn.norm AS w FROM dw JOIN dn USING (doc) WHERE doc IN (SELECT doc FROM pool)),
+sims AS MATERIALIZED (SELECT x.qid, x.doc AS a, y.doc AS b, round(sum(l.w * r.w), 9) AS sim FROM pool x JOIN pool y ON x.qid = y.qid AND x.doc <> y.doc JOIN u l ON l.doc = x.doc JOIN u r ON r.doc = y.doc AND r.term = l.term GROUP BY 1, 2, 3),
+c0 AS (SELECT qid, doc, section, score, 0 AS position FROM pool WHERE false), {', '.join(_round(k) for k in range(6))} SELECT qid, doc, section, score, CAST(position AS BIGINT) AS position FROM c6"""
 
 
 def containment(spark, d):
@@ -277,3 +286,101 @@ def embedding_topk(spark, d):
 Q["embedding_topk"] = embedding_topk
 O["embedding_topk"] = f"""WITH s AS (SELECT x.vec_id AS qid, y.vec_id AS doc, round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) AS score
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) x JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id), r AS (SELECT *, {RANK_SQL} AS rank FROM s) SELECT * FROM r WHERE rank < 5"""
+
+
+def aspect_words(asked):
+    """(qid, pos, word, total): the two rarest-looking sides of each question: its first and its last long word."""
+    words = F.filter(T.query_terms(F.col("text")), lambda w: F.length(w) >= 5)
+    rows = asked.select(F.col("item_id").alias("qid"), F.posexplode(F.array_distinct(F.array(F.array_min(words), F.array_max(words)))).alias("pos", "word"))
+    return rows.where("word is not null").withColumn("total", F.lit(2))
+
+
+def repaired(spark, d):
+    docs, asked, index = corpus(spark, d)
+    pool = written(I.ranked(I.bm25(index, asked), 20), "pool")
+    covers = index.postings.select("doc", "term").join(I.held(aspect_words(asked).withColumnRenamed("word", "term")), "term").join(I.held(pool.select("qid", "doc")), ["qid", "doc"]).select("qid", "doc", "pos", "total")
+    return R.cover_aspects(pool.where("rank < 4").select("qid", "doc", "score"), pool.select("qid", "doc", "score"), covers).select("qid", "doc")
+
+
+Q["aspect_repair"] = repaired
+
+
+def unique_hits(spark, d):
+    docs, asked, index = corpus(spark, d)
+    top = I.ranked(I.bm25(index, asked), 10).join(docs.select(F.col("doc_id").alias("doc"), F.array_distinct(T.tokens(F.col("text"))).alias("ts")), "doc")
+    return longs(R.drop_contained(top))
+
+
+Q["dedup_hits"] = unique_hits
+O["dedup_hits"] = f"""WITH RECURSIVE {INDEX_SQL}, h AS (SELECT qid, doc, rank, list_distinct({tokens_sql('text')}) AS ts FROM (SELECT qid, doc, {RANK_SQL} AS rank FROM bm25) JOIN documents ON doc_id = doc WHERE rank < 10),
+k(qid, rank, kept) AS (SELECT qid, CAST(-1 AS BIGINT), []::STRUCT(doc BIGINT, rank BIGINT, ts VARCHAR[])[] FROM h GROUP BY qid
+  UNION ALL SELECT k.qid, h.rank, CASE WHEN len(list_filter(kept, lambda y: len(list_intersect(y.ts, h.ts)) > 0 AND len(list_intersect(y.ts, h.ts)) / greatest(1, least(len(y.ts), len(h.ts))) > 0.85)) > 0 THEN kept ELSE list_append(kept, {{'doc': h.doc, 'rank': h.rank, 'ts': h.ts}}) END FROM k JOIN h ON h.qid = k.qid AND h.rank = k.rank + 1),
+z AS (SELECT qid, arg_max(kept, rank) AS kept FROM k GROUP BY qid), e AS (SELECT qid, unnest(kept) AS x FROM z) SELECT qid, x.doc AS doc, x.rank AS rank FROM e"""
+
+
+def evidence_gate(spark, d):
+    """Which of twenty hits become evidence; a source counts as the document."""
+    docs, asked, index = corpus(spark, d)
+    full = table(spark, d, "documents")
+    top = written(I.ranked(I.bm25(index, asked), 20), "hits")
+    terms = asked.select(F.col("item_id").alias("qid"), F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) >= 3).alias("terms"))
+    support = R.lexical_support(top, docs, asked, index)
+    size = full.groupBy("source").agg(F.count("*").alias("size"))
+    rows = top.join(full.select(F.col("doc_id").alias("doc"), "source", F.coalesce("text", F.lit("")).alias("text")), "doc").join(terms, "qid").join(support, ["qid", "doc"]).join(F.broadcast(size), "source")  # one row a source
+    low = F.lower("text")
+    rows = rows.select("qid", "doc", "score", "source", "size", "support", F.size(T.lines(F.col("text"))).alias("lines"), F.round(T.prose_factor(F.col("text")), 6).alias("prose"), F.size(F.filter("terms", lambda t: F.contains(low, t))).alias("present"), F.size("terms").alias("n_terms"), F.when(F.pmod("qid", F.lit(2)) == 0, F.contains(low, F.array_min("terms"))).alias("side"))
+    return R.accept(rows)
+
+
+Q["evidence_accept"] = evidence_gate
+_QT = f"list_filter({query_terms_sql('text')}, lambda t: length(t) >= 3)"
+O["evidence_accept"] = f"""WITH {INDEX_SQL}, {PROSE_SQL}, tt AS (SELECT item_id AS qid, {_QT} AS terms FROM benchmark),
+qterms AS (SELECT item_id AS qid, unnest({query_terms_sql('text')}) AS term FROM benchmark), qidf AS (SELECT qid, term, ln((n_docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM qterms LEFT JOIN terms USING (term) CROSS JOIN st), qtotal AS (SELECT qid, sum(idf) AS total FROM qidf GROUP BY qid),
+met AS (SELECT qid, doc, sum(idf) AS met FROM qidf JOIN postings USING (term) GROUP BY qid, doc), sz AS (SELECT source, count(*) AS size FROM documents GROUP BY source),
+h AS (SELECT r.qid, r.doc, score, source, size, lower(coalesce(text, '')) AS low, round(CAST(prose AS DOUBLE), 6) AS prose, len(ls) AS lines, tt.terms, round(CASE WHEN coalesce(total, 0.0) > 0 THEN least(1.0, 0.08 + 0.92 * (coalesce(met, 0.0) / total) * (0.30 + 0.70 * prose)) ELSE 0.5 END, 4) AS support
+  FROM (SELECT qid, doc, score, {RANK_SQL} AS rank FROM bm25) r JOIN documents ON documents.doc_id = r.doc JOIN prose ON prose.doc_id = r.doc JOIN ls ON ls.doc_id = r.doc JOIN sz USING (source) JOIN tt ON tt.qid = r.qid LEFT JOIN met ON met.qid = r.qid AND met.doc = r.doc LEFT JOIN qtotal ON qtotal.qid = r.qid WHERE rank < 20),
+s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) - 1 AS rank, max(score) OVER (PARTITION BY qid) AS top, min(source) OVER (PARTITION BY qid) = max(source) OVER (PARTITION BY qid) AS one FROM h WHERE NOT (lines > 3 AND prose < 0.15)),
+f AS (SELECT *, CASE WHEN rank = 0 OR (one AND size <= 12) THEN NULL WHEN score < 0.45 * CASE WHEN top = 0 THEN 1.0 ELSE top END THEN 'below relevance bar' WHEN len(list_filter(terms, lambda t: contains(low, t))) < least(2, len(terms)) THEN 'insufficient query-term support'
+  WHEN qid % 2 = 0 AND NOT contains(low, list_min(terms)) THEN 'mentions neither side of the comparison' WHEN support < 0.35 AND NOT (one AND prose >= 0.20) THEN 'weak content support' END AS fault FROM s),
+g AS (SELECT *, coalesce(sum(CASE WHEN fault IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY score DESC, doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f), z AS (SELECT qid, doc, rank, CASE WHEN before >= 6 THEN 'evidence budget reached' ELSE fault END AS reason FROM g)
+SELECT qid, doc, rank, reason IS NULL AS used, reason FROM z UNION ALL SELECT qid, doc, NULL, false, 'outline' FROM h WHERE lines > 3 AND prose < 0.15"""
+
+
+def result_rows(spark, d):
+    """The composed retrieval of a batch: legs, fusion, pool, support in the reranker's place, entities, gate, documents; one row with its diagnostics for each that stays."""
+    docs, asked, index, dense, bm25, graph, top = candidates(spark, d)
+    rows = top.select("qid", "doc", F.col("score").alias("rrf"), F.col("rank").alias("rrf_rank")).join(R.lexical_support(top, docs, asked, index), ["qid", "doc"]).join(R.entity_coverage(top, asked, index), ["qid", "doc"])
+    for name, leg in (("dense", dense), ("bm25", bm25), ("graph", graph)):
+        near = leg.join(I.held(top.select("qid", "doc")), ["qid", "doc"], "left_semi")
+        rows = rows.join(near.withColumnRenamed("score", name), ["qid", "doc"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    rows = R.collapse(rows.withColumn("rerank", F.lit(None).cast("double"))).withColumn("meta", 1 + F.least(F.lit(0.20), 0.10 * F.col("graph")))
+    rows = rows.withColumn("score", F.round(R.fuse(F.col("relevance"), F.col("entity"), F.col("meta")), 4))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
+    gated = R.gate(rows.withColumn("rank", F.row_number().over(order) - 1).withColumn("support", F.col("relevance"))).where("accepted")
+    kept = R.document_rerank(gated.join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc"), "source", 6)
+    method = F.concat_ws(" + ", F.when(F.col("dense") > 0, "Dense"), F.when(F.col("bm25") > 0, "BM25"), F.when(F.col("graph") > 0, "Graph"))
+    why = F.concat_ws("; ", F.when(F.col("dense") > 0.60, "High semantic similarity"), F.when(F.col("bm25") > 3, "Strong keyword overlap"), F.when(F.col("graph") > 0, "Matched graph neighborhood"))
+    return longs(kept.select("qid", "doc", "rank", "score", F.round("rrf", 4).alias("rrf"), F.round("dense", 4).alias("dense"), F.round("bm25", 4).alias("bm25"), "graph", "entity", F.round("meta", 2).alias("meta"), "accept_score", "doc_rank", F.when(method == "", "RRF").otherwise(method).alias("method"), F.when(why == "", "elected by rank fusion").otherwise(why).alias("why")))
+
+
+Q["retrieve"] = result_rows
+O["retrieve"] = f"""WITH {ALL_SQL}, {SUPPORT_SQL},
+x AS (SELECT s.qid, s.doc, s.score AS rrf, s.support, entity, coalesce(dense.score, 0.0) AS dense, coalesce(bm25.score, 0.0) AS bm25, coalesce(graph.score, 0.0) AS graph, 1 + least(0.20, 0.10 * coalesce(graph.score, 0.0)) AS meta FROM support s JOIN entity USING (qid, doc) LEFT JOIN dense USING (qid, doc) LEFT JOIN bm25 USING (qid, doc) LEFT JOIN graph USING (qid, doc)),
+f AS (SELECT *, round(CAST(0.60 * support + 0.20 * entity + 0.20 * least(1.0, (meta - 1) / 0.5) AS DOUBLE), 4) AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) - 1 AS rank, round(CAST(0.45 * support + 0.15 * dense + 0.15 * bm25 / (bm25 + 4.0) + 0.10 * least(1.0, graph / 3.0) + 0.05 * (meta - 1) / 0.5 + 0.10 * entity AS DOUBLE), 4) AS accept_score FROM f),
+g AS (SELECT r.*, source FROM r JOIN documents ON doc_id = doc WHERE rank = 0 OR accept_score >= 0.15), t AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, doc) AS i FROM g),
+ds AS (SELECT qid, source, round(sum(score), 6) AS s FROM t WHERE i <= 2 GROUP BY qid, source), dr AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY s DESC, source) AS doc_rank FROM ds),
+m AS (SELECT g.*, doc_rank, concat_ws(' + ', CASE WHEN dense > 0 THEN 'Dense' END, CASE WHEN bm25 > 0 THEN 'BM25' END, CASE WHEN graph > 0 THEN 'Graph' END) AS method, concat_ws('; ', CASE WHEN dense > 0.60 THEN 'High semantic similarity' END, CASE WHEN bm25 > 3 THEN 'Strong keyword overlap' END, CASE WHEN graph > 0 THEN 'Matched graph neighborhood' END) AS why FROM g JOIN dr USING (qid, source) WHERE doc_rank <= 3)
+SELECT qid, doc, rank, score, round(rrf, 4) AS rrf, round(dense, 4) AS dense, round(bm25, 4) AS bm25, graph, entity, round(CAST(meta AS DOUBLE), 2) AS meta, accept_score, doc_rank, CASE WHEN method = '' THEN 'RRF' ELSE method END AS method, CASE WHEN why = '' THEN 'elected by rank fusion' ELSE why END AS why FROM m"""
+
+
+def compared(spark, d):
+    """The plain baseline, six best by cosine alone, beside the composed retrieval: how many hits they share."""
+    docs, asked, index = corpus(spark, d)
+    plain = I.ranked(I.dense(index, asked), 6).select("qid", "doc")
+    full = result_rows(spark, d).select("qid", "doc", F.lit(1).alias("both"))
+    return plain.join(full, ["qid", "doc"], "left").groupBy("qid").agg(F.count("*").alias("plain"), F.count("both").alias("shared"))
+
+
+Q["baseline_compare"] = compared
+O["baseline_compare"] = f"WITH full_ AS ({O['retrieve']}), p AS (SELECT qid, doc FROM ({O['tfidf_topk']}) WHERE rank < 6) SELECT qid, count(*) AS plain, count(full_.doc) AS shared FROM p LEFT JOIN full_ USING (qid, doc) GROUP BY qid"
