@@ -11,6 +11,11 @@ from basalt.functions import text as T
 SUPPORTED, PARTLY, NUMERIC_CAP = 0.70, 0.45, 0.65
 COVERAGE = (0.65, 0.25, 0.10)
 FORMAT_LOSS, VALID = 0.15, 0.70
+TAILS = [r"##?\s*General Knowledge\s*\(Not from Retrieved Documents\)", r"##?\s*Sources"]
+DROPPED_SECTIONS = r"^##?\s*(Limitations|Suggested Follow-up Questions?)[ \t]*(\n|$)"
+SEMANTIC, LEXICAL, SYNTHESIS = 0.70, 0.30, (3, 0.40, 0.25, 0.10)
+REPAIR_LEAST = 0.60
+ENTAILED, CONTRADICTED, CONTRADICTION_CAP = 0.5, 0.9, 0.30
 # End of fixed values.
 
 
@@ -105,3 +110,80 @@ def budget(evidence: DataFrame, limit: int = 24_000, each: int = 1_800) -> DataF
     """Evidence in order as long as the running length of the clipped texts stays within the limit.  evidence: (qid, place, text)."""
     w = Window.partitionBy("qid").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     return evidence.withColumn("used", F.sum(F.least(F.length("text"), F.lit(each))).over(w)).where(F.col("used") <= limit)
+
+
+def grounded_text(answer: Column) -> Column:
+    """The part of an answer that is to be checked: without what follows general knowledge or sources, and without limitations and follow-up questions."""
+    t = F.coalesce(answer, F.lit(""))
+    for tail in TAILS:
+        t = F.regexp_replace(t, f"(?is){tail}.*$", "")
+    parts = F.split(F.regexp_replace(t, r"(?m)^(##?\s+\S)", "\u001f$1"), "\u001f")
+    return F.trim(F.array_join(F.filter(parts, lambda x: ~x.rlike(f"(?i){DROPPED_SECTIONS}")), ""))
+
+
+def scored_claims(claim_rows: DataFrame, evidence: DataFrame, semantic: DataFrame | None = None, entailment: DataFrame | None = None) -> DataFrame:
+    """(aid, pos, best, score, mode, status, missing): each claim's support by its answer's evidence.
+
+    A claim and a piece of evidence score .70 of their semantic similarity and .30 of the share of the claim's words that the evidence holds.
+    `semantic` (aid, pos, eid, value) is the slot of a model; without one the lexical share stands in its place.  Up to three related pieces together
+    count if they hold a tenth more of the words than the best one.  `entailment` (aid, pos, entail, contradict), the slot of an inference
+    model, can only lower a score.  Numbers that none of these pieces holds cap it.  claim_rows: (aid, pos, claim); evidence: (aid, eid, text)."""
+    most, least_sem, least_lex, gain = SYNTHESIS
+    c = claim_rows.select("aid", "pos", content_tokens(F.col("claim")).alias("ct"), F.array_distinct(F.regexp_extract_all("claim", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).alias("nums"))
+    e = evidence.select("aid", "eid", F.coalesce("text", F.lit("")).alias("text"), content_tokens(F.col("text")).alias("et"))
+    rows = c.join(e, "aid").withColumn("hit", F.array_intersect("ct", "et")).withColumn("lex", F.size("hit") / F.greatest(F.lit(1), F.size("ct")))
+    rows = rows.withColumn("sem", F.col("lex")) if semantic is None else rows.join(semantic.select("aid", "pos", "eid", F.col("value").alias("sem")), ["aid", "pos", "eid"], "left").withColumn("sem", F.coalesce("sem", F.lit(0.0)))
+    rows = rows.withColumn("s", F.round(SEMANTIC * F.col("sem") + LEXICAL * F.col("lex"), 6))
+    order = Window.partitionBy("aid", "pos").orderBy(F.desc("s"), "eid")
+    related = F.when((F.col("sem") >= least_sem) | (F.col("lex") >= least_lex), 1).otherwise(0)
+    rows = rows.withColumn("i", F.row_number().over(order)).withColumn("related", related)
+    rows = rows.withColumn("place", F.sum("related").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(f"i = 1 or (related = 1 and place <= {most})")
+    joint = rows.withColumn("in", (F.col("related") == 1) & (F.col("place") <= most))
+    first = F.when(F.col("i") == 1, F.struct("eid", "s", "sem", "lex", "text"))
+    out = joint.groupBy("aid", "pos").agg(  # four rows of a claim at most
+        F.first("ct").alias("ct"), F.first("nums").alias("nums"), F.max(first).alias("b"), F.count_if("in").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("in"), F.col("hit"))))).alias("together"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("in"), F.col("text")))), "\n").alias("blob"),
+    )
+    both = F.size("together") / F.greatest(F.lit(1), F.size("ct"))
+    multi = (F.col("n") > 1) & (F.round(both, 6) > F.round(F.col("b.lex") + gain, 6))
+    score = F.when(multi, F.greatest(F.col("b.s"), SEMANTIC * F.col("b.sem") + LEXICAL * both)).otherwise(F.col("b.s"))
+    out = out.withColumn("score", score).withColumn("mode", F.when(multi, "MULTI_EVIDENCE_SYNTHESIS").otherwise("SINGLE_EVIDENCE"))
+    if entailment is not None:
+        lex = F.when(multi, both).otherwise(F.col("b.lex"))
+        out = out.join(entailment, ["aid", "pos"], "left").withColumn("score", F.when(F.col("entail").isNull() | (F.col("score") < PARTLY), F.col("score")).otherwise(F.least("score", SEMANTIC * F.col("entail") + LEXICAL * lex, F.when((F.col("contradict") >= CONTRADICTED) & (F.col("entail") < ENTAILED), CONTRADICTION_CAP).otherwise(1.0))))
+    held = F.when(F.col("n") > 0, F.col("blob")).otherwise(F.col("b.text"))
+    out = out.withColumn("missing", F.array_sort(F.filter("nums", lambda x: ~F.contains(held, x))))
+    out = out.withColumn("score", F.round(F.when(F.size("missing") > 0, F.least("score", F.lit(NUMERIC_CAP))).otherwise(F.col("score")), 4))
+    return out.select("aid", "pos", F.col("b.eid").alias("best"), "score", "mode", status(F.col("score")).alias("status"), F.array_join("missing", ",").alias("missing"))
+
+
+def aligned(claim_rows: DataFrame, cited: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(aid, pos, alignment): every claim scored against the evidence that it cites alone.  cited: (aid, pos, eid)."""
+    own = cited.join(evidence, ["aid", "eid"]).select(F.concat_ws("/", "aid", "pos").alias("aid"), "eid", "text")
+    rows = claim_rows.select(F.concat_ws("/", "aid", "pos").alias("aid"), "pos", "claim")
+    scores = scored_claims(rows, own).select(F.col("aid").alias("key"), "score")
+    some = cited.select("aid", "pos").distinct().withColumn("cites", F.lit(True))
+    out = claim_rows.select("aid", "pos").withColumn("key", F.concat_ws("/", "aid", "pos")).join(scores, "key", "left").join(some, ["aid", "pos"], "left")
+    return out.select("aid", "pos", alignment(F.coalesce("score", F.lit(0.0)), F.coalesce("cites", F.lit(False))).alias("alignment"))
+
+
+def alignment_rollup(rows: DataFrame) -> DataFrame:
+    """(aid, aligned, weak, mismatched, citation_score): (aligned + .5 weak) / all that cite; 0 without a citation."""
+    n = lambda s: F.count_if(F.col("alignment") == s)
+    out = rows.groupBy("aid").agg(n("ALIGNED").alias("aligned"), n("WEAKLY_ALIGNED").alias("weak"), n("MISMATCHED").alias("mismatched"))
+    total = F.col("aligned") + F.col("weak") + F.col("mismatched")
+    return out.withColumn("citation_score", F.round(F.when(total > 0, (F.col("aligned") + 0.5 * F.col("weak")) / total).otherwise(0.0), 4))
+
+
+def repaired(claim_rows: DataFrame, scores: DataFrame, alignments: DataFrame) -> DataFrame:
+    """(aid, pos, claim): claims supported from REPAIR_LEAST on get their best evidence's number where they cite nothing or the wrong one; others stay."""
+    rows = claim_rows.select("aid", "pos", "claim").join(scores.select("aid", "pos", "best", "score"), ["aid", "pos"], "left").join(alignments, ["aid", "pos"], "left")
+    bare = F.trim(F.regexp_replace("claim", r"\s*\[[0-9]+\]", ""))
+    body, end = F.regexp_extract(bare, r"(?s)^(.*?)([.!?]*)$", 1), F.regexp_extract(bare, r"(?s)^(.*?)([.!?]*)$", 2)
+    fix = (F.col("score") >= REPAIR_LEAST) & F.col("alignment").isin("UNCITED", "MISMATCHED")
+    return rows.select("aid", "pos", F.when(fix, F.concat(body, F.lit(" ["), F.col("best"), F.lit("]"), end)).otherwise(F.col("claim")).alias("claim"))
+
+
+def better(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(aid, accepted): a rewritten answer counts only if its coverage is strictly higher.  Both: (aid, coverage)."""
+    return before.select("aid", F.col("coverage").alias("old")).join(after.select("aid", F.col("coverage").alias("new")), "aid", "left").select("aid", F.coalesce(F.col("new") > F.col("old"), F.lit(False)).alias("accepted"))

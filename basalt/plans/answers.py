@@ -180,6 +180,40 @@ SELECT *, CASE WHEN supported = n THEN 'SUPPORTED' WHEN supported + partly > 0 T
 CASE WHEN claim_score >= 0.8 THEN 'Strong' WHEN claim_score >= 0.6 THEN 'Moderate' WHEN claim_score >= 0.4 THEN 'Weak' ELSE 'Unsupported' END AS level FROM s"""
 
 
+SECTIONED = "## Direct Answer\n{}\n## Limitations\nNothing is known about it here.\n### More\nand more\n## Summary\nThat is the end of it.\n## Suggested Follow-up Questions\n- Why?\n## Sources\n[1] a"
+Q["grounded_text"] = lambda spark, d: conv(spark, d).select("conv_id", "turn", F.md5(V.grounded_text(F.replace(F.lit(SECTIONED), F.lit("{}"), F.coalesce("text", F.lit(""))))).alias("text_md5"))
+_tailless = "replace('" + SECTIONED.replace("\n", "' || chr(10) || '") + "', '{}', coalesce(text, ''))"
+for _tail in V.TAILS:
+    _tailless = f"regexp_replace({_tailless}, '(?is){_tail}.*$', '')"
+O["grounded_text"] = f"SELECT conv_id, turn, md5(trim(array_to_string(list_filter(string_split(regexp_replace({_tailless}, '(?m)^(##?\\s+\\S)', chr(31) || '\\1', 'g'), chr(31)), lambda x: NOT regexp_matches(x, '(?i){V.DROPPED_SECTIONS}')), ''))) AS text_md5 FROM conversations"
+
+Q["claim_scores"] = lambda spark, d: longs((lambda ans, ev: V.scored_claims(V.claims(ans, "aid", "text"), ev).groupBy("aid", "mode", "status").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("score")))(*answer_rows(spark, d)))
+SCORED_SQL = f"""{SUPPORT_SQL}, cx AS (SELECT ct.aid, claim, eid, text, ct, nums, list_intersect(ct, et) AS hit, len(list_intersect(ct, et)) / greatest(1, len(ct)) AS lex FROM ct JOIN ev USING (aid)),
+cy AS (SELECT *, round(0.70 * lex + 0.30 * lex, 6) AS s, row_number() OVER o AS i, CASE WHEN lex >= 0.25 THEN 1 ELSE 0 END AS rel, sum(CASE WHEN lex >= 0.25 THEN 1 ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING) AS place FROM cx WINDOW o AS (PARTITION BY aid, claim ORDER BY round(0.70 * lex + 0.30 * lex, 6) DESC, eid)),
+cz AS (SELECT aid, claim, any_value(ct) AS ct, any_value(nums) AS nums, max(eid) FILTER (i = 1) AS best, max(s) FILTER (i = 1) AS s, max(lex) FILTER (i = 1) AS lex, max(text) FILTER (i = 1) AS btext, count(*) FILTER (rel = 1 AND place <= 3) AS n, list_distinct(coalesce(flatten(list(hit) FILTER (rel = 1 AND place <= 3)), [])) AS together, coalesce(string_agg(text, chr(10) ORDER BY text) FILTER (rel = 1 AND place <= 3), '') AS blob FROM cy GROUP BY aid, claim),
+cw AS (SELECT *, n > 1 AND round(len(together) / greatest(1, len(ct)), 6) > round(lex + 0.10, 6) AS multi, len(together) / greatest(1, len(ct)) AS both_ FROM cz),
+sc AS (SELECT aid, claim, best, CASE WHEN multi THEN 'MULTI_EVIDENCE_SYNTHESIS' ELSE 'SINGLE_EVIDENCE' END AS mode, round(CAST(least(CASE WHEN multi THEN greatest(s, 0.70 * lex + 0.30 * both_) ELSE s END, CASE WHEN len(list_filter(nums, lambda x: NOT contains(CASE WHEN n > 0 THEN blob ELSE coalesce(btext, '') END, x))) > 0 THEN 0.65 ELSE 1.0 END) AS DOUBLE), 4) AS score FROM cw)"""
+O["claim_scores"] = f"WITH {SCORED_SQL} SELECT aid, mode, CASE WHEN score >= 0.70 THEN 'SUPPORTED' WHEN score >= 0.45 THEN 'PARTIALLY_SUPPORTED' ELSE 'INSUFFICIENT' END AS status, count(*) AS n, round(sum(score), 3) AS score FROM sc GROUP BY ALL"
+
+
+def checked(spark, d):
+    """Claims, scores and alignments of all answers; each claim cites the turn before its answer, or every third none."""
+    ans, ev = answer_rows(spark, d)
+    claims = V.claims(ans, "aid", "text")
+    cited = claims.where("pos % 3 <> 2").join(ans.select("aid", F.col("turn")), "aid").select("aid", "pos", (F.col("turn") - 1).alias("eid")).join(ev.select("aid", "eid"), ["aid", "eid"], "left_semi").select("aid", "pos", "eid")
+    return claims, V.scored_claims(claims, ev), V.aligned(claims, cited, ev)
+
+
+def validated(spark, d):
+    """Coverage of each answer from its claims, its citations and its form; valid or not; and whether a rewrite that adds the missing citations would count."""
+    claims, scores, al = checked(spark, d)
+    rows = V.rollup(scores).join(V.alignment_rollup(al), "aid").withColumn("coverage", F.round(V.coverage(F.col("claim_score"), F.col("citation_score"), F.col("mismatched")), 4))
+    fixed = rows.select("aid", F.round(V.coverage(F.col("claim_score"), F.lit(1.0), F.lit(0)), 4).alias("coverage"))
+    return rows.select("aid", "claim_score", "citation_score", "coverage", V.valid(F.col("coverage"), F.lit(0), F.col("mismatched")).alias("valid")).join(V.better(rows, fixed), "aid")
+
+
+Q["answer_validation"] = validated
+Q["citation_repair"] = lambda spark, d: (lambda claims, scores, al: V.repaired(claims, scores, al).groupBy("aid").agg(F.count("*").alias("claims"), F.count_if(F.col("claim").rlike(r"\[[0-9]+\][.!?]*$")).alias("cited")))(*checked(spark, d))
 Q["dangling_citations"] = lambda spark, d: V.dangling(V.citations(answer_rows(spark, d)[0].select("aid", F.concat(F.lit("see ["), F.col("turn") - 1, F.lit("] and ["), F.col("turn") + 5, F.lit("]")).alias("text")), "aid", "text"), answer_rows(spark, d)[1])
 O["dangling_citations"] = f"WITH {SUPPORT_SQL}, c AS (SELECT aid, turn - 1 AS eid FROM ans UNION SELECT aid, turn + 5 FROM ans) SELECT aid, eid FROM c WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.aid = c.aid AND ev.eid = c.eid)"
 
@@ -238,13 +272,35 @@ def conv(spark, d):
 Q["conv_list"] = lambda spark, d: longs(C.listing(conv(spark, d)).select("conv_id", "preview", "messages"))
 O["conv_list"] = "SELECT conv_id, left(coalesce(arg_max(text, turn) FILTER (role = 'user'), ''), 120) AS preview, count(*) AS messages FROM conversations GROUP BY conv_id"
 _BACK = "b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)"
-_MT = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{3,}}'), lambda w: w NOT IN ({words_sql(T.KEYWORD_STOP)})))"
+_MT = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_.-]{{1,}}'), lambda w: w NOT IN ({words_sql(C.STOP)})))"
 Q["relevant_turns"] = lambda spark, d: longs(C.relevant_turns(conv(spark, d), 2, 2, 2))
 O["relevant_turns"] = f"WITH {_BACK}, t AS (SELECT conv_id, turn, role, back, {_MT} AS ts FROM b), q AS (SELECT conv_id, arg_max(ts, turn) AS q FROM t WHERE role = 'user' GROUP BY conv_id), o AS (SELECT conv_id, turn, len(list_intersect(ts, q)) AS overlap FROM t JOIN q USING (conv_id) WHERE back > 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn) AS place FROM o WHERE overlap >= 2) WHERE place <= 2"
 Q["older_summary"] = lambda spark, d: C.older_summary(conv(spark, d), 2)
-O["older_summary"] = f"WITH {_BACK} SELECT conv_id, string_agg(left(text, 80), '; ' ORDER BY turn) AS summary FROM b WHERE back > 2 AND role = 'user' GROUP BY conv_id"
+_LINE = "array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), ' ')"
+_topic = lambda n: f"left({_LINE}, {n}) || CASE WHEN length({_LINE}) > {n} THEN '…' ELSE '' END"
+_numbered = lambda src, n: f"SELECT conv_id, count(*) AS n, string_agg(k || '. ' || t, chr(10) ORDER BY k) AS ls FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {_topic(n)} AS t FROM {src} WHERE role = 'user' AND trim(coalesce(text, '')) <> '') GROUP BY conv_id"
+OLDER_SQL = f"{_BACK}, ob AS (SELECT * FROM b WHERE back > 2), os AS ({_numbered('ob', 110)})"
+O["older_summary"] = f"WITH {OLDER_SQL} SELECT conv_id, '{C.SUMMARY_HEAD}' || chr(10) || ls AS summary FROM os"
 Q["transcript"] = lambda spark, d: C.transcript(conv(spark, d), 4, 100)
-O["transcript"] = f"WITH {_BACK} SELECT conv_id, string_agg(role || ': ' || left(text, 100), chr(10) ORDER BY turn) AS transcript FROM b WHERE back <= 4 GROUP BY conv_id"
+O["transcript"] = f"WITH {_BACK} SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || left({_LINE}, 100), chr(10) || chr(10) ORDER BY turn) AS transcript FROM b WHERE back <= 4 AND trim(coalesce(text, '')) <> '' GROUP BY conv_id"
+Q["curate"] = lambda spark, d: longs(C.curate(conv(spark, d), 2, 4).select("conv_id", "place", "role", F.md5("text").alias("text_md5")))
+Q["conversation_answer"] = lambda spark, d: C.conversation_answer(conv(spark, d), conv(spark, d).where("turn = 0").select("conv_id", F.element_at(F.array(F.lit("What was my first question"), F.lit("and the last one?"), F.lit("so far")), (F.pmod("conv_id", F.lit(3)) + 1).cast("int")).alias("query"))).select("conv_id", F.md5("answer").alias("answer_md5"))
+_last = lambda f: f"(SELECT {f}(text, turn) FROM conversations x WHERE x.conv_id = q.conv_id AND role = 'user' AND trim(coalesce(text, '')) <> '') AS text"
+O["conversation_answer"] = f"""WITH q AS (SELECT conv_id, conv_id % 3 AS k FROM conversations WHERE turn = 0), nb AS ({_numbered('conversations', 160)}), fi AS (SELECT conv_id, {_topic(200)} AS t FROM (SELECT conv_id, {_last('arg_min')} FROM q)), la AS (SELECT conv_id, {_topic(200)} AS t FROM (SELECT conv_id, {_last('arg_max')} FROM q))
+SELECT q.conv_id, md5(coalesce('## Conversation so far' || chr(10) || 'You have asked ' || n || ' question(s) in this chat:' || chr(10) || '- ' || replace(ls, chr(10), chr(10) || '- ') || CASE k WHEN 0 THEN chr(10) || chr(10) || 'Your first question was: “' || fi.t || '”' WHEN 1 THEN chr(10) || chr(10) || 'Your most recent question was: “' || la.t || '”' ELSE '' END, 'This conversation has no earlier questions yet — this is the first one.')) AS answer_md5 FROM q LEFT JOIN nb USING (conv_id) JOIN fi USING (conv_id) JOIN la USING (conv_id)"""
+ENDINGS = ["\n## Suggested Follow-up Questions\n- Why so?\n2) How does it go on from here\n* no\n\n- What then?\n- And after that?\n- Never reached?", "\nNothing suggested.", ""]
+
+
+def suggested(spark, d):
+    end = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod("turn", F.lit(3)) + 1).cast("int"))
+    rows = conv(spark, d).where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("aid"), F.concat(F.coalesce("text", F.lit("")), end).alias("text"), F.when(F.pmod("conv_id", F.lit(2)) == 0, F.concat(F.lit("P-"), "conv_id")).alias("subject"))
+    return longs(C.followups(rows))
+
+
+Q["followups"] = suggested
+O["followups"] = """WITH a AS (SELECT conv_id * 1000 + turn AS aid, turn % 3 AS k, CASE WHEN conv_id % 2 = 0 THEN 'P-' || conv_id END AS s FROM conversations WHERE role = 'assistant')
+SELECT aid, CAST(p AS BIGINT) AS pos, q AS question FROM (SELECT aid, unnest([0, 1, 2, 3]) AS p, unnest(['Why so?', 'How does it go on from here', 'What then?', 'And after that?']) AS q FROM a WHERE k = 0
+UNION ALL SELECT aid, unnest([0, 1, 2]), unnest(['What causes issues with ' || s || '?', 'Show the maintenance history for ' || s || '.', 'Which documents reference ' || s || '?']) FROM a WHERE k <> 0 AND s IS NOT NULL)"""
 Q["conv_search"] = lambda spark, d: C.search(conv(spark, d), "The tion", 20).unionByName(C.search(conv(spark, d), "in the", 20)).groupBy("conv_id").agg(F.sum("hits").alias("hits"))
 O["conv_search"] = f"WITH {_BACK} SELECT conv_id, CAST(sum(CAST(contains(lower(text), 'the tion') AS INT) + CAST(contains(lower(text), 'in the') AS INT)) AS BIGINT) AS hits FROM b WHERE back <= 20 GROUP BY conv_id HAVING hits > 0"
 Q["gap_priority"] = lambda spark, d: longs(C.gaps(questions(spark, d).select(F.col("text").alias("query"), (F.pmod("qid", F.lit(10)) / 10).alias("confidence"), F.col("qid").alias("at"))))

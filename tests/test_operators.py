@@ -68,8 +68,9 @@ def test_graph(spark):
 
 
 def test_mmr_keeps_variety(spark):
-    rows = [(1, 1, "s", 1.0, ["a", "b"]), (1, 2, "t", 0.99, ["a", "b"]), (1, 3, "u", 0.7, ["x", "y"]), (1, 4, "v", 0.5, ["p"])]
-    got = R.mmr(spark.createDataFrame(rows, "qid long, doc long, section string, score double, terms array<string>"), 3).orderBy("position").collect()
+    half = 0.5**0.5
+    rows = [(1, 1, "s", 1.0, ["a", "b"], [half, half]), (1, 2, "t", 0.99, ["a", "b"], [half, half]), (1, 3, "u", 0.7, ["x", "y"], [half, half]), (1, 4, "v", 0.5, ["p"], [1.0])]
+    got = R.mmr(spark.createDataFrame(rows, "qid long, doc long, section string, score double, terms array<string>, weights array<double>"), 3).orderBy("position").collect()
     assert [r["doc"] for r in got] == [1, 3, 2]
 
 
