@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from basalt.llm import shared
-from basalt.llm.subword import list_array
 from basalt.llm.subword import spread as ranges
 
 MAX_EXAMPLES = 3_000
@@ -220,29 +219,37 @@ def build_index(ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, counts:
     return Index(vocabulary, weights, ids[order], labels[order], weight, place, dense, block_max, at, d[by], x[by].astype(np.float32), share)
 
 
-def vectors(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, terms, counts): the known words of every whole text."""
+def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, np.ndarray]:
+    """How many documents there are, and in how many each word of the vocabulary stands: counted where the texts lie, added up by Spark."""
     spark = docs.sparkSession
-    shared.tune(spark)
     sent = spark.sparkContext.broadcast(vocabulary)  # the words of at most 4 * MAX_EXAMPLES texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Vectors(sent.value)
+        made, df, n = Vectors(sent.value), np.zeros(len(sent.value), np.int64), 0
         for b in batches:
-            terms, counts, lens = made.of(shared.strings(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), list_array(terms, lens), list_array(counts, lens)], ["id", "terms", "counts"])
+            terms, _, lens = made.of(shared.strings(b.column(0)))
+            df += np.bincount(terms, minlength=len(df))
+            n += len(lens)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], some))), pa.array(np.concatenate(([n], df[some])))], ["term", "n"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, terms array<int>, counts array<int>")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    got = rows.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row for each known word
+    counts = np.zeros(len(vocabulary) + 1, np.int64)
+    counts[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return int(counts[-1]), counts[:-1]
 
 
 @dataclass
 class Model:
     index: Index
-    vectors: DataFrame
+    docs: DataFrame
+    id_col: str
+    text_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_EXAMPLES) -> Model:
-    """Learn from the labelled rows among docs; the model keeps the known words of all docs."""
+    """Learn from the labelled rows among docs; words are counted over all of them."""
     shared.tune(docs.sparkSession)
     ids, stands = sample(labels, id_col, label_col, most)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -259,12 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vocabulary, terms = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     lens = np.diff(words.offsets.to_numpy()).astype(np.int64)
     counts = got.column("counts").combine_chunks().flatten().to_numpy() if got.num_rows else np.empty(0, np.int64)
-    found = shared.cut(vectors(docs, vocabulary, id_col, text_col), "toxic-vectors")
-    df = np.zeros(len(vocabulary), np.int64)
-    in_docs = found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()  # one row for each known word
-    df[in_docs.column("t").to_numpy()] = in_docs.column("n").to_numpy()
+    n_docs, df = document_frequencies(docs, vocabulary, text_col)
     shared.drop_cut(ids)
-    return Model(build_index(got.column("id").to_numpy(), got.column("label").to_numpy().astype(np.int64), terms, counts, lens, vocabulary, df, found.count(), stands), found)
+    return Model(build_index(got.column("id").to_numpy(), got.column("label").to_numpy().astype(np.int64), terms, counts, lens, vocabulary, df, n_docs, stands), docs, id_col, text_col)
 
 
 def score(model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -272,22 +276,18 @@ def score(model: Model, id_col: str = "doc_id") -> DataFrame:
 
     A null or empty text, or one without any word of the examples, gets the share of label 1 and no evidence.
     Repeated rows give repeated rows, null ids stay null and are never learned from.  Where nothing could be learned every score is 0."""
-    spark = model.vectors.sparkSession
+    spark = model.docs.sparkSession
     shared.tune(spark)
     sent = spark.sparkContext.broadcast(model.index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index, made = sent.value, Vectors(sent.value.vocabulary)
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for b in batches:
-            terms, counts = b.column(1), b.column(2)
-            lens = np.diff(terms.offsets.to_numpy()).astype(np.int64)
-            scores, evidence = index.score(terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.int64), lens)
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+            scores, evidence = index.score(*made.of(shared.strings(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(evidence, kind)], ["id", "score", "predicted", "evidence"])
 
-    rows = model.vectors.select("id", "terms", "counts")
-    # The vectors are small in bytes and costly in work.
-    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = model.docs.select(F.col(model.id_col).cast("bigint").alias("id"), F.col(model.text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id bigint, score double, predicted int, evidence array<struct<id: bigint, cosine: double, label: int>>").withColumnRenamed("id", id_col)
 
 
