@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
-from basalt.runtime import ship
+from basalt.runtime import ship, written
 
 # Ordered rules of the specification.
 CLASS_RULES = [
@@ -196,14 +196,16 @@ def ambiguous(queries: DataFrame, concepts: DataFrame, most_tokens: int = 3, lea
     return rows.withColumn("i", F.row_number().over(order)).groupBy("qid", "token").agg(F.count("*").alias("n"), shown.alias("options")).where(F.col("n") >= least).select("qid", "token", "options")
 
 
-def deletions(word: Column) -> Column:
-    """The word and its forms with one letter taken out, two where it is long."""
+def deletions(word: Column, depth: int = 2) -> Column:
+    """The word and its forms with one letter taken out, and with two where it is long and depth is 2."""
 
     def less(w: Column) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
         return F.when(F.length(w) > 0, made).otherwise(F.array().cast("array<string>"))
 
     one = less(word)
+    if depth == 1:
+        return F.array_distinct(F.concat(F.array(word), one))
     two = F.when(F.length(word) >= SPELL["long"], F.flatten(F.transform(one, less))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.array(word), one, two))
 
@@ -222,12 +224,15 @@ def osa(a: str, b: str) -> int:
     return last[-1]
 
 
-def spell_candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def spell_candidates(words: DataFrame, vocabulary: DataFrame, depth: int = 2) -> DataFrame:
     """(word, term, freq) that share a deletion form: an equi-join, no pairs of all words.
     words: (word); vocabulary: (term, freq)."""
-    known = vocabulary.select("term", "freq", F.explode(deletions(F.col("term"))).alias("form"))
-    asked = words.select("word").distinct().select("word", F.explode(deletions(F.col("word"))).alias("form"))
-    return asked.join(known, "form").select("word", "term", "freq").distinct()
+    return _sharing(words, vocabulary, depth).select("word", "term", "freq").distinct()
+
+
+def _sharing(words: DataFrame, vocabulary: DataFrame, depth: int) -> DataFrame:
+    known = vocabulary.select("term", "freq", F.explode(deletions(F.col("term"), depth)).alias("form"))
+    return words.select("word").distinct().select("word", F.explode(deletions(F.col("word"), depth)).alias("form")).join(known, "form")
 
 
 def corrections(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -238,14 +243,27 @@ def corrections(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ship(vocabulary.sparkSession)
     total = vocabulary.agg(F.max("freq").alias("top"))
     lone = words.select("word").distinct().join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti").where(F.length("word") >= SPELL["shortest"])
-    most = F.when(F.length("word") >= SPELL["long"], 2).otherwise(1)
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    same = letters(F.col("word")) == letters(F.col("term"))
+    swap = lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.lit(1)), F.substring("word", i, F.lit(1)), F.substring("word", i + 2, F.length("word")))
+    swapped = (F.length("word") == F.length("term")) & same & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 1)), lambda i: swap(i) == F.col("term"))
+
+    def measured(rows: DataFrame, most: int) -> DataFrame:
+        return rows.withColumn("edits", F.levenshtein("word", "term", most)).where("edits > 0")
+
+    # One edit first: whatever lies nearer wins, so words that have such a spelling need no others.
+    one = measured(_sharing(lone, vocabulary, 1), 2).where((F.col("edits") == 1) | swapped).select("word", "term", "freq", F.lit(1).alias("distance")).distinct()
+    one = written(one, "spell-near")
+    rest = lone.where(F.length("word") >= SPELL["long"]).join(one.select("word").distinct(), "word", "left_anti")
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([osa(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    # A swap is two plain edits at most, so few pairs ever leave the engine.
-    rows = spell_candidates(lone, vocabulary).where(F.levenshtein("word", "term") <= 2 * most).withColumn("distance", distance("word", "term")).where((F.col("distance") <= most) & (F.col("distance") > 0))
+    # Two edits; beyond two plain ones only with swaps, whose letters are nearly the same: few pairs ever leave the engine.
+    far = measured(_sharing(rest, vocabulary, 2), 4).where((F.col("edits") <= 2) | (F.levenshtein(letters(F.col("word")), letters(F.col("term"))) <= 2)).select("word", "term", "freq", "edits").distinct()
+    two = far.where("edits <= 2").select("word", "term", "freq", F.lit(2).alias("distance")).unionByName(far.where("edits > 2").withColumn("distance", distance("word", "term")).where("distance = 2").select("word", "term", "freq", "distance"))
+    rows = one.unionByName(two)
     adjusted = F.col("distance") + F.when(F.substring("word", 1, 1) == F.substring("term", 1, 1), 0.0).otherwise(SPELL["other_first_letter"])
     order = Window.partitionBy("word").orderBy(adjusted, F.desc("freq"), "term")
     best = rows.withColumn("i", F.row_number().over(order)).where("i = 1").crossJoin(F.broadcast(total))  # one row
