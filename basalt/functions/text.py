@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -21,7 +22,9 @@ QUERY_STOP = "what is are the a an of in on for to and or do does how i we me my
 
 
 def ascii_boundaries(pattern: str) -> str:
-    """Word boundaries that mean ASCII letters, digits and underscore, as on any engine."""
+    """Word boundaries that mean ASCII letters, digits and underscore, as on any engine; beside a letter one look suffices."""
+    pattern = re.sub(r"\\b(?=[A-Za-z0-9])", "(?<![A-Za-z0-9_])", pattern)
+    pattern = re.sub(r"(?<!\\)([A-Za-z0-9])\\b", r"\1(?![A-Za-z0-9_])", pattern)
     return pattern.replace(r"\b", r"(?:^|$|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
