@@ -95,7 +95,8 @@ class MergeTable:
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that a pair makes, or -1."""
         made = np.full(len(left), -1, np.int32)
-        may = np.flatnonzero((left >= 0) & (right >= 0) & self.may_left[left] & self.may_right[right])
+        # Characters outside the vocabulary are negative and no index: they make no pair.
+        may = np.flatnonzero((left >= 0) & (right >= 0) & self.may_left[np.maximum(left, 0)] & self.may_right[np.maximum(right, 0)])
         key = left[may].astype(np.int64) * self.size + right[may]
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
@@ -373,7 +374,7 @@ def list_array(flat: np.ndarray, lens: np.ndarray, kind: pa.DataType = pa.int32(
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for each row of docs; a null or empty text has no ids.
 
-    Repeated rows give repeated rows, any other column is ignored, an empty table gives none.
+    Characters outside the vocabulary, of any plane, become the ids of their UTF-8 bytes.  Repeated rows give repeated rows, any other column is ignored, an empty table gives none.
     model: path of a SentencePiece BPE model, readable on every executor."""
     shared.tune(docs.sparkSession)
 

@@ -78,6 +78,31 @@ def test_a_megabyte_without_a_space_takes_linear_time():
         assert time.time() - began < 20 and ids.tolist() == LIB.encode(text)
 
 
+def test_characters_of_every_plane():
+    """100,000 code points, known to the vocabulary or not: alone, in short and in long segments, beside pieces that merge."""
+    rnd, enc = random.Random(8), subword.Encoder(MODEL)
+    points = [rnd.choice([rnd.randrange(0x20, 0xD800), rnd.randrange(0xE000, 0x110000), rnd.randrange(0x7D01, 0xA000), rnd.randrange(0x10000, 0x20000)]) for _ in range(100_000)]
+    chars, texts = [chr(p) for p in points] + ["\ufb03", "\U0001d400", "\U0001f300", "\u7d01", "\uffff", "\U0010ffff"], []
+    at = 0
+    while at < len(chars):
+        n = rnd.choice([1, 2, 5, 30, 400, 900])
+        part = chars[at : at + n]
+        at += n
+        texts.append("".join(c + rnd.choice(["", "", "ing", "the ", "a", " "]) for c in part) if rnd.random() < 0.5 else "".join(part))
+    ids, lens = enc.encode(texts)
+    back = subword.decode_ids(enc.table, ids, lens)
+    for t, n, at, b in zip(texts, lens, np.cumsum(lens) - lens, back, strict=True):
+        assert ids[at : at + n].tolist() == LIB.encode(t)
+        assert b == LIB.decode(LIB.encode(t))
+
+
+def test_query_keeps_rows_with_unknown_characters(spark, tmp_path):
+    rows = [(1, "\u7d01\ud7a3 plain words"), (2, "x\U0001f300" * 300), (3, "\ue000\U0010ffff"), (4, "\ufb03 \U0001d400")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_tokens"] for r in subword.query(spark, str(tmp_path)).collect()}
+    assert got == {i: len(LIB.encode(t)) for i, t in rows}
+
+
 def test_query_digests(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in subword.query(spark, str(tmp_path)).collect())
