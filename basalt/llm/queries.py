@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import language, lmscore, maintext, media, neardup, packing, subword, toxicity, vectors, warc
+from basalt.llm import filters, language, lmscore, maintext, media, neardup, packing, subword, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": lmscore.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_vectors": vectors.query,
     "op6_toxicity": toxicity.query,
     "op7_sentencepiece": subword.query,
+    "op11_filters": filters.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": neardup.ORACLE,
     "op3_warc": warc.ORACLE,
     "op5_vectors": vectors.ORACLE,
+    "op11_filters": filters.ORACLE,
 }
