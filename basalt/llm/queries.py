@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import filters, language, lmscore, maintext, media, neardup, packing, subword, toxicity, vectors, warc
+from basalt.llm import codes, filters, language, lmscore, maintext, media, neardup, packing, repeats, subword, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": lmscore.query,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.query,
     "op7_sentencepiece": subword.query,
     "op11_filters": filters.query,
+    "op12_repeats": repeats.query,
+    "op13_codes": codes.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op5_vectors": vectors.ORACLE,
     "op11_filters": filters.ORACLE,
+    "op13_codes": codes.ORACLE,
 }

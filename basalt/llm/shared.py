@@ -28,7 +28,7 @@ def new_dir(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", 0)  # one file for each task
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
