@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.operators import answering as S
+from basalt.operators.concepts import mentions
 from basalt.operators.understand import _boundaries
 from basalt.runtime import ship
 
@@ -36,6 +37,7 @@ HINT_SECTIONS = {
     "limitations": ["Discussion", "Limitations", "Future Work"], "implementation": ["Implementation", "Algorithm", "Code"], "citation": ["References", "Bibliography"],
 }
 PLAN_STOP = "the a an of to for is are was were in on at and or what how why explain describe tell me about please need do does did which".split()
+ENTITY_TAG = r"\b[A-Z]{1,4}-\d+\b"
 PRONOUNS = ["it", "its", "they", "them", "these", "this", "those"]
 OPENERS = ["how", "why", "who", "when", "where", "compare", "difference", "advantages", "limitations", "examples", "implementation"]
 MOST_FOLLOWUP_WORDS = 14
@@ -128,24 +130,22 @@ def plan_tokens(text: Column) -> Column:
 
 
 def gazetteer(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(qid, entities): of the names (column name) in each query (qid, text) the longest first, none over another, each at its first place.
-
-    Names meet queries by their first word, so no pairs of all are made; a name with no letter or digit at its ends is left out."""
-    word = lambda c: F.regexp_extract(F.lower(c), r"^([a-z0-9]+)", 1)
-    known = names.select("name").distinct().withColumn("first", word(F.col("name"))).where("first <> ''")
-    asked = queries.select("qid", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))).alias("first"))
-    low, needle = F.concat(F.lit(" "), F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", " ")), F.lit(" ")), F.lower(F.regexp_replace("name", "[^A-Za-z0-9]", " "))
-    at = F.instr(low, F.concat(F.lit(" "), needle, F.lit(" ")))
-    met = asked.join(known, "first").withColumn("at", at).where("at > 0 and instr(lower(text), lower(name)) > 0")
-    found = met.groupBy("qid").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("long"), "name", "at"))).alias("found"))  # names in one query
-    start = F.array().cast("array<struct<name:string,lo:int,hi:int>>")
+    """(qid, entities): of the names (column name) in each query (qid, text) the longest first, none over another, each at its first place; then the query's tags.
+
+    All names are looked up in one pass; a name that begins with a sign is left out."""
+    found = mentions(queries.select("qid", "text"), names, letters=r"\p{L}\p{N}", open_end=True)
+    first = found.groupBy("qid", "name").agg(F.min(F.struct("at", "span")).alias("x")).select("qid", F.struct((-F.length("name")).alias("long"), "name", F.col("x.at").alias("lo"), (F.col("x.at") + F.col("x.span")).alias("hi")).alias("x"))
+    lists = first.groupBy("qid").agg(F.array_sort(F.collect_set("x")).alias("found"))  # names in one query
+    start = F.array().cast("array<struct<name:string,lo:bigint,hi:bigint>>")
 
     def take(acc, x):
-        lo, hi = x["at"].cast("int"), (x["at"] + F.length(x["name"])).cast("int")
-        clash = F.exists(acc, lambda y: (y["lo"] < hi) & (lo < y["hi"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(x["name"].alias("name"), lo.alias("lo"), hi.alias("hi")))))
+        clash = F.exists(acc, lambda y: (y["lo"] < x["hi"]) & (x["lo"] < y["hi"]))
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(x["name"].alias("name"), x["lo"].alias("lo"), x["hi"].alias("hi")))))
 
-    return found.select("qid", F.transform(F.aggregate("found", start, take), lambda x: x["name"]).alias("entities"))
+    named = lists.select("qid", F.transform(F.aggregate("found", start, take), lambda x: x["name"]).alias("names"))
+    tags = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ENTITY_TAG), F.lit(0))
+    rows = queries.select("qid", tags.alias("tags")).join(named, "qid", "left")
+    return rows.select("qid", F.array_distinct(F.concat(F.coalesce("names", F.array().cast("array<string>")), "tags")).alias("entities")).where(F.size("entities") > 0)
 
 
 def sides(text: Column, names: Column) -> Column:

@@ -187,13 +187,13 @@ for _tail in V.TAILS:
     _tailless = f"regexp_replace({_tailless}, '(?is){_tail}.*$', '')"
 O["grounded_text"] = f"SELECT conv_id, turn, md5(trim(array_to_string(list_filter(string_split(regexp_replace({_tailless}, '(?m)^(##?\\s+\\S)', chr(31) || '\\1', 'g'), chr(31)), lambda x: NOT regexp_matches(x, '(?i){V.DROPPED_SECTIONS}')), ''))) AS text_md5 FROM conversations"
 
-Q["claim_scores"] = lambda spark, d: longs((lambda ans, ev: V.scored_claims(V.claims(ans, "aid", "text"), ev).groupBy("aid", "mode", "status").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("score")))(*answer_rows(spark, d)))
+Q["claim_scores"] = lambda spark, d: longs((lambda ans, ev: V.scored_claims(V.claims(ans, "aid", "text"), ev).groupBy("aid", "mode", "status").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score")))(*answer_rows(spark, d)))
 SCORED_SQL = f"""{SUPPORT_SQL}, cx AS (SELECT ct.aid, claim, eid, text, ct, nums, list_intersect(ct, et) AS hit, len(list_intersect(ct, et)) / greatest(1, len(ct)) AS lex FROM ct JOIN ev USING (aid)),
 cy AS (SELECT *, round(0.70 * lex + 0.30 * lex, 6) AS s, row_number() OVER o AS i, CASE WHEN lex >= 0.25 THEN 1 ELSE 0 END AS rel, sum(CASE WHEN lex >= 0.25 THEN 1 ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING) AS place FROM cx WINDOW o AS (PARTITION BY aid, claim ORDER BY round(0.70 * lex + 0.30 * lex, 6) DESC, eid)),
 cz AS (SELECT aid, claim, any_value(ct) AS ct, any_value(nums) AS nums, max(eid) FILTER (i = 1) AS best, max(s) FILTER (i = 1) AS s, max(lex) FILTER (i = 1) AS lex, max(text) FILTER (i = 1) AS btext, count(*) FILTER (rel = 1 AND place <= 3) AS n, list_distinct(coalesce(flatten(list(hit) FILTER (rel = 1 AND place <= 3)), [])) AS together, coalesce(string_agg(text, chr(10) ORDER BY text) FILTER (rel = 1 AND place <= 3), '') AS blob FROM cy GROUP BY aid, claim),
 cw AS (SELECT *, n > 1 AND round(len(together) / greatest(1, len(ct)), 6) > round(lex + 0.10, 6) AS multi, len(together) / greatest(1, len(ct)) AS both_ FROM cz),
 sc AS (SELECT aid, claim, best, CASE WHEN multi THEN 'MULTI_EVIDENCE_SYNTHESIS' ELSE 'SINGLE_EVIDENCE' END AS mode, round(CAST(least(CASE WHEN multi THEN greatest(s, 0.70 * lex + 0.30 * both_) ELSE s END, CASE WHEN len(list_filter(nums, lambda x: NOT contains(CASE WHEN n > 0 THEN blob ELSE coalesce(btext, '') END, x))) > 0 THEN 0.65 ELSE 1.0 END) AS DOUBLE), 4) AS score FROM cw)"""
-O["claim_scores"] = f"WITH {SCORED_SQL} SELECT aid, mode, CASE WHEN score >= 0.70 THEN 'SUPPORTED' WHEN score >= 0.45 THEN 'PARTIALLY_SUPPORTED' ELSE 'INSUFFICIENT' END AS status, count(*) AS n, round(sum(score), 3) AS score FROM sc GROUP BY ALL"
+O["claim_scores"] = f"WITH {SCORED_SQL} SELECT aid, mode, CASE WHEN score >= 0.70 THEN 'SUPPORTED' WHEN score >= 0.45 THEN 'PARTIALLY_SUPPORTED' ELSE 'INSUFFICIENT' END AS status, count(*) AS n, round(sum(score), 4) AS score FROM sc GROUP BY ALL"
 
 
 def checked(spark, d):
@@ -224,17 +224,17 @@ SELECT *, CASE WHEN substantive >= 2 THEN 'STRONG' WHEN substantive = 1 THEN 'PA
 
 
 def relevant(spark, d):
-    """A document is relevant to a benchmark passage if it holds the passage's first sixty characters.
+    """A document is relevant to a benchmark passage if it holds the whole passage.
 
-    Both meet by the longest word inside the passage's beginning (its neighbours are in the passage
-    too, so it is a whole word of the document), then the characters are compared."""
+    Both meet by the longest word inside the passage (its neighbours are in the passage too, so it is a whole word of the
+    document); then the texts are compared.  Passages are a query set; texts stay where they are as long as the pairs that meet are few."""
     words = lambda c: F.split(c, r"[ \t\n]+")
     inner = F.slice(words(F.col("needle")), F.lit(2), F.greatest(F.lit(0), F.size(words(F.col("needle"))) - 2))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("needle")).withColumn("word", longest).where("word is not null")
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle")).withColumn("word", longest).where("word is not null")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    met = docs.select("doc", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(b.select("qid", "needle", "word"), "word").select("doc", "qid", "needle")
-    return met.join(docs, "doc").where(F.contains(F.col("text"), F.col("needle"))).select("qid", "doc")
+    met = docs.select("doc", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(I.held(b.select("qid", "needle", "word")), "word").select("doc", "qid", "needle")
+    return docs.join(I.held(met), "doc").where(F.contains(F.col("text"), F.col("needle"))).select("qid", "doc")
 
 
 def metrics(spark, d, k=6):
@@ -242,7 +242,7 @@ def metrics(spark, d, k=6):
     return E.retrieval_metrics(I.ranked(I.bm25(index, table(spark, d, "benchmark")), k), relevant(spark, d), k)
 
 
-METRIC_SQL = f"""{INDEX_SQL}, rel AS (SELECT DISTINCT item_id AS qid, doc_id AS doc FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))),
+METRIC_SQL = f"""{INDEX_SQL}, rel AS (SELECT DISTINCT item_id AS qid, doc_id AS doc FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 rk AS (SELECT * FROM (SELECT qid, doc, {RANK_SQL} AS rank FROM bm25) WHERE rank < 6), j AS (SELECT rk.*, CASE WHEN rel.doc IS NULL THEN 0 ELSE 1 END AS rel FROM rk LEFT JOIN rel USING (qid, doc)),
 i AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) - 1 AS ideal FROM j), nr AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
 g AS (SELECT qid, sum(rel) AS found, min(rank) FILTER (rel = 1) AS first, max(rel) FILTER (rank = 0) AS top, sum(rel / log2(rank + 2)) AS dcg, sum(rel / log2(ideal + 2)) AS idcg FROM i GROUP BY qid),

@@ -240,9 +240,11 @@ def telemetry(spark, d):
     return s.select(F.concat(F.lit("U-"), "user_id").alias("asset"), "latest", "baseline", "slope_day", (F.col("rul_hours") / 24).alias("rul_days"), F.col("anomalous"))
 
 
-Q["telemetry_evidence"] = lambda spark, d: R.telemetry_evidence(telemetry(spark, d), 60, 75).select("asset", F.regexp_replace("text", r"[-0-9.,]+", "#").alias("text"), "score")
-O["telemetry_evidence"] = f"""WITH {SERIES_SQL}, z AS (SELECT user_id, CASE WHEN round(latest, 6) >= 75 THEN 'above the danger limit' WHEN round(latest, 6) >= 60 THEN 'in the alert zone' ELSE 'within normal limits' END AS zone, latest >= 75 OR slope > 0.0001 AS ends, recent_mean > 60 OR recent_mean - baseline > 0.8 AS odd FROM t)
-SELECT 'U-' || user_id AS asset, 'Live condition monitoring for U# Current value # ' || zone || '# Baseline #; trend # per day# Remaining useful life ' || CASE WHEN ends THEN '#' ELSE 'unknown' END || ' days# Anomaly detected: ' || CASE WHEN odd THEN 'yes' ELSE 'no' END || '#' AS text, 0.9::DOUBLE AS score FROM z"""
+Q["telemetry_evidence"] = lambda spark, d: R.telemetry_evidence(telemetry(spark, d), 60, 75).select("asset", "text", "score")
+_fixed = lambda x: f"coalesce(format('{{:,.2f}}', {x}), 'unknown')"
+O["telemetry_evidence"] = f"""WITH {SERIES_SQL}, z AS (SELECT user_id, round(latest, 6) AS latest, round(baseline, 6) AS baseline, round(slope * 24, 6) AS trend, round(CASE WHEN latest >= 75 THEN 0.0 WHEN slope > 0.0001 THEN (75 - latest) / slope END, 4) / 24 AS rul,
+  CASE WHEN round(latest, 6) >= 75 THEN 'above the danger limit' WHEN round(latest, 6) >= 60 THEN 'in the alert zone' ELSE 'within normal limits' END AS zone, recent_mean > 60 OR recent_mean - baseline > 0.8 AS odd FROM t)
+SELECT 'U-' || user_id AS asset, 'Live condition monitoring for U-' || user_id || '. Current value ' || {_fixed('latest')} || ', ' || zone || '. Baseline ' || {_fixed('baseline')} || '; trend ' || {_fixed('trend')} || ' per day. Remaining useful life ' || {_fixed('rul')} || ' days. Anomaly detected: ' || CASE WHEN odd THEN 'yes' ELSE 'no' END || '.' AS text, 0.9::DOUBLE AS score FROM z"""
 
 Q["order_evidence"] = lambda spark, d: longs(R.order_evidence(work_orders(spark, d).select(F.concat(F.lit("C-"), "asset").alias("asset"), F.concat(F.lit("WO-"), "wo").alias("wo"), "date", "kind", F.when(F.col("mode") == "F", "none").otherwise(F.col("mode")).alias("mode"), F.lit(None).cast("string").alias("cause"), F.lit("checked ").alias("action"), F.floor("hours").alias("hours"))).select("asset", "wo", "place", "text", "score"))
 O["order_evidence"] = f"""WITH {WO_SQL}, r AS (SELECT 'C-' || asset AS asset, 'WO-' || wo AS wo, date, kind, mode, floor(hours) AS h, row_number() OVER (PARTITION BY asset ORDER BY date DESC, 'WO-' || wo) AS place FROM wo)

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
-from basalt.plans.common import keywords_sql, lines_sql, longs, table, tokens_sql, wc_sql
+from basalt.operators import concepts as C
+from basalt.plans.common import keywords_sql, lines_sql, longs, table, tokens_sql, wc_sql, words_sql
 
 Q, O = {}, {}
 
@@ -87,31 +88,49 @@ p AS (SELECT x.source, x.keyword AS a, y.keyword AS b, count(*) AS n FROM s x JO
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, a, b) AS place FROM p)
 SELECT source, a, b, n, place FROM r WHERE place <= 15 AND n >= 2"""
 
-BIGRAM = r"(?=([A-Z][a-z]{2,}))"
+
+def chunk_rows(spark, d):
+    """(doc, pos, text): lines of the documents, which stand for chunks here."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(T.lines(F.col("text"))).alias("pos", "text")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def concepts(spark, d):
-    """Acronyms and pairs of capitalised words by the number of lines of a document that hold them; at least two of three lines or more."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
-    n_lines = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    words = F.regexp_extract_all("line", F.lit(r"[A-Za-z][A-Za-z0-9+.#-]*"), F.lit(0))
-    rows = lines.withColumn("ws", words)
-    acronyms = F.filter("ws", lambda w: w.rlike("^[A-Z]{2,6}s?$") & (F.length(w) >= 3))
-    title = lambda w: w.rlike("^[A-Z][a-z]{2,}$")
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.when(title(F.element_at("ws", i)) & title(F.element_at("ws", i + 1)), F.concat_ws(" ", F.element_at("ws", i), F.element_at("ws", i + 1)))), lambda p: p.isNotNull())
-    found = F.array_distinct(F.concat(acronyms, F.when(F.size("ws") > 1, pairs).otherwise(F.array().cast("array<string>"))))
-    df = rows.select("doc_id", F.explode(found).alias("concept")).groupBy("doc_id", "concept").agg(F.count("*").alias("df"))
-    return df.join(n_lines, "doc_id").where(F.col("df") >= F.when(F.col("n_lines") >= 3, 2).otherwise(1)).select("doc_id", "concept", "df")
+    """(doc_id, concept, df, score, place) of all documents."""
+    return longs(C.extract(chunk_rows(spark, d)).withColumnRenamed("doc", "doc_id"))
 
 
 Q["concept_df"] = concepts
+_name = "length(w) >= 3 AND NOT regexp_matches(lower(w), '^www\\.|\\.(com|org|net|io)$') AND (" + " OR ".join(f"regexp_matches(w, '{p}')" for p in (C.ACRONYM, C.PASCAL, C.CAMEL)) + f" OR (regexp_matches(w, '{C.CODE}') AND length(w) >= 5))"
+_title = lambda w: f"regexp_matches({w}, '{C.TITLE}') AND lower({w}) NOT IN ({words_sql(C.NO_CONCEPT)})"
+LINES_SQL = f"l AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {lines_sql('text')} AS ls FROM documents)))"
 O["concept_df"] = f"""
-WITH l AS (SELECT doc_id, unnest({lines_sql('text')}) AS line FROM documents), n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id),
-w AS (SELECT doc_id, regexp_extract_all(line, '[A-Za-z][A-Za-z0-9+.#-]*') AS ws FROM l),
-c AS (SELECT doc_id, unnest(list_distinct(list_concat(list_filter(ws, lambda w: regexp_full_match(w, '[A-Z]{{2,6}}s?') AND length(w) >= 3),
-  list_transform(list_filter(range(1, len(ws)), lambda i: regexp_full_match(ws[i], '[A-Z][a-z]{{2,}}') AND regexp_full_match(ws[i + 1], '[A-Z][a-z]{{2,}}')), lambda i: ws[i] || ' ' || ws[i + 1])))) AS concept FROM w),
-f AS (SELECT doc_id, concept, count(*) AS df FROM c GROUP BY doc_id, concept)
-SELECT doc_id, concept, df FROM f JOIN n USING (doc_id) WHERE df >= CASE WHEN n_lines >= 3 THEN 2 ELSE 1 END"""
+WITH {LINES_SQL}, n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id),
+w AS (SELECT doc_id, regexp_extract_all(line, '{C.WORD}') AS ws FROM l),
+c AS (SELECT doc_id, unnest(list_distinct(list_concat(list_filter(ws, lambda w: {_name}),
+  list_transform(list_filter(range(1, len(ws)), lambda i: {_title('ws[i]')} AND {_title('ws[i + 1]')}), lambda i: ws[i] || ' ' || ws[i + 1])))) AS concept FROM w),
+f AS (SELECT doc_id, concept, count(*) AS df FROM c GROUP BY doc_id, concept),
+k AS (SELECT doc_id, concept, df FROM f JOIN n USING (doc_id) WHERE df >= CASE WHEN n_lines >= 3 THEN 2 ELSE 1 END),
+p AS (SELECT DISTINCT doc_id, unnest(string_split(concept, ' ')) AS concept FROM k WHERE contains(concept, ' ')),
+s AS (SELECT doc_id, concept, df, df + CASE WHEN contains(concept, ' ') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM k WHERE contains(concept, ' ') OR (doc_id, concept) NOT IN (SELECT doc_id, concept FROM p)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, concept) AS place FROM s)
+SELECT doc_id, concept, df, score, place FROM r WHERE place <= {C.TOP}"""
+
+
+def present(spark, d):
+    """(doc, pos, concept): the concepts of its document in each chunk."""
+    return C.presence(chunk_rows(spark, d), concepts(spark, d).withColumnRenamed("doc_id", "doc"))
+
+
+Q["concept_presence"] = present
+# Word boundaries of any alphabet; a name that ends in a sign wants a word behind it.
+_edges = lambda x: f"'(^|[^{C.LETTERS}])' || regexp_escape(lower({x})) || CASE WHEN regexp_matches({x}, '[{C.LETTERS}]$') THEN '($|[^{C.LETTERS}])' ELSE '[{C.LETTERS}]' END"
+PRESENT_SQL = f"k AS ({O['concept_df']}), pr AS (SELECT DISTINCT l.doc_id AS doc, pos, concept FROM l JOIN k ON k.doc_id = l.doc_id AND contains(lower(line), lower(concept)) WHERE regexp_matches(lower(line), {_edges('concept')}))"
+O["concept_presence"] = f"WITH {LINES_SQL}, {PRESENT_SQL} SELECT doc, pos, concept FROM pr"
+
+Q["chunk_entities"] = lambda spark, d: C.chunk_entities(chunk_rows(spark, d).select("doc", "pos", F.explode(T.tags(F.col("text"))).alias("tag")), present(spark, d)).select("doc", "pos", F.array_join("entities", "|").alias("entities"))
+O["chunk_entities"] = f"WITH {LINES_SQL}, {PRESENT_SQL}, e AS (SELECT doc, pos, concept AS e FROM pr UNION SELECT doc_id, pos, unnest(regexp_extract_all(line, '{T.TAG}')) FROM l) SELECT doc, pos, string_agg(e, '|' ORDER BY e) AS entities FROM e GROUP BY doc, pos"
+Q["document_mentions"] = lambda spark, d: C.document_entities(chunk_rows(spark, d).select("doc", "pos", F.explode(T.tags(F.col("text"))).alias("tag")), concepts(spark, d).withColumnRenamed("doc_id", "doc")).select("doc", F.array_join("mentions", "|").alias("mentions"))
+O["document_mentions"] = f"WITH {LINES_SQL}, k AS ({O['concept_df']}), e AS (SELECT doc_id AS doc, concept AS m FROM k UNION SELECT doc_id, unnest(regexp_extract_all(line, '{T.TAG}')) FROM l) SELECT doc, string_agg(m, '|' ORDER BY m) AS mentions FROM e GROUP BY doc"
 
 Q["summary_line"] = lambda spark, d: table(spark, d, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
 O["summary_line"] = f"SELECT doc_id, coalesce(CASE WHEN length(l) > 250 THEN left(l, 250) || '...' ELSE l END, '') AS summary FROM (SELECT doc_id, {lines_sql('text')}[1] AS l FROM documents)"

@@ -54,15 +54,17 @@ def named(spark, d):
 
 
 Q["gazetteer_entities"] = lambda spark, d: named(spark, d).select("qid", F.size("entities").cast("bigint").alias("n"), F.array_join("entities", "|").alias("entities"))
-_pad = lambda x: f"' ' || lower(regexp_replace({x}, '[^A-Za-z0-9]', ' ', 'g')) || ' '"
+_W = "\\p{L}\\p{N}"
+_place = f"'(?s)^(.*?(?:^|[^{_W}]))' || regexp_escape(lower(name)) || '(?:[^{_W}]|$)'"
 # The longest name that clashes with none taken before, one in each round.
-O["gazetteer_entities"] = f"""WITH RECURSIVE {QUESTIONS_SQL}, names AS (SELECT DISTINCT concept AS name FROM ({CONCEPTS_SQL}) WHERE regexp_matches(lower(concept), '^[a-z0-9]')),
-m AS (SELECT qid, name, instr({_pad('text')}, {_pad('name')}) AS lo FROM qs JOIN names ON contains(lower(text), lower(name))),
-r AS (SELECT qid, name, lo, lo + length(name) AS hi, row_number() OVER (PARTITION BY qid ORDER BY length(name) DESC, name) AS i FROM m WHERE lo > 0),
+GAZETTEER_SQL = f"""names AS (SELECT DISTINCT concept AS name FROM ({CONCEPTS_SQL})),
+m AS (SELECT qid, name, length(regexp_extract(lower(text), {_place}, 1)) AS lo FROM qs JOIN names ON contains(lower(text), lower(name)) WHERE regexp_matches(lower(text), {_place})),
+r AS (SELECT qid, name, lo, lo + length(name) AS hi, row_number() OVER (PARTITION BY qid ORDER BY length(name) DESC, name) AS i FROM m),
 t(qid, i, taken) AS (SELECT qid, 0, []::STRUCT(name VARCHAR, lo BIGINT, hi BIGINT)[] FROM r GROUP BY qid
   UNION ALL SELECT t.qid, r.i, CASE WHEN len(list_filter(taken, lambda y: y.lo < r.hi AND r.lo < y.hi)) > 0 THEN taken ELSE list_append(taken, {{'name': r.name, 'lo': r.lo, 'hi': r.hi}}) END FROM t JOIN r ON r.qid = t.qid AND r.i = t.i + 1),
-z AS (SELECT qid, arg_max(taken, i) AS taken FROM t GROUP BY qid)
-SELECT qid, len(taken) AS n, array_to_string(list_transform(taken, lambda x: x.name), '|') AS entities FROM z"""
+z AS (SELECT qid, arg_max(taken, i) AS taken FROM t GROUP BY qid), tg AS (SELECT qid, regexp_extract_all(text, '{G.ENTITY_TAG}') AS tags FROM qs),
+ge AS (SELECT qid, list_transform(coalesce(taken, []), lambda x: x.name) AS names, list_filter(tags, lambda x, i: list_position(tags, x) = i AND NOT list_contains(list_transform(coalesce(taken, []), lambda y: y.name), x)) AS tags FROM tg LEFT JOIN z USING (qid))"""
+O["gazetteer_entities"] = f"WITH RECURSIVE {QUESTIONS_SQL}, {GAZETTEER_SQL} SELECT qid, len(names) + len(tags) AS n, array_to_string(list_concat(names, tags), '|') AS entities FROM ge WHERE len(names) + len(tags) > 0"
 
 Q["pattern_subqueries"] = lambda spark, d: questions(spark, d).select("qid", F.array_join(G.subqueries(F.col("text"), G.entities(F.col("text"))), "|").alias("subqueries"))
 _p1, _p2 = "(?i)\\bbetween\\s+(.+?)\\s+and\\s+(.+?)(?:\\?|$)", "(?i)^(.+?)\\s+(?:vs\\.?|versus)\\s+(.+?)(?:\\?|$)"
