@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
-from basalt.runtime import written
+from basalt.runtime import spread, written
 
 
 @dataclass
@@ -31,14 +31,20 @@ class TextIndex:
         return self._norms
 
 
-def build(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-    """Index of all chunks.  Texts are read and cut into tokens once: postings are counted by document and written to the shared
-    folder; statistics and all legs read them there, and only the columns and terms that they need."""
-    rows = chunks.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    toks = rows.repartition("doc").select("doc", T.raw_tokens(F.col("text")).alias("ts"))
+def counted(rows: DataFrame) -> DataFrame:
+    """(doc, term, tf, dl) of texts (doc, text).  Tokens of a text are rows one after another, so counting combines them where the
+    text lies; only one row for each term of a document is shuffled, and no text."""
+    toks = rows.select("doc", T.raw_tokens(F.col("text")).alias("ts"))
     # Exploded first: the singular is then generated code over rows, not a function over arrays.
     each = toks.select("doc", F.size("ts").cast("bigint").alias("dl"), F.explode("ts").alias("t")).select("doc", "dl", T.singular(F.col("t")).alias("term"))
-    postings = written(each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "index-postings")
+    return each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def build(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
+    """Index of all chunks for one batch of work (store.IndexStore keeps one).  Texts are read and cut into tokens once: postings are counted by document
+    and written to the shared folder; statistics and all legs read them there, and only the columns and terms that they need."""
+    rows = chunks.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    postings = written(counted(spread(rows)), "index-postings")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     docs = rows.select("doc").join(postings.groupBy("doc").agg(F.first("dl").alias("dl")), "doc", "left").select("doc", F.coalesce("dl", F.lit(0)).alias("dl"))
     total, n = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).collect()[0]["n"], rows.select("doc").count()

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from basalt.operators import concepts as N
 from basalt.operators import extract as X
 from basalt.operators import memory as C
 from basalt.operators import query as G
 from basalt.operators import rank as R
 from basalt.operators import records as D
+from basalt.operators import routing as W
 from basalt.operators import understand as U
 from basalt.operators import verify as V
 
@@ -129,3 +131,32 @@ def test_a_table_put_aside_is_found(spark, tmp_path):
     (tmp_path / "t").rename(tmp_path / "t.old-x")  # a writer that stopped between its two renames
     K.upsert(spark.createDataFrame([(2, "b")], "k int, created_at string"), path, "k")
     assert {r["k"] for r in spark.read.parquet(path).collect()} == {1, 2}
+
+
+def test_concepts_and_mentions(spark):
+    chunks = ["RAG and MultiHeadAttention with Vector Store", "Vector Store uses RAG; Store the Vector", "see www.Site.com, x.from and fromMessages. The Next Step", "MultiHeadAttention"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(chunks)] + [(2, 0, "RAGs use LCEL now: MyStore and My Store")], "doc int, pos int, text string")
+    got = {(r["doc"], r["concept"]): (r["df"], r["score"], r["place"]) for r in N.extract(rows).collect()}
+    assert got == {(1, "Vector Store"): (2, 3.0, 1), (1, "MultiHeadAttention"): (2, 2.0, 2), (1, "RAG"): (2, 2.0, 3), (2, "LCEL"): (1, 1.0, 1), (2, "MyStore"): (1, 1.0, 2), (2, "RAGs"): (1, 1.0, 3)}
+    told = spark.createDataFrame([(1, "vector store: a rag, not ragged"), (2, "Vector  store"), (3, "c++ and C++11, node.js"), (4, "élan vital, no délan vital"), (5, None), (6, "")], "k int, text string")
+    names = spark.createDataFrame([("Vector Store",), ("RAG",), ("C++",), ("Node.js",), ("élan vital",), ("+x",)], "name string")
+    found = {(r["k"], r["name"], r["at"]) for r in N.mentions(told, names).collect()}
+    assert {(k, n) for k, n, _ in found} == {(1, "Vector Store"), (1, "RAG"), (3, "C++"), (3, "Node.js"), (4, "élan vital")}
+    assert len([1 for k, n, _ in found if n == "C++"]) == 1  # a word must follow the sign
+    assert {r["name"] for r in N.mentions(told.where("k = 3"), names, open_end=True).collect()} == {"C++", "Node.js"}
+    tags = spark.createDataFrame([(1, "Is BERT used on P-101 or LangChain?")], "qid int, text string")
+    assert G.gazetteer(tags, spark.createDataFrame([("LangChain",), ("BERT",)], "name string")).first()["entities"] == ["LangChain", "BERT", "P-101"]
+
+
+def test_seeds_and_routes(spark):
+    asked = spark.createDataFrame([(1, "how do llm agents use P-101?"), (2, "tell me of multi head attention"), (3, "Runnable things"), (4, "gpu"), (5, "attention all you need"), (6, "the 1bit model")], "qid int, text string")
+    nodes = spark.createDataFrame([("P-101", "Equipment"), ("LLMs", "Concept"), ("MultiHead", "Concept"), ("RunnableLambda", "Concept"), ("GPUs", "Concept"), ("RAG", "Concept")], "id string, type string")
+    ents = spark.createDataFrame([(1, "P-101"), (1, "P-999")], "qid int, entity string")
+    got = {(r["qid"], r["seed"]): r["rules"] for r in W.graph_seeds(asked, ents, nodes).collect()}
+    assert got == {(1, "P-101"): "entity", (1, "LLMs"): "word", (2, "MultiHead"): "inside+squeezed", (3, "RunnableLambda"): "inside", (4, "GPUs"): "word"}
+    docs = spark.createDataFrame([(10, "d10", "Attention Is All You Need.pdf"), (11, "1_bit", ""), (12, "d12", "Pump manual"), (13, "d13", None)], "doc int, name string, title string")
+    inside = spark.createDataFrame([(12, "P-101")], "doc int, entity string")
+    of = spark.createDataFrame([("GPUs", 13), ("MultiHead", 13), ("LLMs", 13)], "concept string, doc int")
+    best = spark.createDataFrame([(4, 12, 6.0), (4, 10, 3.0), (2, 12, 3.9)], "qid int, doc int, score double")
+    routes = {(r["qid"], r["doc"]): r["rule"] for r in W.route(asked, ents, inside, docs, of, best).collect()}
+    assert routes == {(1, 12): "entity", (5, 10): "title", (6, 11): "identifier", (2, 13): "concept"}  # 4: the corpus disagrees with the concept
