@@ -235,7 +235,7 @@ def candidates(ix: ChunkIndex, queries: DataFrame, scorer: Scorer | None = None)
     judge is the clean question.  k may be null; it is never below what the question's own complexity asks for."""
     own, pool = R.adaptive_k(F.col("query"))
     q = queries.withColumn("k", F.greatest(F.coalesce("k", F.lit(0)), own)).withColumn("pool", F.least(F.lit(40), F.greatest(pool, 3 * F.col("k"))))
-    q = written(with_weights(ix, q), "queries")
+    q = written(with_weights(ix, q).drop("entities"), "queries")  # chunks have a column of that name
     scores = lexical_legs(ix, q).select("*", F.lit(None).cast("double").alias("graph")).unionByName(graph_leg(ix, q).select("qid", "chunk", F.lit(None).cast("double").alias("dense"), F.lit(None).cast("double").alias("bm25"), "graph"))
     hits = written(allowed(ix, scores.groupBy("qid", "chunk").agg(*(F.max(leg).alias(leg) for leg in LEGS)), q), "hits")
     top = written(fused(hits), "fused")

@@ -363,8 +363,8 @@ def result_rows(spark, d):
     return longs(kept.select("qid", "doc", "rank", "score", F.round("rrf", 4).alias("rrf"), F.round("dense", 4).alias("dense"), F.round("bm25", 4).alias("bm25"), "graph", "entity", F.round("meta", 2).alias("meta"), "accept_score", "doc_rank", F.when(method == "", "RRF").otherwise(method).alias("method"), F.when(why == "", "elected by rank fusion").otherwise(why).alias("why")))
 
 
-Q["retrieve"] = result_rows
-O["retrieve"] = f"""WITH {ALL_SQL}, {SUPPORT_SQL},
+Q["retrieve_lines"] = result_rows
+O["retrieve_lines"] = f"""WITH {ALL_SQL}, {SUPPORT_SQL},
 x AS (SELECT s.qid, s.doc, s.score AS rrf, s.support, entity, coalesce(dense.score, 0.0) AS dense, coalesce(bm25.score, 0.0) AS bm25, coalesce(graph.score, 0.0) AS graph, 1 + least(0.20, 0.10 * coalesce(graph.score, 0.0)) AS meta FROM support s JOIN entity USING (qid, doc) LEFT JOIN dense USING (qid, doc) LEFT JOIN bm25 USING (qid, doc) LEFT JOIN graph USING (qid, doc)),
 f AS (SELECT *, round(CAST(0.60 * support + 0.20 * entity + 0.20 * least(1.0, (meta - 1) / 0.5) AS DOUBLE), 4) AS score FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) - 1 AS rank, round(CAST(0.45 * support + 0.15 * dense + 0.15 * bm25 / (bm25 + 4.0) + 0.10 * least(1.0, graph / 3.0) + 0.05 * (meta - 1) / 0.5 + 0.10 * entity AS DOUBLE), 4) AS accept_score FROM f),
@@ -383,4 +383,4 @@ def compared(spark, d):
 
 
 Q["baseline_compare"] = compared
-O["baseline_compare"] = f"WITH full_ AS ({O['retrieve']}), p AS (SELECT qid, doc FROM ({O['tfidf_topk']}) WHERE rank < 6) SELECT qid, count(*) AS plain, count(full_.doc) AS shared FROM p LEFT JOIN full_ USING (qid, doc) GROUP BY qid"
+O["baseline_compare"] = f"WITH full_ AS ({O['retrieve_lines']}), p AS (SELECT qid, doc FROM ({O['tfidf_topk']}) WHERE rank < 6) SELECT qid, count(*) AS plain, count(full_.doc) AS shared FROM p LEFT JOIN full_ USING (qid, doc) GROUP BY qid"
