@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.runtime import shared_root
+from basalt.runtime import shared_root, written
 
 # How strongly each relation carries relevance, and the loss of each hop.
 REL_WEIGHTS = {
@@ -117,6 +117,50 @@ def path_lengths(e: DataFrame, source, most: int = 5) -> DataFrame:
     return seen
 
 
+def _levels(adj: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(start, node, h): nodes within `hops` of each start, at their distance."""
+    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("h"))
+    front = seen
+    for h in range(1, hops + 1):
+        nxt = front.select("start", "node").join(adj, "node").select("start", F.col("other").alias("node")).distinct()
+        front = written(nxt.join(seen, ["start", "node"], "left_anti").withColumn("h", F.lit(h)), "path-front")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def paths_between(e: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
+    """(a, b, hop, source, target, rel): for each pair (a, b) a shortest path of at most `most` edges, edge by edge; none for pairs that are not connected so closely or are one node.
+
+    Of several shortest paths it is the one of the smallest nodes, from a on, and of parallel edges the smallest relation.  Both ends are searched half way, each
+    distinct end once however many pairs it has; where they meet, the path's nodes are marked back to either end, and only marked nodes are walked."""
+    pairs = written(pairs.select("a", "b").distinct().where("a <> b"), "pairs")
+    adj = written(both_ways(e).groupBy("node", "other").agg(F.min("rel").alias("rel")), "adjacency")
+    near, link = (most + 1) // 2, adj.select("node", "other")
+    fore = _levels(link, pairs.select(F.col("a").alias("start")).distinct(), near).select(F.col("start").alias("a"), "node", "h")
+    back = _levels(link, pairs.select(F.col("b").alias("start")).distinct(), most - near).select(F.col("start").alias("b"), "node", F.col("h").alias("g"))
+    met = pairs.join(fore, "a").join(back, ["b", "node"]).withColumn("n", F.col("h") + F.col("g"))
+    met = met.withColumn("least", F.min("n").over(Window.partitionBy("a", "b"))).where("n = least").select("a", "b", F.col("least").alias("n"), "node", F.col("h").alias("at"))
+    marks = front = written(met, "path-marks")
+    for _ in range(near):  # toward a: neighbours one hop nearer to it
+        step = front.where("at > 0").join(link, "node").select("a", "b", "n", F.col("other").alias("node"), (F.col("at") - 1).alias("at")).distinct()
+        front = step.join(fore, ["a", "node"]).where("h = at").select("a", "b", "n", "node", "at")
+        marks = marks.unionByName(front)
+    front = met
+    for _ in range(most - near):  # toward b
+        step = front.where("at < n").join(link, "node").select("a", "b", "n", F.col("other").alias("node"), (F.col("at") + 1).alias("at")).distinct()
+        front = step.join(back, ["b", "node"]).where("g = n - at").select("a", "b", "n", "node", "at")
+        marks = marks.unionByName(front)
+    marks = written(marks.distinct(), "path-marks")
+    here, out = pairs.join(marks.select("a", "b", "n").distinct(), ["a", "b"]).withColumn("node", F.col("a")), None
+    for k in range(most):
+        ways = here.where(F.col("n") > k).join(adj, "node").select("a", "b", "n", F.col("node").alias("source"), F.col("other").alias("node"), "rel")
+        ways = ways.join(marks.where(F.col("at") == k + 1).select("a", "b", "node"), ["a", "b", "node"], "left_semi")
+        step = written(ways.groupBy("a", "b", "n").agg(F.min(F.struct("node", "source", "rel")).alias("x")).select("a", "b", "n", "x.node", "x.source", "x.rel"), "path-step")
+        edge = step.select("a", "b", F.lit(k + 1).alias("hop"), "source", F.col("node").alias("target"), "rel")
+        here, out = step.select("a", "b", "n", "node"), edge if out is None else out.unionByName(edge)
+    return out
+
+
 def two_hop(e: DataFrame, first: str, second: str) -> DataFrame:
     """(a, via, b): a -first- via -second-> b, following edges forward."""
     x = e.where(F.col("rel") == first).select(F.col("src").alias("a"), F.col("dst").alias("via"))

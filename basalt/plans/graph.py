@@ -73,3 +73,17 @@ O["relation_groups"] = f"WITH {GRAPH_SQL} SELECT node, count(*) FILTER (rel = 'C
 
 Q["induced_subgraph"] = lambda spark, d: (lambda n, e: G.induced(e, G.expand(e, seeds(spark), 1)))(*plant(spark, d))
 O["induced_subgraph"] = f"WITH {GRAPH_SQL}, m AS (SELECT unnest(['N3', 'S7']) AS node UNION SELECT other FROM a WHERE node IN ('N3', 'S7')) SELECT src, dst, rel FROM e WHERE src IN (SELECT node FROM m) AND dst IN (SELECT node FROM m)"
+
+
+def path_pairs(spark, d):
+    """Each customer and the supplier whose number is the customer's, counted round."""
+    n = table(spark, d, "supplier").count()
+    return table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("a"), F.concat(F.lit("S"), F.pmod("c_custkey", F.lit(n)) + 1).alias("b"))
+
+
+Q["path_edges"] = lambda spark, d: longs(G.paths_between(plant(spark, d)[1], path_pairs(spark, d), 5))
+O["path_edges"] = f"""WITH RECURSIVE {GRAPH_SQL}, ad AS MATERIALIZED (SELECT node, other, min(rel) AS rel FROM a GROUP BY node, other), pr AS (SELECT 'C' || c_custkey AS a, 'S' || (1 + c_custkey % (SELECT count(*) FROM supplier)) AS b FROM customer),
+fb(start, node, h) AS (SELECT DISTINCT b, b, 0 FROM pr UNION SELECT start, other, h + 1 FROM fb JOIN ad USING (node) WHERE h < 5), db AS MATERIALIZED (SELECT start AS b, node, min(h) AS h FROM fb GROUP BY start, node),
+w(a, b, left_, node, source, rel) AS (SELECT pr.a, pr.b, h, pr.a, NULL::VARCHAR, NULL::VARCHAR FROM pr JOIN db ON db.b = pr.b AND db.node = pr.a WHERE h > 0
+  UNION ALL SELECT a, b, left_ - 1, x.node, source, x.rel FROM (SELECT w.a, w.b, w.left_, w.node AS source, min((ad.other, ad.rel)) AS m FROM w JOIN ad ON ad.node = w.node JOIN db ON db.b = w.b AND db.node = ad.other AND db.h = w.left_ - 1 WHERE w.left_ > 0 GROUP BY ALL) g, LATERAL (SELECT m[1] AS node, m[2] AS rel) x),
+t AS (SELECT a, b, max(left_) AS n FROM w GROUP BY a, b) SELECT a, b, CAST(n - left_ AS BIGINT) AS hop, source, node AS target, rel FROM w JOIN t USING (a, b) WHERE source IS NOT NULL"""
