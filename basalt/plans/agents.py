@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basalt.operators import agent as A
 from basalt.operators import controller as K
+from basalt.operators import hybrid as H
 from basalt.operators import index as I
 from basalt.operators import query as G
 from basalt.operators import understand as U
 from basalt.operators import verify as V
-from basalt.plans.answers import CLASS_SQL, FACETS_SQL, _S, _ct
-from basalt.plans.common import INDEX_SQL, longs, table, tokens_sql, wc_sql
+from basalt.plans.answers import ASPECTS_SQL, CLASS_SQL, FACETS_SQL, SPACED_SQL, _S, _ct, relevant
+from basalt.plans.common import INDEX_SQL, lines_sql, longs, query_terms_sql, table, tokens_sql, wc_sql
+from basalt.plans.text import PROSE_SQL
 from basalt.runtime import written
 
 Q, O = {}, {}
@@ -92,3 +95,73 @@ n2 AS (SELECT qid, count(DISTINCT doc) AS n FROM h2 WHERE (qid, doc) NOT IN (SEL
 fo AS (SELECT qs.qid, text, rd0.total AS t0, rd1.total AS t1, coalesce(n1.n, 0) + coalesce(n2.n, 0) AS evidence FROM qs JOIN rd0 USING (qid) LEFT JOIN rd1 USING (qid) LEFT JOIN n1 USING (qid) LEFT JOIN n2 USING (qid)),
 z AS (SELECT *, CASE WHEN t0 >= 0.7 OR t1 IS NULL THEN {_ends('t0', 0, 'INSUFFICIENT')} ELSE {_ends('t1', 1, 'INSUFFICIENT')} END AS status FROM fo)
 SELECT qid, status, {_say('status')} AS answer_md5, greatest(t0, coalesce(t1, t0)) AS coverage, CAST(CASE WHEN t0 >= 0.7 THEN 0 WHEN t1 IS NULL THEN 1 WHEN t1 >= 0.7 THEN 1 ELSE 2 END AS BIGINT) AS iterations, evidence FROM z"""
+
+
+# ---- the knowledge agent, with sources as documents and documents as their chunks
+
+QUESTIONS = ["What is {}?", "Compare {} and memory", "Steps to change {} and then test", "difference between {} and vectors?", "{} vs graphs", "Summarize {} in short"]
+
+
+def agent_parts(spark, d):
+    docs = table(spark, d, "documents")
+    chunks = written(docs.select(F.col("doc_id").alias("chunk"), F.col("source").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), "agent-chunks")
+    ix = H.ChunkIndex(I.build(chunks, "chunk"), chunks)
+    k = (F.pmod("item_id", F.lit(len(QUESTIONS))) + 1).cast("int")
+    judge = F.replace(F.element_at(F.array(*map(F.lit, QUESTIONS)), k), F.lit("{}"), F.coalesce("text", F.lit("")))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), judge.alias("judge")).withColumn("aspects", U.aspects(F.col("judge")))
+    two = F.size("aspects") == 2
+    side = lambda i: F.concat(F.lit("What is "), F.try_element_at("aspects", F.lit(i)), F.lit("?"))
+    asked = asked.select("qid", G.rewrite(F.col("judge")).alias("asked"), "aspects", F.when(two, "asset").otherwise("document").alias("strategy"), F.when(two, F.array(F.col("judge"), side(1), side(2))).alias("subqueries"))
+    # Named documents: the sources of those that hold the whole passage.
+    named = docs.select(F.col("doc_id").alias("chunk"), F.col("source").alias("doc")).join(I.held(relevant(spark, d).withColumnRenamed("doc", "chunk")), "chunk").select("qid", "doc").distinct()
+    return written(asked, "agent-asked"), named, ix
+
+
+def agent(spark, d):
+    asked, named, ix = agent_parts(spark, d)
+    return A.run(asked, written(named, "agent-named"), ix, A.lexical_retriever(ix))
+
+
+Q["knowledge_agent"] = lambda spark, d: longs(agent(spark, d)[0])
+Q["agent_diagnostics"] = lambda spark, d: longs(agent(spark, d)[1].withColumn("rejected", F.array_join("rejected", ",")))
+_QT = ", ".join("'" + t.replace("'", "''") + "'" for t in QUESTIONS)
+_rw = ", ".join("CASE WHEN " + " OR ".join("contains(lower(spaced), '" + x.replace("'", "''") + "')" for x in p) + f" THEN '{' '.join(t)}' END" for p, t in G.REWRITES)
+_sp = SPACED_SQL.replace("coalesce(text, '')", "text")
+
+
+def _look(name, src):
+    """The best documents of each (key, query, k, docs) of src by BM25, within its sources if it names some."""
+    return f"""{name}q AS (SELECT key, term, count(*) AS qtf FROM (SELECT key, unnest({tokens_sql('query')}) AS term FROM {src}) GROUP BY key, term),
+{name}s AS (SELECT key, doc, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) AS score FROM {name}q JOIN postings USING (term) JOIN terms USING (term) JOIN dl USING (doc) CROSS JOIN st GROUP BY key, doc),
+{name} AS MATERIALIZED (SELECT key, place, doc AS chunk, source AS doc, score FROM (SELECT s.key, s.doc, source, score, k, row_number() OVER (PARTITION BY s.key ORDER BY score DESC, s.doc) AS place FROM {name}s s JOIN documents ON doc_id = s.doc JOIN {src} USING (key) WHERE docs IS NULL OR list_contains(docs, source)) WHERE place <= k)"""
+
+
+def _gate(name, src, k):
+    """What the gate says of the hits (qid, chunk, doc, score) of src."""
+    return f"""{name}m AS (SELECT h.qid, h.chunk, sum(idf) AS met FROM {src} h JOIN ar USING (chunk) JOIN qw ON qw.qid = h.qid AND list_contains(ts, term) GROUP BY 1, 2),
+{name}h AS (SELECT h.qid, h.chunk AS doc, h.score, h.doc AS source, size, low, prose, nl AS lines, ag.terms, aspects, round(CAST(CASE WHEN total IS NULL THEN 0.5 ELSE least(1.0, 0.08 + 0.92 * (coalesce(met, 0.0) / total) * (0.30 + 0.70 * prose)) END AS DOUBLE), 4) AS support
+  FROM {src} h JOIN ar USING (chunk) JOIN sz ON sz.source = h.doc JOIN ag ON ag.qid = h.qid LEFT JOIN qt ON qt.qid = h.qid LEFT JOIN {name}m m ON m.qid = h.qid AND m.chunk = h.chunk),
+{name}s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) - 1 AS rank, max(score) OVER (PARTITION BY qid) AS top, min(source) OVER (PARTITION BY qid) = max(source) OVER (PARTITION BY qid) AS one FROM {name}h WHERE NOT (lines > 3 AND prose < 0.15)),
+{name}f AS (SELECT *, CASE WHEN rank = 0 OR (one AND size <= 12) THEN NULL WHEN score < 0.45 * CASE WHEN top = 0 THEN 1.0 ELSE top END THEN 'below relevance bar' WHEN len(list_filter(terms, lambda t: contains(low, t))) < least(2, len(terms)) THEN 'insufficient query-term support'
+  WHEN len(aspects) > 0 AND len(list_filter(aspects, lambda a: contains(low, lower(a)))) = 0 THEN 'mentions neither side of the comparison' WHEN support < 0.35 AND NOT (one AND prose >= 0.20) THEN 'weak content support' END AS fault FROM {name}s),
+{name}g AS (SELECT *, coalesce(sum(CASE WHEN fault IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY score DESC, doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {name}f),
+{name} AS (SELECT qid, doc AS chunk, rank, CASE WHEN before >= {k} THEN 'evidence budget reached' ELSE fault END AS reason, false AS outline FROM {name}g UNION ALL SELECT qid, doc, NULL, 'outline', true FROM {name}h WHERE lines > 3 AND prose < 0.15)"""
+
+
+_prose = PROSE_SQL[PROSE_SQL.index("CASE WHEN len(ls) = 0") : PROSE_SQL.rindex(" AS prose FROM ls")]
+AGENT_SQL = f"""{INDEX_SQL}, b0 AS (SELECT item_id AS qid, text AS passage, replace(([{_QT}])[1 + item_id % {len(QUESTIONS)}], '{{}}', coalesce(text, '')) AS text FROM benchmark),
+b1 AS (SELECT qid, passage, text AS judge, {ASPECTS_SQL} AS aspects, {_sp} AS spaced FROM b0), ag AS MATERIALIZED (SELECT *, {query_terms_sql('asked')} AS ws, list_filter({query_terms_sql('asked')}, lambda t: length(t) >= 3) AS terms FROM (SELECT *, concat_ws(' ', spaced, {_rw}) AS asked FROM b1)),
+qw AS (SELECT qid, term, ln((n_docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT qid, unnest(ws) AS term FROM ag) LEFT JOIN terms USING (term) CROSS JOIN st), qt AS (SELECT qid, sum(idf) AS total FROM qw GROUP BY qid), sz AS (SELECT source, count(*) AS size FROM documents GROUP BY source),
+ar AS (SELECT doc_id AS chunk, lower(coalesce(text, '')) AS low, list_distinct({tokens_sql('text')}) AS ts, len(ls) AS nl, round(CAST({_prose} AS DOUBLE), 6) AS prose FROM (SELECT *, {lines_sql('text')} AS ls FROM documents)),
+tg AS (SELECT DISTINCT qid, source FROM ag JOIN documents ON contains(documents.text, passage) WHERE len(aspects) <> 2),
+k1 AS (SELECT qid AS key, asked AS query, 12 AS k, NULL::VARCHAR[] AS docs FROM ag WHERE len(aspects) <> 2), {_look('f1', 'k1')},
+vo AS (SELECT key AS qid, doc, round(sum(1.0::DOUBLE / place), 9) AS votes, count(*) AS hits FROM f1 GROUP BY key, doc), vs AS (SELECT *, round(votes / sum(votes) OVER (PARTITION BY qid), 6) AS share, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, doc) AS i FROM vo),
+fo AS (SELECT qid, list(source ORDER BY source) AS docs, 'named entity/concept' AS routed_by, []::VARCHAR[] AS rejected FROM tg GROUP BY qid UNION ALL SELECT qid, [doc], 'dominant document (' || CAST(floor(share * 100) AS BIGINT) || '%)', (SELECT list(o.doc ORDER BY o.doc) FROM vo o WHERE o.qid = vs.qid AND o.doc <> vs.doc) FROM vs WHERE i = 1 AND share >= 0.4 AND hits >= 2 AND qid NOT IN (SELECT qid FROM tg)),
+k2 AS (SELECT qid AS key, asked AS query, 6 AS k, docs FROM ag JOIN fo USING (qid)), {_look('f2', 'k2')},
+dh AS (SELECT key AS qid, chunk, doc, score FROM f2 UNION ALL SELECT key, chunk, doc, score FROM f1 WHERE key NOT IN (SELECT key FROM f2)), {_gate('dg', 'dh', 6)},
+k3 AS (SELECT qid * 6 + i - 1 AS key, ([judge, 'What is ' || aspects[1] || '?', 'What is ' || aspects[2] || '?'])[i] AS query, 4 AS k, NULL::VARCHAR[] AS docs FROM ag, (SELECT unnest([1, 2, 3]) AS i) WHERE len(aspects) = 2), {_look('f3', 'k3')},
+ah AS (SELECT qid, chunk, arg_min(doc, (place, key)) AS doc, arg_min(score, (place, key)) AS score FROM (SELECT key // 6 AS qid, * FROM f3) GROUP BY qid, chunk), {_gate('gg', 'ah', 8)},
+ev AS (SELECT * FROM dg UNION ALL SELECT * FROM gg)"""
+O["knowledge_agent"] = f"WITH {AGENT_SQL} SELECT qid, chunk, rank, reason IS NULL AS used, reason FROM ev"
+O["agent_diagnostics"] = f"""WITH {AGENT_SQL}, rt AS (SELECT qid, count(DISTINCT chunk) AS retrieved FROM (SELECT key AS qid, chunk FROM f1 UNION ALL SELECT key // 6, chunk FROM f3) GROUP BY qid), us AS (SELECT qid, count(*) FILTER (reason IS NULL) AS used FROM ev GROUP BY qid)
+SELECT qid, CASE WHEN len(aspects) = 2 THEN 'asset' ELSE 'document' END AS strategy, routed_by, array_to_string(rejected, ',') AS rejected, coalesce(retrieved, 0) AS retrieved, coalesce(used, 0) AS used FROM ag LEFT JOIN fo USING (qid) LEFT JOIN rt USING (qid) LEFT JOIN us USING (qid)"""
