@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basalt.functions import text as T
 from basalt.operators import agent as A
 from basalt.operators import controller as K
+from basalt.operators import golden as E
 from basalt.operators import hybrid as H
 from basalt.operators import index as I
 from basalt.operators import query as G
 from basalt.operators import understand as U
 from basalt.operators import verify as V
-from basalt.plans.answers import ASPECTS_SQL, CLASS_SQL, FACETS_SQL, SPACED_SQL, _S, _ct, relevant
+from basalt.plans.answers import ASPECTS_SQL, CLASS_SQL, FACETS_SQL, INTENT_SQL, SPACED_SQL, _S, _ct, relevant
 from basalt.plans.common import INDEX_SQL, lines_sql, longs, query_terms_sql, table, tokens_sql, wc_sql
 from basalt.plans.text import PROSE_SQL
 from basalt.runtime import written
@@ -165,3 +167,41 @@ ev AS (SELECT * FROM dg UNION ALL SELECT * FROM gg)"""
 O["knowledge_agent"] = f"WITH {AGENT_SQL} SELECT qid, chunk, rank, reason IS NULL AS used, reason FROM ev"
 O["agent_diagnostics"] = f"""WITH {AGENT_SQL}, rt AS (SELECT qid, count(DISTINCT chunk) AS retrieved FROM (SELECT key AS qid, chunk FROM f1 UNION ALL SELECT key // 6, chunk FROM f3) GROUP BY qid), us AS (SELECT qid, count(*) FILTER (reason IS NULL) AS used FROM ev GROUP BY qid)
 SELECT qid, CASE WHEN len(aspects) = 2 THEN 'asset' ELSE 'document' END AS strategy, routed_by, array_to_string(rejected, ',') AS rejected, coalesce(retrieved, 0) AS retrieved, coalesce(used, 0) AS used FROM ag LEFT JOIN fo USING (qid) LEFT JOIN rt USING (qid) LEFT JOIN us USING (qid)"""
+
+
+# ---- the golden set: benchmark passages in templates of a known intent; expected are the documents that hold the passage, and its longest words
+
+GOLDEN = [("What is the meaning of {}", "definition"), ("Compare {} with others", "comparison"), ("Summarize {}", "summary"), ("{}", None)]
+
+
+def golden(spark, d):
+    k = (F.pmod("item_id", F.lit(len(GOLDEN))) + 1).cast("int")
+    pick = lambda i, kind: F.element_at(F.array(*(F.lit(g[i]).cast(kind) for g in GOLDEN)), k)
+    words = T.query_terms(F.col("text"))
+    longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3), lambda x: x["w"])
+    cases = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "item_id", F.replace(pick(0, "string"), F.lit("{}"), "text").alias("query"), longest.alias("expected_terms"), pick(1, "string").alias("intent"), F.concat(F.lit("c"), k).alias("category"))
+    held = relevant(spark, d).groupBy(F.col("qid").cast("string").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("doc-"), "doc", F.lit(".")))).alias("expected_docs"))  # copies of one passage
+    cases = written(cases.join(held, "id").withColumn("expected_doc", F.lit(None).cast("string")), "golden")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    top = written(I.ranked(I.bm25(I.build(docs, "doc"), cases.select("item_id", F.col("query").alias("text"))), 6), "golden-top")
+    hits = docs.join(I.held(top), "doc").select(F.col("qid").cast("string").alias("id"), (F.col("rank") + 1).alias("place"), F.concat(F.lit("doc-"), "doc", F.lit(".")).alias("label"), "text")
+    return E.retrieval_rows(cases, hits, cases.select("id", U.intent(F.col("query")).alias("intent"), F.lit(None).cast("double").alias("latency_ms")))
+
+
+Q["golden_retrieval"] = lambda spark, d: longs(golden(spark, d).drop("latency_ms").withColumn("missing_terms", F.array_join("missing_terms", ",")).withColumn("rr", F.round("rr", 4)).withColumn("term_coverage", F.round("term_coverage", 4)).withColumn("intent_ok", F.col("intent_ok").cast("bigint")))
+Q["golden_summary"] = lambda spark, d: longs(E.retrieval_summary(golden(spark, d), 6, by="category").drop("latency_ms_mean", "latency_ms_max"))
+_g = lambda i: "([" + ", ".join("NULL" if g[i] is None else "'" + g[i] + "'" for g in GOLDEN) + f"])[1 + item_id % {len(GOLDEN)}]"
+GOLDEN_SQL = f"""gc AS (SELECT item_id, text AS passage, replace({_g(0)}, '{{}}', text) AS query, {_g(1)} AS want, 'c' || (1 + item_id % {len(GOLDEN)}) AS category, list_transform(list_sort(list_transform({query_terms_sql('text')}, lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda x: x.w) AS terms FROM benchmark),
+gd AS (SELECT item_id, list('doc-' || doc_id || '.' ORDER BY 'doc-' || doc_id || '.') AS docs FROM gc JOIN documents ON contains(documents.text, passage) GROUP BY item_id), cases AS MATERIALIZED (SELECT * FROM gc JOIN gd USING (item_id)),
+gq AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({tokens_sql('query')}) AS term FROM cases) GROUP BY 1, 2),
+gs AS (SELECT qid, doc, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) AS score FROM gq JOIN postings USING (term) JOIN terms USING (term) JOIN dl USING (doc) CROSS JOIN st GROUP BY qid, doc),
+gh AS (SELECT qid, 'doc-' || doc || '.' AS label, doc, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS place FROM gs) WHERE place <= 6),
+gr AS (SELECT gh.*, CAST(list_contains(docs, label) AS INT) AS rel, list_filter(terms, lambda t: regexp_matches(lower(coalesce(d.text, '')), '(^|[^a-z0-9])' || regexp_escape(lower(t)) || '([^a-z0-9]|$)')) AS covered FROM gh JOIN cases ON item_id = qid JOIN documents d ON d.doc_id = gh.doc),
+gi AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, place) AS ideal FROM gr),
+ga AS (SELECT qid, list(label) AS labels, list_distinct(flatten(list(covered))) AS covered, min(place) FILTER (rel = 1) AS rank, max(rel) FILTER (place <= 5) AS five, avg(rel) AS prec, sum(rel / log2(place + 1)) AS dcg, sum(rel / log2(ideal + 1)) AS idcg FROM gi GROUP BY qid),
+gg AS (SELECT CAST(item_id AS VARCHAR) AS id, category, query, len(list_filter(docs, lambda x: NOT list_contains(coalesce(labels, []), x))) = 0 AS hit, rank, coalesce(1.0::DOUBLE / rank, 0.0) AS rr, coalesce(rank, 0) = 1 AS recall_at_1, coalesce(five, 0) = 1 AS recall_at_5, round(coalesce(prec, 0.0), 3) AS precision_at_k,
+  round(CAST(coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0.0) AS DOUBLE), 3) AS ndcg, CASE WHEN len(terms) = 0 THEN 1.0 ELSE len(list_intersect(terms, coalesce(covered, []))) / len(terms) END AS term_coverage, list_filter(terms, lambda t: NOT list_contains(coalesce(covered, []), t)) AS missing, CASE WHEN want IS NOT NULL THEN CAST(intent = want AS BIGINT) END AS intent_ok, intent AS detected_intent
+  FROM (SELECT *, {INTENT_SQL} AS intent FROM (SELECT *, lower(trim(query)) AS t FROM cases)) LEFT JOIN ga ON qid = item_id)"""
+O["golden_retrieval"] = f"WITH {INDEX_SQL}, {GOLDEN_SQL} SELECT * EXCLUDE (missing, rr, term_coverage), array_to_string(missing, ',') AS missing_terms, round(rr, 4) AS rr, round(term_coverage, 4) AS term_coverage FROM gg"
+_mean = lambda c, n: f"round(avg(CAST({c} AS DOUBLE)), 3) AS {n}"
+O["golden_summary"] = f"WITH {INDEX_SQL}, {GOLDEN_SQL} SELECT category, count(*) AS cases, {_mean('hit', 'hit_rate')}, {_mean('rr', 'mrr')}, " + ", ".join(_mean(m, m) for m in ("recall_at_1", "recall_at_5", "precision_at_k", "ndcg", "term_coverage")) + f", {_mean('intent_ok', 'intent_accuracy')}, CAST(6 AS BIGINT) AS k, false AS reranker FROM gg GROUP BY category"
