@@ -72,9 +72,11 @@ LABELLED = (
     "<div><a href=x>{-2}</a></div><div><a href=x>{-1}</a></div><h2>{+5}</h2><p>{+40} <a href=x>{+3}</a><p>{+8}<p>{+25} <a href=x>{+9}</a><p>{+12} <a href=x>{+3}</a><p>{+35}<h3>{-2}</h3><div><a href=x>{-4}</a></div><div>{-4}</div><div><a href=x>{-3}</a></div><div>{-5}</div><div><a href=x>{-2}</a></div>",
     "<div class=header><h1>{-3}</h1>{-6}</div><p>{+30}<p>{+5}<p>{+100}<p>{+30} <a href=x>{+25}</a><div class=comments><h3>{-2}</h3><p>{-60}</div><div><a href=x>{-9}</a></div><div><a href=x>{-30}</a></div>",
     "<p>{+6}", "<h1>{+4}</h1><p>{+20}", "<div>{+50}</div>", "<div><a href=x>{-1}</a></div><div><a href=x>{-2}</a></div>",
-    # In an article one linked line belongs to the text around it, several in a row are a menu; elsewhere neither does, and short lines go with their neighbours.
+    # In an article one linked line belongs to the text around it; of several in a row those of one or two words, and what stands among them, are a menu, longer ones are its sources or steps.
+    # Elsewhere neither belongs to it, and short lines go with their neighbours.
     "<main>" + "".join(f"<p>{{+{40 - 4 * k}}}<p><a href=x>{{+{k}}}</a>" for k in range(1, 10)) + "<p>{+50}</main>",
-    "<main>" + "".join("<p>{+%d}<ul>%s</ul>" % (44 - 4 * k, "<li><a href=x>{-%d}</a>" % k * 3) for k in range(1, 9)) + "<p>{+5}</main>",
+    "<main>" + "".join("<p>{+%d}<ul>%s</ul>" % (44 - 4 * k, f"<li><a href=x>{{{'-' if k < 3 else '+'}{k}}}</a>" * 3) for k in range(1, 9)) + "<p>{+5}</main>",
+    "<main>" + "".join(f"<p>{{+{30 + k}}}<ul><li><a href=x>{{-1}}</a><li><a href=x>{{-{k}}}</a><li><a href=x>{{-2}}</a></ul><p>{{+{12 + k}}}<p>{{+2}}<p><a href=x>{{+{k}}}</a><p>{{+1}}" for k in range(3, 12)) + "</main>",
     "<main>" + "".join(f"<p>{{+{k}}}<p>{{+{9 * k}}}" for k in range(1, 9)) + "</main>" + "".join(f"<p>{{-{k * k}}}" for k in range(1, 10)),
     "<main>" + "".join(f"<p>{{+30}}<p class=notice>{{-{k}}}<p>{{+8}}<p class=alert>{{+{30 + k}}}<p><a class=x>{{+3}}</a>" for k in (1, 4, 9, 16, 19)) + "</main>",
     "<main>" + "".join(f"<p>{{+{60 - 4 * k}}}<p class=notice>{{+{33 + k}}}<p>{{+{50 + k}}}<div class=related><a href=x>{{-{k}}}</a></div><p>{{+9}}<div class=ad><a href=x>{{-{3 * k}}}</a></div><div class=ad>{{-{9 * k}}}</div>" for k in range(1, 12)) + "</main>",
