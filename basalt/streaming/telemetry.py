@@ -20,13 +20,18 @@ from basalt.runtime import ship
 RESULT = "user_id bigint, n bigint, recent_mean double, slope_day double, latest double"
 
 
-def read(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Events from the files of a folder as they come, or from one file; time stamps without a zone count as UTC."""
+def files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of the Parquet files of a folder as they come, or of one file."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     source = spark.readStream.schema(schema)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         source, path = source.option("pathGlobFilter", place.getName()), place.getParent().toString()
-    return source.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return source.parquet(path)
+
+
+def read(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Events as files() gives them; time stamps without a zone count as UTC."""
+    return files(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windows(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
