@@ -104,15 +104,22 @@ def intent(q: Column) -> Column:
 
 
 def classify(q: Column) -> tuple[Column, Column]:
-    """(label, confidence): the first rule with a matching pattern; .75 and .1 for each further one, .95 at most; else .4."""
+    """(label, confidence): the first rule with a matching pattern; .75 and .1 for each further one, .95 at most; else .4.
+
+    The text is brought into shape once and every pattern is tried once: both are bound before label and confidence are read from the rules' counts."""
     t = F.lower(F.array_join(F.filter(F.split(F.coalesce(q, F.lit("")), r"[ \t\n]+"), lambda w: w != ""), " "))
-    label = conf = None
-    for name, patterns in CLASS_RULES:
-        n = sum((t.rlike(_boundaries(p)).cast("int") for p in patterns), F.lit(0))
-        c = F.least(F.lit(0.95), 0.75 + 0.1 * (n - 1))
-        label = F.when(n > 0, name) if label is None else label.when(n > 0, name)
-        conf = F.when(n > 0, c) if conf is None else conf.when(n > 0, c)
-    return label.otherwise(DEFAULT_CLASS), F.round(conf.otherwise(0.4), 2)
+    names = F.array(*(F.lit(name) for name, _ in CLASS_RULES))
+
+    def counts(x: Column) -> Column:
+        return F.array(*(sum((x.rlike(_boundaries(p)).cast("int") for p in patterns), F.lit(0)) for _, patterns in CLASS_RULES))
+
+    def judged(ns: Column) -> Column:
+        first = F.array_position(F.transform(ns, lambda n: n > 0), True).cast("int")
+        sure = F.least(F.lit(0.95), 0.75 + 0.1 * (F.element_at(ns, F.greatest(first, F.lit(1))) - 1))
+        return F.struct(F.when(first > 0, F.element_at(names, F.greatest(first, F.lit(1)))).otherwise(DEFAULT_CLASS).alias("label"), F.round(F.when(first > 0, sure).otherwise(0.4), 2).alias("confidence"))
+
+    out = F.element_at(F.transform(F.transform(F.array(t), counts), judged), 1)
+    return out["label"], out["confidence"]
 
 
 def plan(label: Column) -> Column:
