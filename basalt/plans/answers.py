@@ -214,6 +214,19 @@ def validated(spark, d):
 
 Q["answer_validation"] = validated
 Q["citation_repair"] = lambda spark, d: (lambda claims, scores, al: V.repaired(claims, scores, al).groupBy("aid").agg(F.count("*").alias("claims"), F.count_if(F.col("claim").rlike(r"\[[0-9]+\][.!?]*$")).alias("cited")))(*checked(spark, d))
+# Claims at their places; each cites the turn before its answer, or every third none, and is scored against what it cites alone.
+CHECKED_SQL = f"""{SCORED_SQL}, cp AS (SELECT aid, claim, row_number() OVER (PARTITION BY aid ORDER BY i) - 1 AS pos FROM (SELECT aid, ss[i] AS claim, min(i) AS i FROM (SELECT aid, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT aid, list_transform({_S.format(t='text')}, lambda s: trim(regexp_replace(s, '^([-*+] |[0-9]+[.)] |#+ )', ''))) AS ss FROM ans)) GROUP BY aid, ss[i])),
+cl_ AS (SELECT cp.aid, claim, pos FROM cp JOIN claims USING (aid, claim)),
+ci AS (SELECT c.aid, c.claim, e.text, len(list_intersect(ct, et)) / greatest(1, len(ct)) AS lex, nums FROM cl_ c JOIN ans ON ans.aid = c.aid JOIN ev e ON e.aid = c.aid AND e.eid = ans.turn - 1 JOIN ct ON ct.aid = c.aid AND ct.claim = c.claim WHERE pos % 3 <> 2),
+cn AS (SELECT aid, claim, round(CAST(least(round(0.70 * lex + 0.30 * lex, 6), CASE WHEN len(list_filter(nums, lambda x: NOT contains(coalesce(text, ''), x))) > 0 THEN 0.65 ELSE 1.0 END) AS DOUBLE), 4) AS score FROM ci),
+al AS (SELECT cl_.aid, cl_.claim, CASE WHEN cn.score IS NULL THEN 'UNCITED' WHEN cn.score >= 0.70 THEN 'ALIGNED' WHEN cn.score >= 0.45 THEN 'WEAKLY_ALIGNED' ELSE 'MISMATCHED' END AS alignment FROM cl_ LEFT JOIN cn USING (aid, claim))"""
+O["citation_repair"] = f"""WITH {CHECKED_SQL} SELECT aid, count(*) AS claims, count(*) FILTER ((coalesce(sc.score, 0.0) >= {V.REPAIR_LEAST} AND alignment IN ('UNCITED', 'MISMATCHED')) OR regexp_matches(claim, '\\[[0-9]+\\][.!?]*$')) AS cited FROM al LEFT JOIN sc USING (aid, claim) GROUP BY aid"""
+_cover = lambda claim, cite, bad: f"round(CAST(0.65 * {claim} + 0.25 * {cite} + 0.10 * greatest(0.0, 1 - 0.15 * {bad}) AS DOUBLE), 4)"
+O["answer_validation"] = f"""WITH {CHECKED_SQL}, ro AS (SELECT aid, round((count(*) FILTER (score >= 0.70) + 0.5::DOUBLE * count(*) FILTER (score >= 0.45 AND score < 0.70)) / count(*), 4) AS claim_score FROM sc GROUP BY aid),
+ar AS (SELECT aid, count(*) FILTER (alignment = 'ALIGNED') AS a, count(*) FILTER (alignment = 'WEAKLY_ALIGNED') AS w, count(*) FILTER (alignment = 'MISMATCHED') AS m FROM al GROUP BY aid),
+cs_ AS (SELECT aid, m, round(CASE WHEN a + w + m > 0 THEN (a + 0.5::DOUBLE * w) / (a + w + m) ELSE 0.0 END, 4) AS citation_score FROM ar),
+co AS (SELECT aid, claim_score, citation_score, m, {_cover('claim_score', 'citation_score', 'm')} AS coverage, {_cover('claim_score', '1.0', '0')} AS fixed FROM ro JOIN cs_ USING (aid))
+SELECT aid, claim_score, citation_score, coverage, coverage >= {V.VALID} AND m = 0 AS valid, fixed > coverage AS accepted FROM co"""
 Q["dangling_citations"] = lambda spark, d: V.dangling(V.citations(answer_rows(spark, d)[0].select("aid", F.concat(F.lit("see ["), F.col("turn") - 1, F.lit("] and ["), F.col("turn") + 5, F.lit("]")).alias("text")), "aid", "text"), answer_rows(spark, d)[1])
 O["dangling_citations"] = f"WITH {SUPPORT_SQL}, c AS (SELECT aid, turn - 1 AS eid FROM ans UNION SELECT aid, turn + 5 FROM ans) SELECT aid, eid FROM c WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.aid = c.aid AND ev.eid = c.eid)"
 
@@ -284,6 +297,12 @@ O["older_summary"] = f"WITH {OLDER_SQL} SELECT conv_id, '{C.SUMMARY_HEAD}' || ch
 Q["transcript"] = lambda spark, d: C.transcript(conv(spark, d), 4, 100)
 O["transcript"] = f"WITH {_BACK} SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || left({_LINE}, 100), chr(10) || chr(10) ORDER BY turn) AS transcript FROM b WHERE back <= 4 AND trim(coalesce(text, '')) <> '' GROUP BY conv_id"
 Q["curate"] = lambda spark, d: longs(C.curate(conv(spark, d), 2, 4).select("conv_id", "place", "role", F.md5("text").alias("text_md5")))
+_turns = O["relevant_turns"].removeprefix("WITH ").replace(" SELECT * FROM (SELECT *, row_number()", ", rt AS (SELECT * FROM (SELECT *, row_number()", 1)
+_said = f"left({_LINE}, 500) || CASE WHEN length({_LINE}) > 500 THEN '…' ELSE '' END"
+O["curate"] = f"""WITH {_turns}), {OLDER_SQL.removeprefix(_BACK + ', ')},
+cu AS (SELECT conv_id, 2 AS kind, turn AS pl, role, text FROM b WHERE back <= 2 UNION ALL SELECT conv_id, 0, 0, 'assistant', '{C.SUMMARY_HEAD}' || chr(10) || ls FROM os
+  UNION ALL SELECT conv_id, 1, rt.place, 'assistant', '[Recalled from earlier in this conversation — ' || CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ' said] ' || {_said} FROM rt JOIN conversations USING (conv_id, turn)),
+cv AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY kind, pl) AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM cu) SELECT conv_id, place, role, md5(text) AS text_md5 FROM cv WHERE place > n - 4"""
 Q["conversation_answer"] = lambda spark, d: C.conversation_answer(conv(spark, d), conv(spark, d).where("turn = 0").select("conv_id", F.element_at(F.array(F.lit("What was my first question"), F.lit("and the last one?"), F.lit("so far")), (F.pmod("conv_id", F.lit(3)) + 1).cast("int")).alias("query"))).select("conv_id", F.md5("answer").alias("answer_md5"))
 _last = lambda f: f"(SELECT {f}(text, turn) FROM conversations x WHERE x.conv_id = q.conv_id AND role = 'user' AND trim(coalesce(text, '')) <> '') AS text"
 O["conversation_answer"] = f"""WITH q AS (SELECT conv_id, conv_id % 3 AS k FROM conversations WHERE turn = 0), nb AS ({_numbered('conversations', 160)}), fi AS (SELECT conv_id, {_topic(200)} AS t FROM (SELECT conv_id, {_last('arg_min')} FROM q)), la AS (SELECT conv_id, {_topic(200)} AS t FROM (SELECT conv_id, {_last('arg_max')} FROM q))

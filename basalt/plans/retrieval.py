@@ -305,6 +305,20 @@ def repaired(spark, d):
 Q["aspect_repair"] = repaired
 
 
+def _mended(n):
+    """Repair of aspect n: the best of the pool that covers it for the weakest chosen one whose aspects others cover."""
+    return f"""n{n} AS (SELECT DISTINCT qid FROM r{n} JOIN aw USING (qid) WHERE aw.pos = {n} AND qid NOT IN (SELECT s.qid FROM r{n} s JOIN cov USING (qid, doc) WHERE cov.pos = {n})),
+g{n} AS (SELECT p.qid, arg_min(p.doc, (-p.score, p.doc)) AS doc FROM pool p JOIN cov USING (qid, doc) JOIN n{n} USING (qid) WHERE cov.pos = {n} AND (p.qid, p.doc) NOT IN (SELECT qid, doc FROM r{n}) GROUP BY p.qid),
+f{n} AS (SELECT s.qid, arg_max(s.doc, (-s.score, s.doc)) AS doc FROM r{n} s JOIN g{n} USING (qid) WHERE NOT EXISTS (SELECT 1 FROM cov c WHERE c.qid = s.qid AND c.doc = s.doc AND NOT EXISTS (SELECT 1 FROM cov o JOIN r{n} x ON x.qid = o.qid AND x.doc = o.doc WHERE o.qid = c.qid AND o.pos = c.pos AND x.doc <> s.doc)) GROUP BY s.qid),
+r{n + 1} AS MATERIALIZED (SELECT s.qid, s.doc, s.score FROM r{n} s LEFT JOIN f{n} f USING (qid) WHERE f.doc IS NULL OR f.doc <> s.doc UNION ALL SELECT g.qid, g.doc, p.score FROM g{n} g JOIN f{n} USING (qid) JOIN pool p ON p.qid = g.qid AND p.doc = g.doc)"""
+
+
+_long = f"list_filter({query_terms_sql('text')}, lambda w: length(w) >= 5)"
+O["aspect_repair"] = f"""WITH {INDEX_SQL}, pool AS MATERIALIZED (SELECT * FROM (SELECT qid, doc, score, {RANK_SQL} AS rank FROM bm25) WHERE rank < 20),
+al AS (SELECT item_id AS qid, list_min({_long}) AS a, list_max({_long}) AS b FROM benchmark), aw AS (SELECT qid, 0 AS pos, a AS word FROM al WHERE a IS NOT NULL UNION ALL SELECT qid, 1, b FROM al WHERE b <> a),
+cov AS MATERIALIZED (SELECT DISTINCT p.qid, p.doc, pos FROM pool p JOIN aw USING (qid) JOIN postings o ON o.doc = p.doc AND o.term = word), r0 AS (SELECT qid, doc, score FROM pool WHERE rank < 4), {_mended(0)}, {_mended(1)} SELECT qid, doc FROM r2"""
+
+
 def unique_hits(spark, d):
     docs, asked, index = corpus(spark, d)
     top = I.ranked(I.bm25(index, asked), 10).join(docs.select(F.col("doc_id").alias("doc"), F.array_distinct(T.tokens(F.col("text"))).alias("ts")), "doc")
