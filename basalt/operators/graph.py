@@ -93,7 +93,7 @@ def pagerank(n: DataFrame, e: DataFrame, rounds: int = 20, damping: float = 0.85
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     adj = both_ways(e).groupBy("node", "other").agg(F.count("*").alias("m"))
     out = adj.groupBy("node").agg(F.sum("m").alias("out"))
-    shares = adj.join(out, "node").select("node", "other", (F.col("m") / F.col("out")).alias("share")).persist()
+    shares = written(adj.join(out, "node").select("node", "other", (F.col("m") / F.col("out")).alias("share")), "pagerank-shares")
     size = n.count()
     ranks = n.select("id", F.lit(1.0 / size).alias("rank"))
     for k in range(rounds):
@@ -174,11 +174,3 @@ def relation_groups(e: DataFrame, of: DataFrame) -> DataFrame:
     names = ["connected", "measured", "documented", "failure", "other"]
     rows = neighbours(e, of).withColumn("kind", kind)
     return rows.groupBy("node").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in names))
-
-
-def ranked_degree(n: DataFrame, e: DataFrame) -> DataFrame:
-    """(id, rank, degree): PageRank scaled to a largest value of 1, four decimals."""
-    ranks = pagerank(n, e)
-    top = ranks.agg(F.max("rank").alias("top"))  # one row
-    scaled = ranks.crossJoin(F.broadcast(top)).select("id", F.round(F.col("rank") / F.col("top"), 4).alias("rank"))
-    return scaled.join(degree(n, e), "id")

@@ -207,7 +207,9 @@ def merge_runs(rows: DataFrame) -> DataFrame:
 
 
 def expand(ix: ChunkIndex, rows: DataFrame) -> DataFrame:
-    """rows (qid, doc, pos, section, text, ...) whose text is short take in the chunks before and behind of the same section that are not chosen themselves; MERGED characters at most."""
+    """rows (qid, doc, pos, section, text, ...) whose text is short take in the chunks before and behind of the same section that are not chosen themselves; MERGED characters at most.
+
+    Of a joined block the last chunk counts as chosen, as specified: a short block takes in the chunk before that one once more."""
     rows = written(rows, "merged")
     short = rows.where(F.length("text") <= SHORT).select("qid", F.col("doc"), F.col("pos").alias("home"), "section", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
     want = short.withColumn("pos", F.col("home") + F.col("side")).join(rows.select("qid", "doc", "pos"), ["qid", "doc", "pos"], "left_anti")
