@@ -37,9 +37,9 @@ from basalt.llm import shared
 
 LEAST = 50
 GRAM = 24
-HOT = 50_000
+HOT = 5_000
 #: Bytes of text for each bucket, and the fewest and most buckets.
-BUCKET_BYTES, FEWEST, MOST = 16 << 20, 24, 50_000
+BUCKET_BYTES, FEWEST, MOST = 8 << 20, 24, 50_000
 CHUNK = 2 << 20
 SLICE = 500_000
 #: Bytes of runs that a task gathers before it deals them out.
