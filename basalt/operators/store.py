@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import text as T
 from basalt.operators.index import TextIndex, counted, held
+from basalt.runtime import spread
 
 BUCKETS = 16
 
@@ -66,14 +67,16 @@ class IndexStore:
         docs.write.parquet(f"{self.path}/docs/segment={n}")
 
     def add(self, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
-        """A new segment; documents that are there already are replaced.  A null id is not indexed; of repeated ids the texts are joined."""
+        """A new segment; documents that are there already are replaced.  A null id is not indexed; of repeated ids the texts are joined.
+
+        Rows are read three times: what is costly to compute is written first."""
         rows = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
         n = self._next()
         old = self._live(self._read("docs", "doc bigint, dl bigint"))
         rows.select("doc").distinct().join(old.select("doc"), "doc", "left_semi").write.parquet(f"{self.path}/gone/segment={n}")
-        postings = counted(rows)
+        postings = counted(spread(rows))
         # The length of each document is known where its tokens are: no second pass over postings.
-        docs = rows.select("doc", F.size(T.raw_tokens(F.col("text"))).cast("bigint").alias("dl")).groupBy("doc").agg(F.sum("dl").alias("dl"))
+        docs = spread(rows).select("doc", F.size(T.raw_tokens(F.col("text"))).cast("bigint").alias("dl")).groupBy("doc").agg(F.sum("dl").alias("dl"))
         self._write(postings, docs, n)
         return n
 
@@ -115,11 +118,11 @@ class IndexStore:
         stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
         row = stats.first()
         stats = self.spark.createDataFrame([(row["n_docs"], row["avg_dl"])], "n_docs bigint, avg_dl double")
-        return TextIndex(postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), stats, self._norms(live(every), stats))
-
-    def _norms(self, postings: DataFrame, stats: DataFrame) -> DataFrame:
-        """Vector lengths, written once for each state."""
         path = f"{self.path}/norms/state={self.state()}"
+        return TextIndex(postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), stats, lambda: self._norms(path, live(every), stats))
+
+    def _norms(self, path: str, postings: DataFrame, stats: DataFrame) -> DataFrame:
+        """Vector lengths, written once for each state, when they are first asked for."""
         fs, done = self._fs(f"{path}/_SUCCESS")
         if not fs.exists(done):
             df = postings.groupBy("term").agg(F.count("*").alias("df"))

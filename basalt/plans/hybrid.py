@@ -28,11 +28,11 @@ Q, O = {}, {}
 
 
 def fields(spark, d):
-    """(doc_id, source, lang, stream): summary, keywords, concepts and text of each document as one stream."""
+    """(doc_id, source, lang, stream): summary, keywords, concepts and text of each document as one stream; worked out once."""
     docs = table(spark, d, "documents")
     words = keyword_rows(docs, 12).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda x: x["keyword"]), " ").alias("kw"))  # 12 at most
     names = concepts(spark, d).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("concept")), " ").alias("names"))  # 12 at most
-    return docs.join(words, "doc_id", "left").join(names, "doc_id", "left").select("doc_id", "source", "lang", S.field_stream(T.summary(F.col("text")), F.col("kw"), F.col("names"), F.col("text")).alias("stream"))
+    return written(docs.join(words, "doc_id", "left").join(names, "doc_id", "left").select("doc_id", "source", "lang", S.field_stream(T.summary(F.col("text")), F.col("kw"), F.col("names"), F.col("text")).alias("stream")), "fields")
 
 
 def kept_index(spark, d):
