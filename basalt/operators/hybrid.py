@@ -78,8 +78,8 @@ def lexical_legs(ix: ChunkIndex, queries: DataFrame, k1: float = 1.5, b: float =
     asked = _terms(ix, I.queries_of(queries, "qid", "query")).withColumn("w", (1 + F.log("qtf")) * F.col("idf"))
     norm = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))
     asked = asked.join(norm, "qid").where("df is not null").withColumn("bidf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    asked = I.held(written(asked.select("qid", "term", "qtf", "idf", "bidf", "avg_dl", (F.col("w") / F.col("qnorm")).alias("w")), "asked"))
-    found = ix.text.postings.join(asked, "term").join(ix.text.norms(), "doc")
+    asked = written(asked.select("qid", "term", "qtf", "idf", "bidf", "avg_dl", (F.col("w") / F.col("qnorm")).alias("w")), "asked")
+    found = I.by_doc(ix.text.postings.join(I.held(asked.select("term").distinct()), "term")).join(I.held(asked), "term").join(ix.text.norms(), "doc")
     tf = F.col("tf")
     bm25 = F.col("qtf") * F.col("bidf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     dense = F.col("w") * ((1 + F.log("tf")) * F.col("idf") / F.col("norm"))
@@ -101,15 +101,19 @@ def allowed(ix: ChunkIndex, hits: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.where(F.col("free") | F.col("inside")).drop("free", "inside")
 
 
-def fused(hits: DataFrame) -> DataFrame:
-    """(qid, chunk, rrf, dense, bm25, graph) of what the legs' first DEPTH hits elect; only those rows of a query leave a task."""
+def fused(lexical: DataFrame, graph: DataFrame) -> DataFrame:
+    """(qid, chunk, rrf, dense, bm25, graph) of what the legs' first DEPTH hits elect.
+
+    Only each task's best rows of a query leave it; hits are nowhere listed.  The scores of the elected come from a second look."""
     parts = None
     for leg, weight in LEGS.items():
-        top = I.ranked(hits.where(F.col(leg).isNotNull()).select("qid", "chunk", F.col(leg).alias("score")), DEPTH, key="chunk")
+        top = I.ranked((graph if leg == "graph" else lexical).select("qid", "chunk", F.col(leg).alias("score")), DEPTH, key="chunk")
         part = top.select("qid", "chunk", (F.lit(weight) / (RRF_K + F.col("rank"))).alias("part"))
         parts = part if parts is None else parts.unionByName(part)
-    rrf = parts.groupBy("qid", "chunk").agg(F.round(F.sum("part"), 8).alias("rrf"))
-    return hits.join(I.held(rrf), ["qid", "chunk"]).select("qid", "chunk", "rrf", *(F.coalesce(leg, F.lit(0.0)).alias(leg) for leg in LEGS))
+    rrf = written(parts.groupBy("qid", "chunk").agg(F.round(F.sum("part"), 8).alias("rrf")), "elected")
+    for hits in (lexical, graph):
+        rrf = rrf.join(written(hits.join(I.held(rrf.select("qid", "chunk")), ["qid", "chunk"]), "elected-scores"), ["qid", "chunk"], "left")
+    return rrf.select("qid", "chunk", "rrf", *(F.coalesce(leg, F.lit(0.0)).alias(leg) for leg in LEGS))
 
 
 def boost(q: str = "judge") -> Column:
@@ -238,9 +242,7 @@ def candidates(ix: ChunkIndex, queries: DataFrame, scorer: Scorer | None = None)
     own, pool = R.adaptive_k(F.col("query"))
     q = queries.withColumn("k", F.greatest(F.coalesce("k", F.lit(0)), own)).withColumn("pool", F.least(F.lit(40), F.greatest(pool, 3 * F.col("k"))))
     q = written(with_weights(ix, q).drop("entities"), "queries")  # chunks have a column of that name
-    scores = lexical_legs(ix, q).select("*", F.lit(None).cast("double").alias("graph")).unionByName(graph_leg(ix, q).select("qid", "chunk", F.lit(None).cast("double").alias("dense"), F.lit(None).cast("double").alias("bm25"), "graph"))
-    hits = written(allowed(ix, scores.groupBy("qid", "chunk").agg(*(F.max(leg).alias(leg) for leg in LEGS)), q), "hits")
-    top = written(fused(hits), "fused")
+    top = written(fused(allowed(ix, lexical_legs(ix, q), q), allowed(ix, graph_leg(ix, q), q)), "fused")
     rows = ix.chunks.join(I.held(top), "chunk").join(I.held(q), "qid").withColumn("meta", F.round(boost(), 6))
     order = lambda score: Window.partitionBy("qid").orderBy(F.desc(score), "chunk")
     rows = rows.withColumn("boosted", F.round(F.col("rrf") * F.col("meta"), 10)).withColumn("place", F.row_number().over(order("boosted"))).where("place <= pool")
