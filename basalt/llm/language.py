@@ -29,7 +29,9 @@ SCALE = 1 << 20
 NOISE = DIM**-0.5
 MAX_LANGUAGES = 4096
 DENSE_CODES = 1 << 22
-SLICE_CODES = 4 << 20
+SLICE_CODES = 2 << 20
+#: Texts are taken in pieces of a batch of about this many characters, since their trigrams take up to a hundred bytes for each.
+PIECE_CHARS = 1 << 19
 
 
 @functools.lru_cache(maxsize=1)
@@ -44,6 +46,18 @@ def letter_vector(code: int) -> np.ndarray:
     return np.random.default_rng([code, 77]).integers(0, 2, DIM, dtype=np.int8) * np.int8(2) - np.int8(1)
 
 
+def pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Where runs of whole texts begin and end that have PIECE_CHARS characters at most, or one text."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > PIECE_CHARS:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All trigrams of all texts: their text's index and their place among `distinct`,
     the distinct trigrams' three code points, and which texts have a letter."""
@@ -88,22 +102,26 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     """Languages in order and their prototypes (unit rows), from all rows with a language and a letter."""
     shared.tune(docs.sparkSession)
 
+    def add(sums: dict[str, np.ndarray], texts: list[str], langs: list[str]) -> None:
+        owner, which, distinct, has = trigrams(texts)
+        names = sorted({x for x, h in zip(langs, has, strict=True) if h})
+        if not names or not len(which):
+            return
+        index = {x: i for i, x in enumerate(names)}
+        of = np.array([index.get(x, 0) for x in langs])
+        share = 1.0 / np.maximum(1, np.bincount(owner, minlength=len(langs)))
+        vectors = trigram_vectors(distinct).astype(np.float32)
+        for x, i in index.items():
+            mine = of[owner] == i
+            weights = np.bincount(which[mine], share[owner[mine]], minlength=len(distinct))
+            sums[x] = sums.get(x, 0) + np.rint(weights.astype(np.float32) @ vectors * SCALE).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            owner, which, distinct, has = trigrams(shared.strings(b.column(0)))
-            langs = b.column(1).to_pylist()
-            names = sorted({x for x, h in zip(langs, has, strict=True) if h})
-            if not names or not len(which):
-                continue
-            index = {x: i for i, x in enumerate(names)}
-            of = np.array([index.get(x, 0) for x in langs])
-            share = 1.0 / np.maximum(1, np.bincount(owner, minlength=len(langs)))
-            vectors = trigram_vectors(distinct).astype(np.float32)
-            for x, i in index.items():
-                mine = of[owner] == i
-                weights = np.bincount(which[mine], share[owner[mine]], minlength=len(distinct))
-                sums[x] = sums.get(x, 0) + np.rint(weights.astype(np.float32) @ vectors * SCALE).astype(np.int64)
+            texts, tags = shared.strings(b.column(0)), b.column(1).to_pylist()
+            for lo, hi in pieces(texts):
+                add(sums, texts[lo:hi], tags[lo:hi])
         for x, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()), pa.array([v.tolist()], pa.list_(pa.int64()))], ["lang", "part"])
 
@@ -134,20 +152,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
         for b in batches:
             texts = shared.strings(b.column(at))
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            owner, which, distinct, has = trigrams(texts)
-            if len(which) and names:
+            for first, last in pieces(texts):
+                owner, which, distinct, has = trigrams(texts[first:last])
+                if not len(which) or not names:
+                    continue
                 vectors = trigram_vectors(distinct).astype(np.float32)
                 step = max(1, SLICE_CODES // len(distinct))
-                for lo in range(0, len(texts), step):
-                    hi = min(lo + step, len(texts))
+                for lo in range(0, last - first, step):
+                    hi = min(lo + step, last - first)
                     a, z = np.searchsorted(owner, [lo, hi])
                     counts = np.bincount((owner[a:z] - lo) * np.int64(len(distinct)) + which[a:z], minlength=(hi - lo) * len(distinct))
                     bundle = counts.reshape(hi - lo, len(distinct)).astype(np.float32) @ vectors
                     cos = bundle @ flat / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-30)
                     best = cos.argmax(1)
                     for i in np.flatnonzero(has[lo:hi]):
-                        pred[lo + i] = names[best[i]]
-                        score[lo + i] = min(1.0, max(0.0, float(cos[i, best[i]])))
+                        pred[first + lo + i] = names[best[i]]
+                        score[first + lo + i] = min(1.0, max(0.0, float(cos[i, best[i]])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], [*fields, "lang_pred", "lang_score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType

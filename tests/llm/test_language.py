@@ -75,3 +75,12 @@ def test_query_equals_brute_force(spark, tmp_path):
             continue
         cos = {lang: float(total @ v) / np.linalg.norm(total) for lang, v in unit.items()}
         assert abs(r["score"] - max(0.0, max(cos.values()))) < 1e-3 and max(cos.values()) - cos[r["lang_pred"]] < 1e-3
+
+
+def test_a_batch_is_taken_in_pieces():
+    """Trigrams of a batch never stand in memory at once: pieces hold PIECE_CHARS characters at most, or one text, and every text once."""
+    texts = ["", "a" * 10, "b" * language.PIECE_CHARS, "c", "d" * (language.PIECE_CHARS + 5), "", "e"]
+    got = list(language.pieces(texts))
+    assert [i for lo, hi in got for i in range(lo, hi)] == list(range(len(texts)))
+    assert all(hi - lo == 1 or sum(map(len, texts[lo:hi])) <= language.PIECE_CHARS for lo, hi in got)
+    assert len(got) > 3 and list(language.pieces([])) == []
