@@ -31,7 +31,7 @@ def passages_checked(spark, d):
 
     def retrieve(rows):
         keyed = rows.select((F.col("qid") * 100 + F.col("no")).alias("key"), "query")
-        top = written(I.ranked(I.bm25(index, keyed, "key", "query"), PER_QUERY), "found")
+        top = written(I.ranked(I.bm25(index, keyed, "key", "query", depth=PER_QUERY), PER_QUERY), "found")
         found = docs.join(I.held(top.select("doc").distinct()), "doc")
         return top.join(found, "doc").select((F.col("qid") / 100).cast("bigint").alias("qid"), F.pmod("qid", F.lit(100)).cast("int").alias("no"), "rank", F.col("doc").alias("chunk"), "text")
 
@@ -183,7 +183,7 @@ def golden(spark, d):
     held = relevant(spark, d).groupBy(F.col("qid").cast("string").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("doc-"), "doc", F.lit(".")))).alias("expected_docs"))  # copies of one passage
     cases = written(cases.join(held, "id").withColumn("expected_doc", F.lit(None).cast("string")), "golden")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    top = written(I.ranked(I.bm25(I.build(docs, "doc"), cases.select("item_id", F.col("query").alias("text"))), 6), "golden-top")
+    top = written(I.ranked(I.bm25(I.build(docs, "doc"), cases.select("item_id", F.col("query").alias("text")), depth=6), 6), "golden-top")
     hits = docs.join(I.held(top), "doc").select(F.col("qid").cast("string").alias("id"), (F.col("rank") + 1).alias("place"), F.concat(F.lit("doc-"), "doc", F.lit(".")).alias("label"), "text")
     return E.retrieval_rows(cases, hits, cases.select("id", U.intent(F.col("query")).alias("intent"), F.lit(None).cast("double").alias("latency_ms")))
 

@@ -48,7 +48,7 @@ def index_build(spark, d):
 
 def asked_of(store, spark, d):
     asked = table(spark, d, "benchmark")
-    return longs(I.ranked(I.bm25(store.open(S.batch_terms(asked)), asked), 10))
+    return longs(I.ranked(I.bm25(store.open(S.batch_terms(asked)), asked, depth=10), 10))
 
 
 def index_add(spark, d):

@@ -56,7 +56,7 @@ def routed(spark, d):
     tags = chunk_rows(spark, d).select("doc", F.explode(T.tags(F.col("text"))).alias("entity")).distinct()
     questions = asked(spark, d)
     index = I.build(docs)
-    lexical = written(I.ranked(I.bm25(index, questions, id_col="qid"), W.VETO_HITS), "lexical")
+    lexical = written(I.ranked(I.bm25(index, questions, id_col="qid", depth=W.VETO_HITS), W.VETO_HITS), "lexical")
     known = written(concepts(spark, d).select("concept", F.col("doc_id").alias("doc")), "concept-docs")
     return W.route(questions, entities(spark, d), tags, titled, known, lexical)
 
