@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from basalt.operators import index as I
+from basalt.operators import rank as R
 from basalt.operators import store as S
 
 
@@ -54,3 +55,18 @@ def test_blocks_and_batches_give_the_best_of_all():
         out = [r for b in I._best(2, starts, queries, weights, 7)(iter(batches)) for r in b.to_pylist()]
         I.CELLS = before
         assert {q: sorted((-r["score"], r["doc"]) for r in out if r["q"] == q) for q in range(2)} == wanted
+
+
+def test_nearest_vectors_of_blocks_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)] + [(200, None), (201, [0.0] * 4), (202, [1.0, None, 1.0, 1.0]), (203, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(R, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 16)
+    found = R.cosine_topk(vectors, vectors.where("vec_id % 10 = 0 and vec_id < 120"), 4)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and len(v) == 4 and None not in v and any(v)}
+    want = {(q, d, round(float(unit[q] @ unit[d]), 6)) for q in unit if q % 10 == 0 and q < 120 for d in sorted((d for d in unit if d != q), key=lambda d: (-round(float(unit[q] @ unit[d]), 6), d))[:4]}
+    assert {(r["qid"], r["doc"], r["score"]) for r in found.where("qid <> 200 and score is not null").collect()} >= want
+    alone = R.cosine_topk(vectors.where("vec_id > 200"), vectors.where("vec_id = 203"), 9).collect()
+    assert [(r["doc"], r["score"], r["rank"]) for r in alone] == [(201, None, 0), (202, None, 1)]
