@@ -160,3 +160,14 @@ def test_seeds_and_routes(spark):
     best = spark.createDataFrame([(4, 12, 6.0), (4, 10, 3.0), (2, 12, 3.9)], "qid int, doc int, score double")
     routes = {(r["qid"], r["doc"]): r["rule"] for r in W.route(asked, ents, inside, docs, of, best).collect()}
     assert routes == {(1, 12): "entity", (5, 10): "title", (6, 11): "identifier", (2, 13): "concept"}  # 4: the corpus disagrees with the concept
+
+
+def test_names_meet_by_whole_words_and_texts_are_read_once(spark):
+    told = spark.createDataFrame([(1, "Pump Station Nord and pump house"), (2, "pump")], "k long, text string")
+    names = spark.createDataFrame([(f"Pump {x}",) for x in ("Station", "Station Nord", "House", "Hall", "Room")] + [("Pump++",)], "name string")
+    found = N.mentions(told, names)
+    assert sorted((r["k"], r["name"], r["at"], r["span"]) for r in found.collect()) == [(1, "Pump House", 4, 2), (1, "Pump Station", 0, 2), (1, "Pump Station Nord", 0, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("key#" in line for line in plan.splitlines() if "Join" in line)
+    rows = spark.createDataFrame([(1, i, "Vector Store uses RAG") for i in range(3)], "doc int, pos int, text string")
+    assert "regexp_extract_all" not in N.extract(rows)._jdf.queryExecution().executedPlan().toString()
