@@ -98,10 +98,10 @@ def hybrid_retriever(ix: H.ChunkIndex, plans: DataFrame, scorer: H.Scorer | None
 def lexical_retriever(ix: H.ChunkIndex) -> Callable[[DataFrame], DataFrame]:
     """BM25 alone as the agent's slot."""
     def retrieve(asked: DataFrame) -> DataFrame:
-        scores = I.bm25(ix.text, asked, "key", "query").withColumnRenamed("doc", "chunk")
-        limited = asked.where("docs is not null").select("key", F.explode("docs").alias("doc"))
-        inside = ix.chunks.select("chunk", "doc").join(I.held(limited), "doc").select(F.col("key").alias("qid"), "chunk", F.lit(True).alias("inside"))
-        rows = scores.join(I.held(asked.select(F.col("key").alias("qid"), F.col("docs").isNull().alias("free"), "k")), "qid").join(I.held(inside), ["qid", "chunk"], "left").where(F.col("free") | F.col("inside"))
+        free, bound = asked.where("docs is null"), asked.where("docs is not null")
+        inside = ix.chunks.select("chunk", "doc").join(I.held(bound.select("key", F.explode("docs").alias("doc"))), "doc").select(F.col("key").alias("qid"), F.col("chunk").alias("doc"))
+        scores = I.bm25(ix.text, free, "key", "query", depth=FIRST).unionByName(I.bm25(ix.text, bound, "key", "query", pairs=inside))
+        rows = scores.withColumnRenamed("doc", "chunk").join(I.held(asked.select(F.col("key").alias("qid"), "k")), "qid")
         top = I.ranked(rows.select("qid", "chunk", "score", "k"), FIRST, key="chunk").where("rank < k")
         return ix.chunks.select("chunk", "doc", "text").join(I.held(written(top, "agent-top")), "chunk").select(F.col("qid").alias("key"), (F.col("rank") + 1).alias("place"), "chunk", "doc", "score", "text")
 
