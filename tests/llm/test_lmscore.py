@@ -75,6 +75,47 @@ def test_class_table_counts_all_texts_and_the_sample_grows(spark, docs, monkeypa
     assert 25 < sizes[0] < 90 and sizes[1] > 2 * sizes[0]
 
 
+def test_all_that_is_learned_counts_every_text(spark, docs):
+    """By the counts' definitions, position by position; one text more or less changes them."""
+    rng, sub = np.random.default_rng(4), lmscore.subwords(PATH)
+    classes, n = rng.integers(0, 5, sub.size), 5
+    col = np.where(rng.random(sub.size) < 0.3, rng.integers(0, lmscore.NEIGHBOURS, sub.size), -1)
+    near, total = np.zeros((sub.size, 2 * lmscore.NEIGHBOURS), int), np.zeros(2 * sub.size * n + n**3, int)
+    first, later, three = total[: sub.size * n].reshape(-1, n), total[sub.size * n : 2 * sub.size * n].reshape(-1, n), total[2 * sub.size * n :].reshape(n, n, n)
+    for _, t in document_rows():
+        ids = [sub.end, *sub.split(lmscore.words_of(t or ""))[0].tolist(), sub.end]
+        c = [int(classes[x]) for x in ids]
+        for at, x in enumerate(ids):
+            for step in range(1, min(31, len(ids) - at)):
+                y = ids[at + step]
+                if step == 1:
+                    first[x, c[at + 1]] += 1
+                if step <= 4 and col[y] >= 0:
+                    near[x, col[y]] += 12 // step
+                if step <= 4 and col[x] >= 0:
+                    near[y, col[x] + lmscore.NEIGHBOURS] += 12 // step
+                if step in lmscore.LAGS:
+                    later[x, c[at + step]] += 1
+                if step in lmscore.PAIR_LAGS:
+                    three[c[at + step - 1], c[at], c[at + step]] += 1
+    for parts in (1, 5):
+        stream = shared.cut(lmscore.streams(docs.repartition(parts), PATH), "t-stream")
+        assert (lmscore.summed(stream, near.size, PATH, lambda ids, docs, total: lmscore.company(ids, docs, col, total)) == near.ravel()).all()
+        assert (lmscore.summed(stream, total.size, PATH, lambda ids, docs, total: lmscore.contexts(ids, docs, classes, n, total)) == total).all()
+        want = Counter(w for _, t in document_rows() for w in [*words(t), ""])
+        assert {r["word"]: r["c"] for r in lmscore.counted(stream).collect()} == want
+
+
+def test_share_of_the_text_so_far(spark):
+    """A word that stood before in its text is likelier there; in another text it is not."""
+    learn = spark.createDataFrame([(i, "alpha beta gamma delta") for i in range(9)], "doc_id bigint, text string")
+    counts = shared.cut(lmscore.word_counts(learn), "t-words")
+    texts = spark.createDataFrame([(1, "qwxyz alpha beta"), (2, "alpha beta qwxyz"), (3, "alpha beta qwxyz qwxyz"), (4, "alpha qwxyz beta qwxyz")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(texts.coalesce(1), lmscore.fit(learn, counts, PATH), counts).collect()}
+    assert got[3] - got[2] > math.log10(lmscore.MIX[3] / 4) - 0.5  # the share is 1 / 4, ends apart
+    assert got[2] < -3 and got[1] < -3
+
+
 def test_nothing_to_learn_or_score(spark, docs, no_docs):
     assert run(no_docs, docs).count() == 0
     assert all(math.isfinite(r["score"]) and r["n_known"] == 0 for r in run(docs, no_docs).collect())
