@@ -17,7 +17,7 @@ from basalt.functions import text as T
 from basalt.operators import index as I
 from basalt.operators import rank as R
 from basalt.operators.store import field_stream
-from basalt.runtime import ship, written
+from basalt.runtime import released, ship, written
 
 # Section fragments by intent, limits and weights of the specification.
 INTENT_SECTIONS = {
@@ -59,6 +59,7 @@ class ChunkIndex:
 def prepare(chunks: DataFrame) -> ChunkIndex:
     """Index of chunks with these fields: summary, keywords, concepts and text are searched as one stream."""
     kept = written(chunks.select("chunk", "doc", "pos", "section", "text", "summary", "keywords", "concepts", "entities"), "chunks")
+    released(kept.sparkSession)
     stream = field_stream(F.col("summary"), F.array_join("keywords", " "), F.array_join("concepts", " "), F.col("text"))
     return ChunkIndex(I.build(kept.select("chunk", stream.alias("stream")), "chunk", "stream"), kept)
 
@@ -73,46 +74,59 @@ def _terms(ix: ChunkIndex, rows: DataFrame) -> DataFrame:
     return rows.join(I.held(known), "term", "left").crossJoin(F.broadcast(ix.text.stats)).withColumn("idf", _idf(F.col("n_docs"), F.col("df")))  # one row of statistics
 
 
-def lexical_legs(ix: ChunkIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, chunk, dense, bm25) of every chunk that shares a term with the query: both scores from one pass over the postings."""
+def asked_terms(ix: ChunkIndex, queries: DataFrame) -> DataFrame:
+    """(qid, term, dense, bm25): what a term that the index knows weighs in each leg of a query (qid, query); written."""
     asked = _terms(ix, I.queries_of(queries, "qid", "query")).withColumn("w", (1 + F.log("qtf")) * F.col("idf"))
     norm = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))
-    asked = asked.join(norm, "qid").where("df is not null").withColumn("bidf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    asked = written(asked.select("qid", "term", "qtf", "idf", "bidf", "avg_dl", (F.col("w") / F.col("qnorm")).alias("w")), "asked")
-    found = I.by_doc(ix.text.postings.join(I.held(asked.select("term").distinct()), "term")).join(I.held(asked), "term").join(ix.text.norms(), "doc")
+    bidf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return written(asked.join(norm, "qid").where("df is not null").select("qid", "term", (F.col("w") / F.col("qnorm") * F.col("idf")).alias("dense"), (F.col("qtf") * bidf).alias("bm25")), "asked")
+
+
+def lexical_rows(ix: ChunkIndex, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(doc, term, dense, bm25): what each posting weighs; dense still has to be divided by the chunk's vector length."""
     tf = F.col("tf")
-    bm25 = F.col("qtf") * F.col("bidf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    dense = F.col("w") * ((1 + F.log("tf")) * F.col("idf") / F.col("norm"))
-    return found.groupBy("qid", F.col("doc").alias("chunk")).agg(F.round(F.sum(dense), 6).alias("dense"), F.round(F.sum(bm25), 6).alias("bm25"))
-
-
-def graph_leg(ix: ChunkIndex, queries: DataFrame) -> DataFrame:
-    """(qid, chunk, graph): how many of the query's expanded graph entities the chunk names."""
-    mine = queries.select("qid", F.explode("graph_entities").alias("entity")).distinct()
-    their = ix.chunks.select("chunk", F.explode("entities").alias("entity"))
-    return their.join(I.held(mine), "entity").groupBy("qid", "chunk").agg(F.count("*").cast("double").alias("graph"))
-
-
-def allowed(ix: ChunkIndex, hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits within the documents that a query is limited to (docs; null: all)."""
-    limited = queries.where("docs is not null").select("qid", F.explode("docs").alias("doc"))
-    inside = ix.chunks.select("chunk", "doc").join(I.held(limited), "doc").select("qid", "chunk", F.lit(True).alias("inside"))
-    rows = hits.join(I.held(queries.select("qid", F.col("docs").isNull().alias("free"))), "qid").join(I.held(inside), ["qid", "chunk"], "left")
-    return rows.where(F.col("free") | F.col("inside")).drop("free", "inside")
-
-
-def fused(lexical: DataFrame, graph: DataFrame) -> DataFrame:
-    """(qid, chunk, rrf, dense, bm25, graph) of what the legs' first DEPTH hits elect.
-
-    Only each task's best rows of a query leave it; hits are nowhere listed.  The scores of the elected come from a second look."""
-    parts = None
-    for leg, weight in LEGS.items():
-        top = I.ranked((graph if leg == "graph" else lexical).select("qid", "chunk", F.col(leg).alias("score")), DEPTH, key="chunk")
-        part = top.select("qid", "chunk", (F.lit(weight) / (RRF_K + F.col("rank"))).alias("part"))
-        parts = part if parts is None else parts.unionByName(part)
-    rrf = written(parts.groupBy("qid", "chunk").agg(F.round(F.sum("part"), 8).alias("rrf")), "elected")
-    for hits in (lexical, graph):
-        rrf = rrf.join(written(hits.join(I.held(rrf.select("qid", "chunk")), ["qid", "chunk"]), "elected-scores"), ["qid", "chunk"], "left")
+    bm25 = (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    return ix.text.postings.crossJoin(F.broadcast(ix.text.stats)).select("doc", "term", (1 + F.log("tf")).alias("dense"), bm25.alias("bm25"))  # one row of statistics
+
+
+def lexical_scores(ix: ChunkIndex, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(qid, chunk, dense, bm25) of pairs (qid, chunk) that share a term: chunks are cut to the pairs, then their terms to the query's."""
+    wanted = pairs.select("qid", F.col("chunk").alias("doc")).distinct()
+    found = lexical_rows(ix).join(I.held(wanted), "doc").join(I.held(asked.select("qid", "term", F.col("dense").alias("d"), F.col("bm25").alias("b"))), ["qid", "term"])
+    norms = I.held(I.near(ix.text.norms(), wanted))
+    total = [F.round(F.sum(x), 6).alias(leg) for leg, x in (("dense", F.col("d") * (F.col("dense") / F.col("norm"))), ("bm25", F.col("b") * F.col("bm25")))]
+    return found.join(norms, "doc").groupBy("qid", F.col("doc").alias("chunk")).agg(*total)
+
+
+def graph_names(ix: ChunkIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, term, graph) of the chunks' entities and (qid, term, graph) of the queries' expanded graph entities; each counts 1."""
+    mine = queries.select("qid", F.explode("graph_entities").alias("term")).distinct().withColumn("graph", F.lit(1.0))
+    return ix.chunks.select(F.col("chunk").alias("doc"), F.explode("entities").alias("term")).withColumn("graph", F.lit(1.0)), mine
+
+
+def fused(ix: ChunkIndex, queries: DataFrame) -> DataFrame:
+    """(qid, chunk, rrf, dense, bm25, graph) of what the legs' first DEPTH hits elect, within the documents that a query is limited to (docs; null: all).
+
+    A document's legs are summed where its postings are shuffled to, and only each task's best of a query leave it; hits are nowhere listed.
+    The scores of the elected in the other legs come from a second look at their chunks."""
+    asked = asked_terms(ix, queries)
+    limits = queries.where("docs is not null").select("qid", F.col("docs").alias("homes"))
+    home = ix.chunks.select(F.col("chunk").alias("doc"), F.col("doc").alias("home"))
+    facts = ix.text.norms().select("doc", F.col("norm").alias("dense"), F.lit(1.0).alias("bm25"))
+    of, mine = graph_names(ix, queries)
+    bound = limits.limit(1).count() > 0
+    limits = limits if bound else None
+    homes = (lambda rows: rows.join(home, "doc")) if bound else (lambda rows: rows.withColumn("home", F.lit(None).cast(home.schema["home"].dataType)))
+    found = I.legs(lexical_rows(ix), asked, ["dense", "bm25"], DEPTH, homes(facts), limits)
+    found = found.unionByName(I.legs(of, mine, ["graph"], DEPTH, home.withColumn("graph", F.lit(1.0)) if bound else None, limits))
+    top = written(found.withColumn("place", F.row_number().over(Window.partitionBy("qid", "leg").orderBy(F.desc("score"), "doc"))).where(F.col("place") <= DEPTH), "leg-tops")
+    released(top.sparkSession)
+    weight = F.create_map(*(F.lit(x) for pair in LEGS.items() for x in pair))
+    rrf = written(top.groupBy("qid", F.col("doc").alias("chunk")).agg(F.round(F.sum(weight[F.col("leg")] / (RRF_K + F.col("place") - 1)), 8).alias("rrf")), "elected")
+    pairs = I.held(rrf.select("qid", F.col("chunk").alias("doc")))
+    named = of.join(pairs, "doc").join(I.held(mine.drop("graph")), ["qid", "term"]).groupBy("qid", F.col("doc").alias("chunk")).agg(F.sum("graph").alias("graph"))
+    for hits in (lexical_scores(ix, asked, rrf), named):
+        rrf = rrf.join(hits, ["qid", "chunk"], "left")
     return rrf.select("qid", "chunk", "rrf", *(F.coalesce(leg, F.lit(0.0)).alias(leg) for leg in LEGS))
 
 
@@ -242,8 +256,8 @@ def candidates(ix: ChunkIndex, queries: DataFrame, scorer: Scorer | None = None)
     own, pool = R.adaptive_k(F.col("query"))
     q = queries.withColumn("k", F.greatest(F.coalesce("k", F.lit(0)), own)).withColumn("pool", F.least(F.lit(40), F.greatest(pool, 3 * F.col("k"))))
     q = written(with_weights(ix, q).drop("entities"), "queries")  # chunks have a column of that name
-    top = written(fused(allowed(ix, lexical_legs(ix, q), q), allowed(ix, graph_leg(ix, q), q)), "fused")
-    rows = ix.chunks.join(I.held(top), "chunk").join(I.held(q), "qid").withColumn("meta", F.round(boost(), 6))
+    top = written(fused(ix, q), "fused")
+    rows = ix.chunks.join(I.held(top), "chunk").join(I.held(q.drop("graph_entities")), "qid").withColumn("meta", F.round(boost(), 6))
     order = lambda score: Window.partitionBy("qid").orderBy(F.desc(score), "chunk")
     rows = rows.withColumn("boosted", F.round(F.col("rrf") * F.col("meta"), 10)).withColumn("place", F.row_number().over(order("boosted"))).where("place <= pool")
     # Relevance: the clean question against the chunk's own words.

@@ -19,7 +19,7 @@ from basalt.plans.retrieval import DENSE_SQL, RRF_SQL
 from basalt.plans.text import KEYWORDS_SQL, LINES_SQL, PROSE_SQL, _edges, concepts, keyword_rows, pack_lines
 from basalt.plans.text import O as TEXT_SQL
 from basalt.plans.understanding import GAZETTEER_SQL
-from basalt.runtime import shared_folder, written
+from basalt.runtime import dealt, shared_folder, written
 
 Q, O = {}, {}
 
@@ -92,12 +92,12 @@ HEADING = "^[^A-Za-z]*([A-Z][a-z]*[^A-Za-z]+)*([A-Z][a-z]*)?[^A-Za-z]*$"
 
 def chunk_fields(spark, d):
     """Packed chunks of all documents with their fields; a chunk's section is the last heading that begins a chunk up to it."""
-    packed = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(pack_lines(F.col("text"))).alias("pos", "text"))
+    packed = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode_outer(pack_lines(F.col("text"))).alias("pos", "text")).where("pos is not null")
     first = F.substring_index("text", "\n", 1)
     heading = F.when((F.length(first) < 80) & first.rlike(HEADING), first)
     rows = packed.withColumn("section", F.coalesce(F.last(heading, ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos")), F.lit("Page 1")))
     rows = written(rows.withColumn("pos", F.col("pos").cast("bigint")).withColumn("chunk", F.col("doc") * 100_000 + F.col("pos")), "packed")
-    kw = rows.select("chunk", F.posexplode(T.keywords(F.col("text"))).alias("at", "w")).groupBy("chunk", "w").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    kw = dealt(rows.select("chunk", "text"), "chunk").select("chunk", F.posexplode_outer(T.keyword_words(F.col("text"))).alias("at", "w")).where(F.col("w").isNotNull() & T.is_keyword(F.col("w"))).groupBy("chunk", "w").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     kw = kw.withColumn("place", F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("n"), "at"))).where("place <= 12")
     kw = kw.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "w"))), lambda x: x["w"]).alias("keywords"))  # 12 at most
     present = C.presence(rows.select("doc", "pos", "text"), C.extract(rows)).groupBy("doc", "pos").agg(F.array_sort(F.collect_set("concept")).alias("concepts"))  # 12 at most
@@ -122,8 +122,8 @@ def planned(spark, d, chunks):
 
 
 def composed(spark, d):
-    chunks = written(chunk_fields(spark, d), "chunk-fields")
-    return H.prepare(chunks), written(planned(spark, d, chunks), "planned")
+    ix = H.prepare(chunk_fields(spark, d))
+    return ix, written(planned(spark, d, ix.chunks), "planned")
 
 
 def shown(rows):
