@@ -17,7 +17,7 @@ from basalt.functions import text as T
 from basalt.operators import hybrid as H
 from basalt.operators import index as I
 from basalt.operators import rank as R
-from basalt.runtime import written
+from basalt.runtime import released, written
 
 # How many hits each look asks for, and how many the gate lets through.
 FIRST, SCOPED, PER_PART, MOST_PARTS, USED_DOCUMENT, USED_ASSET = 12, 6, 4, 6, 6, 8
@@ -96,13 +96,18 @@ def hybrid_retriever(ix: H.ChunkIndex, plans: DataFrame, scorer: H.Scorer | None
 
 
 def lexical_retriever(ix: H.ChunkIndex) -> Callable[[DataFrame], DataFrame]:
-    """BM25 alone as the agent's slot."""
+    """BM25 alone as the agent's slot.  Limits to documents hold where a chunk is scored: the chunks of a question's documents are nowhere listed."""
     def retrieve(asked: DataFrame) -> DataFrame:
-        free, bound = asked.where("docs is null"), asked.where("docs is not null")
-        inside = ix.chunks.select("chunk", "doc").join(I.held(bound.select("key", F.explode("docs").alias("doc"))), "doc").select(F.col("key").alias("qid"), F.col("chunk").alias("doc"))
-        scores = I.bm25(ix.text, free, "key", "query", depth=FIRST).unionByName(I.bm25(ix.text, bound, "key", "query", pairs=inside))
+        asked = written(asked, "agent-asked-of")
+        limits = asked.where("docs is not null").select(F.col("key").alias("qid"), F.col("docs").alias("homes"))
+        bound = limits.limit(1).count() > 0
+        facts = ix.chunks.select(F.col("chunk").alias("doc"), F.lit(1.0).alias("bm25"), F.col("doc").alias("home")) if bound else None
+        terms = H.asked_terms(ix, asked.select(F.col("key").alias("qid"), "query"))
+        scores = I.legs(H.lexical_rows(ix).drop("dense"), terms, ["bm25"], FIRST, facts, limits if bound else None)
         rows = scores.withColumnRenamed("doc", "chunk").join(I.held(asked.select(F.col("key").alias("qid"), "k")), "qid")
         top = I.ranked(rows.select("qid", "chunk", "score", "k"), FIRST, key="chunk").where("rank < k")
-        return ix.chunks.select("chunk", "doc", "text").join(I.held(written(top, "agent-top")), "chunk").select(F.col("qid").alias("key"), (F.col("rank") + 1).alias("place"), "chunk", "doc", "score", "text")
+        top = written(top, "agent-top")
+        released(top.sparkSession)
+        return ix.chunks.select("chunk", "doc", "text").join(I.held(top), "chunk").select(F.col("qid").alias("key"), (F.col("rank") + 1).alias("place"), "chunk", "doc", "score", "text")
 
     return retrieve

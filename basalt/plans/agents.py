@@ -106,7 +106,7 @@ QUESTIONS = ["What is {}?", "Compare {} and memory", "Steps to change {} and the
 
 def agent_parts(spark, d):
     docs = table(spark, d, "documents")
-    chunks = written(docs.select(F.col("doc_id").alias("chunk"), F.col("source").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), "agent-chunks")
+    chunks = docs.select(F.col("doc_id").alias("chunk"), F.col("source").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))  # read where they lie: no copy
     ix = H.ChunkIndex(I.build(chunks, "chunk"), chunks)
     k = (F.pmod("item_id", F.lit(len(QUESTIONS))) + 1).cast("int")
     judge = F.replace(F.element_at(F.array(*map(F.lit, QUESTIONS)), k), F.lit("{}"), F.coalesce("text", F.lit("")))

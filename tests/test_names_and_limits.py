@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from basalt.operators import agent as A
 from basalt.operators import concepts as C
 from basalt.operators import hybrid as H
 from basalt.operators import index as I
@@ -71,3 +72,13 @@ def test_composed_legs_leave_no_list_of_pairs(spark, monkeypatch):
     bm25 = {(r["qid"], r["doc"]): r["score"] for r in I.bm25(ix.text, q, "qid", "query").collect()}
     dense = {(r["qid"], r["doc"]): r["score"] for r in I.dense(ix.text, q, "qid", "query").collect()}
     assert all(r["bm25"] == bm25[k] and r["dense"] == dense[k] for k, r in got.items())
+
+
+def test_agent_lists_no_chunks_of_a_question(spark, monkeypatch):
+    ix, calls = index_of(spark), []
+    monkeypatch.setattr(I, "scores", lambda *a, **k: calls.append(a))  # takes pairs, which a large source has millions of for each question
+    asked = spark.createDataFrame([(1, "pump oil", 12, None), (2, "pump oil", 6, [1]), (3, "pump oil", 1, [1, 2]), (4, "pump", 6, [])], "key bigint, query string, k int, docs array<bigint>")
+    got = {}
+    for r in A.lexical_retriever(ix)(asked).collect():
+        got.setdefault(r["key"], []).append((r["place"], r["chunk"], r["doc"]))
+    assert not calls and {c for _, c, _ in got[1]} == {10, 20} and got[2] == [(1, 10, 1)] and len(got[3]) == 1 and got[3][0][2] in (1, 2) and 4 not in got
