@@ -6,12 +6,14 @@ A segment counts once its docs are there, which are written last; a writer that
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
 from basalt.operators.index import TextIndex, counted, held
-from basalt.runtime import spread
+from basalt.runtime import released, spread
 
 BUCKETS = 16
 
@@ -61,23 +63,24 @@ class IndexStore:
             return rows
         return rows.join(held(gone), "doc", "left").where(F.col("until").isNull() | (F.col("segment") >= F.col("until"))).drop("until")
 
-    def _write(self, postings: DataFrame, docs: DataFrame, n: int) -> None:
+    def _write(self, postings: DataFrame, docs: Callable[[str], DataFrame], n: int) -> None:
+        """A segment: its postings, then what docs makes of the path where they lie."""
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         postings.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={n}")
-        docs.write.parquet(f"{self.path}/docs/segment={n}")
+        docs(f"{self.path}/postings/segment={n}").write.parquet(f"{self.path}/docs/segment={n}")
+        released(self.spark)
 
     def add(self, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
         """A new segment; documents that are there already are replaced.  A null id is not indexed; of repeated ids the texts are joined.
 
-        Rows are read three times: what is costly to compute is written first."""
+        Rows are read three times, their texts once: what is costly to compute is written first."""
         rows = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
         n = self._next()
         old = self._live(self._read("docs", "doc bigint, dl bigint"))
         rows.select("doc").distinct().join(old.select("doc"), "doc", "left_semi").write.parquet(f"{self.path}/gone/segment={n}")
-        postings = counted(spread(rows))
-        # The length of each document is known where its tokens are: no second pass over postings.
-        docs = spread(rows).select("doc", F.size(T.raw_tokens(F.col("text"))).cast("bigint").alias("dl")).groupBy("doc").agg(F.sum("dl").alias("dl"))
-        self._write(postings, docs, n)
+        # A document's length is the sum of its postings, two narrow columns; texts are not cut into tokens a second time.
+        counts = self.spark.read.schema("doc bigint, tf bigint").parquet
+        self._write(counted(spread(rows)), lambda path: rows.select("doc").distinct().join(counts(path).groupBy("doc").agg(F.sum("tf").alias("dl")), "doc", "left").select("doc", F.coalesce("dl", F.lit(0)).alias("dl")), n)
         return n
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> int:
@@ -90,7 +93,7 @@ class IndexStore:
         """One segment of what is alive; earlier ones are no longer read, and their files go."""
         old = {kind: self._numbers(kind) for kind in ("postings", "docs", "gone", "merged")}
         n = self._next()
-        self._write(self._live(self._read("postings", "doc bigint, term string, tf bigint, dl bigint")).drop("segment"), self._live(self._read("docs", "doc bigint, dl bigint")).drop("segment"), n)
+        self._write(self._live(self._read("postings", "doc bigint, term string, tf bigint, dl bigint")).drop("segment"), lambda _: self._live(self._read("docs", "doc bigint, dl bigint")).drop("segment"), n)
         self.spark.createDataFrame([(n,)], "n int").write.parquet(f"{self.path}/merged/segment={n}")
         for kind, numbers in old.items():
             for k in numbers:

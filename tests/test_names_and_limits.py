@@ -5,10 +5,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from basalt.functions import text as T
 from basalt.operators import agent as A
 from basalt.operators import concepts as C
 from basalt.operators import hybrid as H
 from basalt.operators import index as I
+from basalt.operators import store as S
 
 from .test_hybrid import index_of, plan
 
@@ -82,3 +84,11 @@ def test_agent_lists_no_chunks_of_a_question(spark, monkeypatch):
     for r in A.lexical_retriever(ix)(asked).collect():
         got.setdefault(r["key"], []).append((r["place"], r["chunk"], r["doc"]))
     assert not calls and {c for _, c, _ in got[1]} == {10, 20} and got[2] == [(1, 10, 1)] and len(got[3]) == 1 and got[3][0][2] in (1, 2) and 4 not in got
+
+
+def test_added_texts_are_cut_once(spark, tmp_path, monkeypatch):
+    cuts, cut = [], T.raw_tokens
+    monkeypatch.setattr(T, "raw_tokens", lambda c: cuts.append(c) or cut(c))
+    store = S.IndexStore(spark, f"file://{tmp_path}/ix", buckets=4)
+    store.add(spark.createDataFrame([(1, "pump pump seal"), (2, "oil"), (2, "oil gear"), (3, ""), (4, None), (None, "lost")], "doc_id long, text string"))
+    assert len(cuts) == 1 and {r["doc"]: r["dl"] for r in store.open().docs.collect()} == {1: 3, 2: 3, 3: 0, 4: 0}
